@@ -1,0 +1,12 @@
+"""The queries of problems 1, 3, 4, 5, 7, 8, 9 and 10 over whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from parlance.llm import spans
+from parlance.session import read_table
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_words(read_table(spark, sf_dir, "documents"), "doc_id", "text")
