@@ -4,9 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm import spans
+from parlance.llm import leaks, neardup, spans
 from parlance.session import read_table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_pairs(read_table(spark, sf_dir, "prompts"), threshold=0.6, k=3)
+
+
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per prompt of 20 words or more: its class of equal five-word sets and the number of sets near it (0.8 or more)."""
+    return neardup.near_classes(read_table(spark, sf_dir, "prompts"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
+
+
+def p9_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As p9_found, where one word of the passage may be changed, added or left out."""
+    return leaks.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"), edits=1)
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_words(read_table(spark, sf_dir, "documents"), "doc_id", "text")

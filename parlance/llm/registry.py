@@ -4,5 +4,5 @@ from __future__ import annotations
 
 from parlance.llm import queries as q
 
-QUERIES = {"p10_found": q.p10_found}
+QUERIES = {f.__name__: f for f in (q.p3_found, q.p3_classes, q.p9_found, q.p9_edited, q.p10_found)}
 SQL: dict[str, str] = {}
