@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm import leaks, neardup, spans
-from parlance.session import read_table
+from parlance.llm import history, leaks, neardup, spans
+from parlance.session import read_table, shared_dir
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +19,14 @@ def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_classes(read_table(spark, sf_dir, "prompts"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    past = history.History(spark, f"{shared_dir(spark)}/history-{uuid.uuid4().hex}", threshold=0.6, k=3)
+    past.add_texts(read_table(spark, sf_dir, "prompts"), "id", "text")
+    past.add_files(read_table(spark, sf_dir, "processed_sessions"), "file_path")
+    verdicts = past.decide(read_table(spark, sf_dir, "prompt_batches"))
+    return verdicts.filter("verdict <> 'accepted'")
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
 
