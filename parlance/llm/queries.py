@@ -5,11 +5,22 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from parlance.llm import history, leaks, neardup, spans
+from parlance.llm import conversations, history, leaks, neardup, spans
 from parlance.session import read_table, shared_dir
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = {
+        "chatgpt_conversations": conversations.from_mappings,
+        "claude_chat_export": conversations.from_message_arrays,
+        "claude_session": conversations.from_lines,
+    }
+    found = [f(read_table(spark, sf_dir, t)).select(F.lit(t).alias("tbl"), "conv_key", "turn_no", "msg_key", "role") for t, f in parts.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_pairs(read_table(spark, sf_dir, "prompts"), threshold=0.6, k=3)
 
