@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import conversations, history, leaks, neardup, spans
+from parlance.llm import conversations, history, leaks, neardup, neighbours, spans
 from parlance.session import read_table, shared_dir
 
 
@@ -30,6 +30,12 @@ def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_classes(read_table(spark, sf_dir, "prompts"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prompts = neighbours.similar_pairs(read_table(spark, sf_dir, "prompts"), "id", "embedding", 64, 5, 0.95)
+    events = neighbours.similar_pairs(read_table(spark, sf_dir, "telemetry_event"), "queue_id", "dna_vector", 36, 5, 0.99)
+    return prompts.select(F.lit("prompts").alias("tbl"), "id_a", "id_b").unionByName(events.select(F.lit("telemetry_event").alias("tbl"), "id_a", "id_b"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     past = history.History(spark, f"{shared_dir(spark)}/history-{uuid.uuid4().hex}", threshold=0.6, k=3)
     past.add_texts(read_table(spark, sf_dir, "prompts"), "id", "text")
