@@ -129,40 +129,66 @@ def unpack48(data: bytes) -> np.ndarray:
 # Count sketches ------------------------------------------------------------------------------------------------------------
 #: Counters of a sketch: 2**24 bytes whatever the data, so that it may be sent to every executor.
 SKETCH_BITS, SLICES = 24, 64
+#: Counts up to LINEAR are exact; above, each code is 2**(1/4) times the one before, rounded up.
+LINEAR = 127
 
 
-def sketch(df: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray], bits: int = SKETCH_BITS) -> np.ndarray:
-    """Counts by the low bits of the 64-bit keys of all rows, 255 at most; a count is never below the true one (up to 255).
+def encode(counts: np.ndarray) -> np.ndarray:
+    big = LINEAR + np.ceil(4 * np.log2(np.maximum(counts, 1) / LINEAR))
+    return np.where(counts <= LINEAR, counts, np.minimum(big, 255)).astype(np.uint8)
+
+
+def decode(codes: np.ndarray) -> np.ndarray:
+    """The greatest count of each code."""
+    c = codes.astype(np.int64)
+    return np.where(c <= LINEAR, c, np.floor(LINEAR * 2.0 ** ((c - LINEAR) / 4))).astype(np.int64)
+
+
+def sketches(df: DataFrame, keys: Callable[[pa.RecordBatch], list[np.ndarray]], n: int = 1, bits: int = SKETCH_BITS) -> list[np.ndarray]:
+    """n count sketches by the low bits of 64-bit keys over all rows, as codes (see encode); a count is never below the true one.
 
-    keys gives the keys of a batch, each once for every row that is to count. Every task sends its counters in slices, which are
-    added up by slice; the driver gets 2**bits bytes.
+    keys gives n arrays of keys for a batch, each key once for every row that is to count. Every task sends its counters in
+    slices, which are added up by slice; the driver gets n * 2**bits bytes.
     """
     size = 1 << bits
     step = size // SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, dtype=np.uint8)
-        some = False
+        totals: list[np.ndarray] = []
         for b in batches:
-            at = (keys(b) & U64(size - 1)).astype(np.int64)
-            if len(at):
-                some = True
-                at, n = np.unique(at, return_counts=True)
-                total[at] = np.minimum(total[at].astype(np.int64) + n, 255)
-        if some:
-            yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()), "counts": pa.array([pa.compress(total[i * step : (i + 1) * step].tobytes(), "zstd", asbytes=True) for i in range(SLICES)], pa.binary())})
+            if not b.num_rows:
+                continue
+            totals = totals or [np.zeros(size, dtype=np.uint32) for _ in range(n)]
+            for total, k in zip(totals, keys(b), strict=True):
+                at, times = np.unique((k & U64(size - 1)).astype(np.int64), return_counts=True)
+                total[at] += times.astype(np.uint32)
+        for which, total in enumerate(totals):
+            yield pa.RecordBatch.from_pydict({
+                "slice": pa.array(range(which * SLICES, (which + 1) * SLICES), pa.int32()),
+                "counts": pa.array([pa.compress(total[i * step : (i + 1) * step].tobytes(), "zstd", asbytes=True) for i in range(SLICES)], pa.binary()),
+            })
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(step, dtype=np.uint8)
+        total = np.zeros(step, dtype=np.uint64)
         for b in batches:
             for data in b.column("counts").to_pylist():
-                more = np.frombuffer(pa.decompress(data, step, "zstd", asbytes=True), dtype=np.uint8)
-                total = np.where(total > 255 - more, np.uint8(255), total + more).astype(np.uint8)
-        yield pa.RecordBatch.from_pydict({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([pa.compress(total.tobytes(), "zstd", asbytes=True)], pa.binary())})
+                total += np.frombuffer(pa.decompress(data, step * 4, "zstd", asbytes=True), dtype=np.uint32)
+        yield pa.RecordBatch.from_pydict({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([pa.compress(encode(total).tobytes(), "zstd", asbytes=True)], pa.binary())})
 
     schema = "slice int, counts binary"
-    out = np.zeros(size, dtype=np.uint8)
+    out = [np.zeros(size, dtype=np.uint8) for _ in range(n)]
     parts = df.mapInArrow(count, schema).groupBy("slice").applyInArrow(add, schema)
     for r in parts.collect():
-        out[r["slice"] * step : (r["slice"] + 1) * step] = np.frombuffer(pa.decompress(bytes(r["counts"]), step, "zstd", asbytes=True), dtype=np.uint8)
+        which, i = divmod(r["slice"], SLICES)
+        out[which][i * step : (i + 1) * step] = np.frombuffer(pa.decompress(bytes(r["counts"]), step, "zstd", asbytes=True), dtype=np.uint8)
     return out
+
+
+def sketch(df: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray], bits: int = SKETCH_BITS) -> np.ndarray:
+    """One count sketch."""
+    return sketches(df, lambda b: [keys(b)], 1, bits)[0]
+
+
+def seen(codes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The codes of keys in a sketch."""
+    return codes[(keys & U64(len(codes) - 1)).astype(np.int64)]

@@ -28,7 +28,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm import neardup
-from parlance.llm.hashing import mix, sketch
 from parlance.session import materialize
 
 BUCKETS = 16
@@ -143,11 +142,8 @@ class History:
         copies = past.select("id", "cls").join(copies.select("cls", F.col("id").alias("rep")), "cls").filter("id <> rep").select((F.col("id") * 2).alias("id"))
         past = past.select((F.col("id") * 2).alias("id"), "n", "set", F.lit(False).alias("new"))
         both = past.unionByName(heads)
-        counts = neardup.member_counts(both)
-        mine = sketch(heads.select("n", "set"), lambda b: mix(neardup._members(b)[1]))
-        found = neardup.roots(both, counts, self.threshold, both="new", other=mine)
-        found = materialize(found.join(copies, "id", "left_anti"), "roots")
-        pairs = neardup.trie_pairs(neardup.spread(found), self.threshold).distinct()
+        found = neardup.roots(both.join(copies, "id", "left_anti"), self.threshold, both="new")
+        pairs = neardup.trie_pairs(found, self.threshold).distinct()
         pairs = materialize(neardup.verify(pairs, both, self.threshold).select("a", "b"), "edges")
         item = lambda c: F.shiftright(F.col(c), 1)
         old = pairs.filter(F.col("b") % 2 == 0).select(item("a").alias("node")).distinct()

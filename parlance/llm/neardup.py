@@ -30,12 +30,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.hashing import U64, Vocabulary, mix, pack48, shingle_sets, sketch, unpack48
+from parlance.llm.hashing import U64, Vocabulary, decode, mix, pack48, seen, shingle_sets, sketch, sketches, unpack48
 from parlance.llm.trie import Trie, join
 from parlance.session import materialize
 
-#: Bits of an odd sketch.
-SKETCH = 256
+#: Bits of an odd sketch, and the columns that hold them.
+SKETCH = 128
+SK = [f"s{i}" for i in range(SKETCH // 64)]
+#: Groups up to this size are compared as one leaf.
+SMALL = 6
 #: Texts of one block of a hot root.
 BLOCK = 4096
 
@@ -73,142 +76,159 @@ def member_counts(sets: DataFrame) -> np.ndarray:
     return sketch(sets.select("n", "set"), lambda b: mix(_members(b)[1]))
 
 
-def roots(sets: DataFrame, counts: np.ndarray, threshold: float, both: str | None = None, other: np.ndarray | None = None) -> DataFrame:
-    """(root, block, part, id, side, pos, n, sk): the subtrees a text belongs to, one row per member of its prefix that may stand elsewhere.
+def _ordered(b: pa.RecordBatch, count: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
+    """(row, member, mixed member, code, position, sizes of the sets, probe prefixes, index prefixes) of a batch, members rarest first."""
+    row, h = _members(b)
+    n = b.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
+    m = mix(h)
+    c = seen(count, m)
+    order = np.lexsort((m, c, row))
+    row, h, m, c = row[order], h[order], m[order], c[order]
+    pos = np.arange(len(row)) - (np.cumsum(n) - n)[row]
+    probe = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
+    index = n - np.ceil(2 * threshold / (1 + threshold) * n - 1e-9).astype(np.int64) + 1
+    return row, h, m, c, pos, n, probe, index
+
+
+def _side(b: pa.RecordBatch, both: str | None) -> np.ndarray:
+    return np.ones(b.num_rows, dtype=bool) if both is None else b.column(both).to_numpy(zero_copy_only=False).astype(bool)
+
 
-    both: a boolean column; a pair needs at least one text with it set (None: all have it). other: a sketch of the texts with it
-    set; members that none of those hold are left out for the rest.
+def roots(sets: DataFrame, threshold: float, both: str | None = None) -> DataFrame:
+    """(key, id, meta, s0, s1): the subtrees a text belongs to, one row per member of its prefix that a near duplicate may share.
+
+    both: a boolean column; a pair needs at least one text with it set (None: all have it). Of a pair the first common member
+    lies in the longer prefix (probe) of the greater set and in the shorter one (index) of the smaller set. So a member within
+    its own index prefix is sent if it is in another probe prefix, and one behind it if it is in another index prefix; two
+    sketches of the prefixes tell. A root of more than BLOCK texts is dealt to blocks: the key is of root and pair of blocks.
     """
     sc = sets.sparkSession.sparkContext
-    known, known_other = sc.broadcast(counts), sc.broadcast(other)
-    words = SKETCH // 64
+    known = sc.broadcast(member_counts(sets))
+    cols = [c for c in ("id", "n", "set", both) if c]
+
+    def prefixes(b: pa.RecordBatch) -> list[np.ndarray]:
+        row, _, m, c, pos, _, probe, index = _ordered(b, known.value, threshold)
+        side = _side(b, both)[row]
+        # Other bits than those of the member counts, twice: what a collision lets pass in one sketch the others hold back.
+        one, two = m >> U64(24), mix(m ^ U64(1))
+        ways = [pos < probe[row], pos < index[row]]
+        if both is not None:
+            ways += [w & side for w in ways]
+        return [np.concatenate([one[w], two[w]]) for w in ways]
+
+    held = sc.broadcast(sketches(sets.select(*cols), prefixes, 2 if both is None else 4))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, low = known.value, U64(len(known.value) - 1)
         for b in batches:
             if not b.num_rows:
                 continue
-            row, h = _members(b)
-            n = b.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
-            side = np.ones(len(n), dtype=bool) if both is None else b.column(both).to_numpy(zero_copy_only=False).astype(bool)
-            m = mix(h)
-            c = count[(m & low).astype(np.int64)]
-            order = np.lexsort((m, c, row))
-            row, h, m, c = row[order], h[order], m[order], c[order]
+            row, h, m, c, pos, n, probe, index = _ordered(b, known.value, threshold)
+            side = _side(b, both)
             first = np.cumsum(n) - n
-            pos = np.arange(len(row)) - first[row]
+            # What deals a text to a block: a mix of its members.
+            deal = np.bitwise_xor.reduceat(mix(m + U64(1)), first)
             # Odd sketches of the members after each one, by running sums modulo 2 from the end.
             bit = (m >> U64(40)) % U64(SKETCH)
-            sk = np.zeros((len(row) + 1, words), dtype=U64)
+            sk = np.zeros((len(row) + 1, SKETCH // 64), dtype=U64)
             sk[np.arange(len(row)), (bit // U64(64)).astype(np.int64)] = U64(1) << (bit % U64(64))
             acc = np.bitwise_xor.accumulate(sk[::-1], axis=0)[::-1]
-            after = acc[1:] ^ acc[first + n][row]
-            prefix = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
-            send = (pos < prefix[row]) & (c > 1)
+            at = np.nonzero((pos < probe[row]) & (c > 1))[0]
+            row_, inner = row[at], (pos < index[row])[at]
+            one, two = m[at] >> U64(24), mix(m[at] ^ U64(1))
+            held_in = lambda w, one=one, two=two: np.minimum(seen(held.value[w], one), seen(held.value[w], two))
+            in_probe, in_index = held_in(0), held_in(1)
+            send = np.where(inner, in_probe > 1, in_index > 0)
             if both is not None:
-                seen = known_other.value[(m & low).astype(np.int64)]
                 # Texts with the column set pair with any; the rest only with those.
-                send &= side[row] | (seen > 0)
-            at = np.nonzero(send)[0]
+                new_probe, new_index = held_in(2), held_in(3)
+                send &= side[row_] | np.where(inner, new_probe > 0, new_index > 0)
+            at, blocks = at[send], np.maximum(-(-decode(in_probe[send]) // BLOCK), 1)
             r = row[at]
-            yield pa.RecordBatch.from_pydict({
-                "root": pa.array(h[at].astype(np.int64)),
-                "id": b.column("id").take(pa.array(r)),
-                "side": pa.array(side[r]),
-                "pos": pa.array(pos[at].astype(np.int32)),
-                "n": pa.array(n[r].astype(np.int32)),
-                "hot": pa.array(c[at] == 255),
-                "sk": pa.array([x.tobytes() for x in after[at]], pa.binary()),
-            })
+            # Every row goes to the pair of its block with each block.
+            copies = np.repeat(np.arange(len(at)), blocks)
+            other = np.arange(len(copies)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            at, r = at[copies], r[copies]
+            mine = (mix(deal[r] ^ m[at]) % blocks[copies].astype(U64)).astype(np.int64)
+            lo, hi = np.minimum(mine, other), np.maximum(mine, other)
+            key = mix(h[at] ^ mix((lo.astype(U64) << U64(32)) + hi.astype(U64)))
+            role = np.where(lo == hi, 0, np.where(mine == lo, 1, 2))
+            sk_at = acc[at + 1] ^ acc[(first + n)[r]]
+            meta = (n[r] << 32) | (pos[at] << 4) | (side[r].astype(np.int64) << 2) | role
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key.view(np.int64)), b.column("id").take(pa.array(r)), pa.array(meta), *[pa.array(np.ascontiguousarray(sk_at[:, i]).view(np.int64)) for i in range(SKETCH // 64)]],
+                names=["key", "id", "meta", *SK],
+            )
 
     kind = sets.schema["id"].dataType.simpleString()
-    cols = [c for c in ("id", "n", "set", both) if c]
-    return sets.select(*cols).mapInArrow(run, f"root bigint, id {kind}, side boolean, pos int, n int, hot boolean, sk binary")
-
-
-def spread(found: DataFrame) -> DataFrame:
-    """found with (block_a, block_b, part): rows of hot roots are dealt to blocks of about BLOCK texts, and every pair of blocks gets a copy of both."""
-    hot = found.filter("hot").groupBy("root").count().filter(F.col("count") > BLOCK).select("root", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    # At most rows / BLOCK roots; Spark broadcasts them if that is small, else joins by key with skewed keys split by AQE.
-    dealt = found.join(hot, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("with", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
-    return dealt.select("root", F.least("mine", "with").alias("block_a"), F.greatest("mine", "with").alias("block_b"), "mine", "id", "side", "pos", "n", "sk")
+    return sets.select(*cols).mapInArrow(run, f"key bigint, id {kind}, meta bigint, {', '.join(f'{s} bigint' for s in SK)}")
 
 
 def trie_pairs(found: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): candidate pairs of every subtree, once per subtree that keeps them; a and b in no order, a has side set."""
+    """(a, b): candidate pairs of every subtree, once per subtree that keeps them; a and b in no order, a has its side set."""
     rate = (1 - threshold) / (1 + threshold)
-    keys = ["root", "block_a", "block_b"]
     kind = found.schema["id"].dataType.simpleString()
-    parted = found.repartition(*keys).sortWithinPartitions(*keys)
+    parted = found.repartition("key").sortWithinPartitions("key")
 
-    def group(ids: np.ndarray, side: np.ndarray, mine: np.ndarray, pos: np.ndarray, n: np.ndarray, sk: np.ndarray, blocks: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    def group(ids: np.ndarray, side: np.ndarray, role: np.ndarray, pos: np.ndarray, n: np.ndarray, sk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         left, right = [], []
 
         def add(x: np.ndarray, y: np.ndarray | None) -> None:
             if not len(x) or (y is not None and not len(y)):
                 return
-            a = Trie(sk[x], pos[x], n[x])
-            b = None if y is None else Trie(sk[y], pos[y], n[y])
-            i, j = join(a, b, rate)
+            i, j = join(Trie(sk[x], pos[x], n[x]), None if y is None else Trie(sk[y], pos[y], n[y]), rate)
             left.append(ids[x[i]])
             right.append(ids[(x if y is None else y)[j]])
 
         at = np.arange(len(ids))
-        if blocks[0] == blocks[1]:
-            add(at[side], None)
-            add(at[side], at[~side])
-        else:
-            one = mine == blocks[0]
-            add(at[one & side], at[~one])
-            add(at[~one & side], at[one & ~side])
+        whole, one, two = role == 0, role == 1, role == 2
+        add(at[whole & side], None)
+        add(at[whole & side], at[whole & ~side])
+        add(at[one & side], at[two])
+        add(at[two & side], at[one & ~side])
         return (np.concatenate(left), np.concatenate(right)) if left else (ids[:0], ids[:0])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-
-        def work(t: pa.Table) -> pa.RecordBatch:
-            get = lambda c: t.column(c).to_numpy()
-            root, ba, bb, ids = get("root"), get("block_a"), get("block_b"), get("id")
-            side, mine, pos, n = get("side").astype(bool), get("mine"), get("pos").astype(np.int64), get("n").astype(np.int64)
-            sk = np.frombuffer(b"".join(t.column("sk").to_pylist()), dtype=U64).reshape(-1, SKETCH // 64)
-            new = np.nonzero(np.concatenate([[True], (root[1:] != root[:-1]) | (ba[1:] != ba[:-1]) | (bb[1:] != bb[:-1])]))[0]
-            size = np.diff(np.append(new, len(root)))
-            left, right = [], []
-            # Groups of two are the most common by far: one vectorised leaf.
-            two = new[size == 2]
-            x, y = two, two + 1
+    def work(t: pa.Table) -> pa.RecordBatch:
+        key, ids, meta = (t.column(c).to_numpy() for c in ("key", "id", "meta"))
+        n, pos, side, role = meta >> 32, (meta >> 4) & 0xFFFFFFF, (meta >> 2) & 1 == 1, meta & 3
+        sk = np.stack([t.column(c).to_numpy().view(U64) for c in SK], axis=1)
+        new = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0]
+        size = np.diff(np.append(new, len(key)))
+        left, right = [], []
+        # Small groups are the most common by far: all their pairs of the same distance are compared at once, as leaves.
+        for gap in range(1, SMALL):
+            x = np.concatenate([new[(size <= SMALL) & (size > gap + s)] + s for s in range(SMALL - gap)])
+            y = x + gap
             swap = ~side[x]
             x, y = np.where(swap, y, x), np.where(swap, x, y)
-            ok = side[x] & (np.bitwise_count(sk[x] ^ sk[y]).sum(axis=1, dtype=np.int64) + pos[x] + pos[y] <= rate * (n[x] + n[y]) + 1e-9)
+            ok = side[x] & (role[x] + role[y] != 2) & (role[x] + role[y] != 4) | (side[x] & (role[x] == 0) & (role[y] == 0))
+            ok &= np.bitwise_count(sk[x] ^ sk[y]).sum(axis=1, dtype=np.int64) + pos[x] + pos[y] <= rate * (n[x] + n[y]) + 1e-9
             left.append(ids[x[ok]])
             right.append(ids[y[ok]])
-            for s, k in zip(new[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-                g = slice(s, s + k)
-                i, j = group(ids[g], side[g], mine[g], pos[g], n[g], sk[g], (int(ba[s]), int(bb[s])))
-                left.append(i)
-                right.append(j)
-            a, b = np.concatenate(left), np.concatenate(right)
-            keep = a != b
-            return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+        for s, k in zip(new[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+            g = slice(s, s + k)
+            i, j = group(ids[g], side[g], role[g], pos[g], n[g], sk[g])
+            left.append(i)
+            right.append(j)
+        a, b = np.concatenate(left), np.concatenate(right)
+        keep = a != b
+        return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
         for batch in batches:
-            t = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            if not t.num_rows:
+            if not batch.num_rows:
                 continue
+            key = batch.column("key").to_numpy()
             # The last group may go on in the next batch.
-            last = [t.column(c)[-1].as_py() for c in keys]
-            begin = t.num_rows
-            tail = np.ones(t.num_rows, dtype=bool)
-            for c, v in zip(keys, last, strict=True):
-                tail &= t.column(c).to_numpy() == v
-            begin = int(np.nonzero(tail)[0][0])
-            if begin:
-                yield work(t.slice(0, begin))
-            rest = t.slice(begin)
-        if rest is not None and rest.num_rows:
-            yield work(rest)
+            begin = int(np.searchsorted(key, key[-1]))
+            if rest and rest[0].column("key")[0].as_py() != key[-1]:
+                yield work(pa.Table.from_batches([*rest, batch.slice(0, begin)]))
+                rest = []
+            elif begin:
+                yield work(pa.Table.from_batches([batch.slice(0, begin)]))
+            rest.append(batch.slice(begin))
+        if rest:
+            yield work(pa.Table.from_batches(rest))
 
     return parted.mapInArrow(run, f"a {kind}, b {kind}")
 
@@ -249,10 +269,8 @@ def classes(sets: DataFrame) -> DataFrame:
 def links(sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(pairs of class representatives (a, b, shared, similarity) with a < b, members (id, rep) of classes with copies) of materialised sets."""
     copies = materialize(classes(sets), "classes")
-    counts = member_counts(sets)
-    found = roots(sets, counts, threshold)
-    found = found.join(copies.filter(F.col("id") != F.col("rep")).select("id"), "id", "left_anti")
-    pairs = trie_pairs(spread(materialize(found, "roots")), threshold)
+    heads = sets.select("id", "n", "set").join(copies.filter(F.col("id") != F.col("rep")).select("id"), "id", "left_anti")
+    pairs = trie_pairs(roots(heads, threshold), threshold)
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return verify(pairs, sets, threshold), copies
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.hashing import U64, Prefixes, Vocabulary, mix, sketch, window_starts, words_of
+from parlance.llm.hashing import U64, Prefixes, Vocabulary, mix, seen, sketch, window_starts, words_of
 from parlance.session import materialize
 
 SPAN, GEAR, WINDOW = 40, 8, 8
@@ -100,14 +100,13 @@ def shared_windows(docs: DataFrame, key: str, text: str, span: int = SPAN) -> Da
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = counts.value
-        low = U64(len(known) - 1)
         for batch in batches:
             codes, lengths = _read(batch, vocabulary)
             prefixes = Prefixes(codes)
             _, a, b, digest = chunks(codes, lengths, prefixes)
             doc, start = window_starts(lengths, span)
             # alone[i]: chunks before the i-th that stand in one record only.
-            alone = np.concatenate([[0], np.cumsum(known[(digest & low).astype(np.int64)] < 2)])
+            alone = np.concatenate([[0], np.cumsum(seen(known, digest) < 2)])
             lo = np.searchsorted(a, start + GEAR + WINDOW - 2, side="left")
             hi = np.searchsorted(b, start + span - WINDOW, side="right")
             hi = np.maximum(hi, lo)
