@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import conversations, history, leaks, neardup, neighbours, spans
+from parlance.llm import conversations, history, leaks, neardup, neighbours, pii, spans
 from parlance.session import read_table, shared_dir
 
 
@@ -30,6 +30,24 @@ def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_classes(read_table(spark, sf_dir, "prompts"))
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tbl, rec_id, msg_no, text) of the prompts and the claude chat messages."""
+    prompts = read_table(spark, sf_dir, "prompts").select(F.lit("prompts").alias("tbl"), F.col("id").alias("rec_id"), F.lit(0).cast("bigint").alias("msg_no"), "text")
+    chats = read_table(spark, sf_dir, "claude_chat_export").select("rec_id", F.explode(F.transform("chat_messages", lambda m: F.struct(m["index"].alias("index"), m["text"].alias("text")))).alias("m"))
+    return prompts.unionByName(chats.select(F.lit("claude_chat_export").alias("tbl"), "rec_id", F.col("m.index").cast("bigint").alias("msg_no"), F.col("m.text").alias("text")))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A message that an export repeats counts once."""
+    found = pii.items(_texts(spark, sf_dir), ["tbl", "rec_id", "msg_no"], lexicon=read_table(spark, sf_dir, "name_lexicon"))
+    return found.distinct()
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with typed placeholders."""
+    return pii.redact(_texts(spark, sf_dir), lexicon=read_table(spark, sf_dir, "name_lexicon"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     prompts = neighbours.similar_pairs(read_table(spark, sf_dir, "prompts"), "id", "embedding", 64, 5, 0.95)
     events = neighbours.similar_pairs(read_table(spark, sf_dir, "telemetry_event"), "queue_id", "dna_vector", 36, 5, 0.99)
