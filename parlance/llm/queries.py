@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import conversations, history, leaks, neardup, neighbours, pii, spans
+from parlance.llm import conversations, history, leaks, neardup, neighbours, packing, pii, spans
 from parlance.session import read_table, shared_dir
 
 
@@ -62,6 +62,11 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.filter("verdict <> 'accepted'")
 
 
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The containers of 2,048 tokens that hold the documents."""
+    return packing.pack(packing.token_counts(read_table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id", "tokens")
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
 

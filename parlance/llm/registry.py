@@ -4,5 +4,5 @@ from __future__ import annotations
 
 from parlance.llm import queries as q
 
-QUERIES = {f.__name__: f for f in (q.p1_found, q.p3_found, q.p3_classes, q.p4_found, q.p4_redacted, q.p5_found, q.p7_found, q.p9_found, q.p9_edited, q.p10_found)}
+QUERIES = {f.__name__: f for f in (q.p1_found, q.p3_found, q.p3_classes, q.p4_found, q.p4_redacted, q.p5_found, q.p7_found, q.p8_containers, q.p9_found, q.p9_edited, q.p10_found)}
 SQL: dict[str, str] = {}
