@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from parlance.plans import blocks, instants
+from parlance.plans import blocks, instants, reports, texts
 
-QUERIES = {"p2_found": instants.p2_found, "p6_found": blocks.p6_found}
-SQL: dict[str, str] = {}
-FLAGSHIP = blocks.p6_found
+QUERIES = {"p2_found": instants.p2_found, "p6_found": blocks.p6_found, **reports.QUERIES, **texts.QUERIES}
+SQL: dict[str, str] = {**reports.SQL, **texts.SQL}
+FLAGSHIP = reports.exact_dedup_by_source
