@@ -6,11 +6,13 @@ Everything here works on numpy arrays that hold the words of many texts one afte
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import SparkContext
 from pyspark.sql import DataFrame
 
 WORD = re.compile(r"[^\W_]+")
@@ -189,6 +191,25 @@ def sketch(df: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray], bits: in
     return sketches(df, lambda b: [keys(b)], 1, bits)[0]
 
 
+_OPEN: dict[tuple[str, int], np.ndarray] = {}
+
+
+class Shared:
+    """Sketches sent to the tasks compressed, and opened once in each worker."""
+
+    def __init__(self, sc: SparkContext, arrays: list[np.ndarray]) -> None:
+        self.name, self.sizes = uuid.uuid4().hex, [len(a) for a in arrays]
+        self.sent = sc.broadcast([pa.compress(a.tobytes(), "zstd", asbytes=True) for a in arrays])
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        found = _OPEN.get((self.name, i))
+        if found is None:
+            if len(_OPEN) >= 6:
+                _OPEN.clear()
+            found = _OPEN[self.name, i] = np.frombuffer(pa.decompress(self.sent.value[i], self.sizes[i], "zstd", asbytes=True), dtype=np.uint8)
+        return found
+
+
 def seen(codes: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """The codes of keys in a sketch."""
     return codes[(keys & U64(len(codes) - 1)).astype(np.int64)]

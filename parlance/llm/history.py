@@ -138,8 +138,8 @@ class History:
         # Both sides get ids of their own: items odd, history even.
         heads = sets.join(nodes.select(F.col("node").alias("id")), "id", "left_semi").select((F.col("id") * 2 + 1).alias("id"), "n", "set", F.lit(True).alias("new"))
         past = self.table("paragraphs")
-        copies = past.groupBy("cls").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-        copies = past.select("id", "cls").join(copies.select("cls", F.col("id").alias("rep")), "cls").filter("id <> rep").select((F.col("id") * 2).alias("id"))
+        # Written, the copies have a known size: where they are few, leaving them out needs no shuffle of the sets.
+        copies = materialize(neardup.classes(past).filter("id <> rep").select((F.col("id") * 2).alias("id")), "copies")
         past = past.select((F.col("id") * 2).alias("id"), "n", "set", F.lit(False).alias("new"))
         both = past.unionByName(heads)
         found = neardup.roots(both.join(copies, "id", "left_anti"), self.threshold, both="new")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.hashing import U64, Vocabulary, decode, mix, pack48, seen, shingle_sets, sketch, sketches, unpack48
+from parlance.llm.hashing import U64, Shared, Vocabulary, decode, mix, pack48, seen, shingle_sets, sketch, sketches, unpack48
 from parlance.llm.trie import Trie, join
 from parlance.session import materialize
 
@@ -103,11 +103,11 @@ def roots(sets: DataFrame, threshold: float, both: str | None = None) -> DataFra
     sketches of the prefixes tell. A root of more than BLOCK texts is dealt to blocks: the key is of root and pair of blocks.
     """
     sc = sets.sparkSession.sparkContext
-    known = sc.broadcast(member_counts(sets))
+    known = Shared(sc, [member_counts(sets)])
     cols = [c for c in ("id", "n", "set", both) if c]
 
     def prefixes(b: pa.RecordBatch) -> list[np.ndarray]:
-        row, _, m, c, pos, _, probe, index = _ordered(b, known.value, threshold)
+        row, _, m, c, pos, _, probe, index = _ordered(b, known[0], threshold)
         side = _side(b, both)[row]
         # Other bits than those of the member counts, twice: what a collision lets pass in one sketch the others hold back.
         one, two = m >> U64(24), mix(m ^ U64(1))
@@ -116,13 +116,13 @@ def roots(sets: DataFrame, threshold: float, both: str | None = None) -> DataFra
             ways += [w & side for w in ways]
         return [np.concatenate([one[w], two[w]]) for w in ways]
 
-    held = sc.broadcast(sketches(sets.select(*cols), prefixes, 2 if both is None else 4))
+    held = Shared(sc, sketches(sets.select(*cols), prefixes, 2 if both is None else 4))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            row, h, m, c, pos, n, probe, index = _ordered(b, known.value, threshold)
+            row, h, m, c, pos, n, probe, index = _ordered(b, known[0], threshold)
             side = _side(b, both)
             first = np.cumsum(n) - n
             # What deals a text to a block: a mix of its members.
@@ -135,7 +135,7 @@ def roots(sets: DataFrame, threshold: float, both: str | None = None) -> DataFra
             at = np.nonzero((pos < probe[row]) & (c > 1))[0]
             row_, inner = row[at], (pos < index[row])[at]
             one, two = m[at] >> U64(24), mix(m[at] ^ U64(1))
-            held_in = lambda w, one=one, two=two: np.minimum(seen(held.value[w], one), seen(held.value[w], two))
+            held_in = lambda w, one=one, two=two: np.minimum(seen(held[w], one), seen(held[w], two))
             in_probe, in_index = held_in(0), held_in(1)
             send = np.where(inner, in_probe > 1, in_index > 0)
             if both is not None:

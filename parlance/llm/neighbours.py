@@ -107,6 +107,8 @@ def candidates(vectors: DataFrame, dim: int, k: int, least: float) -> DataFrame:
     sample = usable(pa.array([r["v"] for r in sampled.select("v").collect()], pa.list_(pa.float64())), dim)[1]
     curves = spark.sparkContext.broadcast(Curves(sample, total, dim))
     kind = vectors.schema["id"].dataType.simpleString()
+    # Two ranges a task, so that a task reads as much at any size.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // ROWS_PER_RANGE) * CURVES // 2)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for n, b in enumerate(batches):
@@ -119,7 +121,7 @@ def candidates(vectors: DataFrame, dim: int, k: int, least: float) -> DataFrame:
                 part = np.searchsorted(curves.value.bounds[c], keys, side="right") * CURVES + c
                 yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array((keys >> np.uint64(1)).astype(np.int64)), ids, data], names=["part", "key", "id", "half"])
 
-    dealt = vectors.select("id", "v").mapInArrow(index, f"part int, key bigint, id {kind}, half binary").repartition("part").sortWithinPartitions("part", "key")
+    dealt = vectors.select("id", "v").mapInArrow(index, f"part int, key bigint, id {kind}, half binary").repartition(tasks, "part").sortWithinPartitions("part", "key")
     keep = k + SPARE
 
     def compare(ids: np.ndarray, v: np.ndarray, fresh: int) -> tuple[list, list]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.hashing import U64, Prefixes, Vocabulary, mix, seen, sketch, window_starts, words_of
+from parlance.llm.hashing import U64, Prefixes, Shared, Vocabulary, mix, seen, sketch, window_starts, words_of
 from parlance.session import materialize
 
 SPAN, GEAR, WINDOW = 40, 8, 8
@@ -96,10 +96,10 @@ def shared_windows(docs: DataFrame, key: str, text: str, span: int = SPAN) -> Da
         new[1:] = (doc[1:] != doc[:-1]) | (digest[1:] != digest[:-1])
         return digest[new]
 
-    counts = docs.sparkSession.sparkContext.broadcast(sketch(docs.select("text"), digests))
+    counts = Shared(docs.sparkSession.sparkContext, [sketch(docs.select("text"), digests)])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = counts.value
+        known = counts[0]
         for batch in batches:
             codes, lengths = _read(batch, vocabulary)
             prefixes = Prefixes(codes)
