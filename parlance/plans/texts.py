@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.functions import features, text
-from parlance.operators import graph, periods, sessions, tfidf
-from parlance.operators.timestamps import with_instant
+from parlance.operators import graph, patterns, periods, sessions, tfidf
+from parlance.operators.timestamps import normalise
 from parlance.plans.reports import QUERIES, SQL, query, r6
 from parlance.session import read_table
 
@@ -126,6 +126,15 @@ def value_buckets(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "events").groupBy("event_type", F.expr(_DUR).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("value")).alias("avg_value"))
 
 
+@query("""
+SELECT n.token, count(*) AS n_prompts, count(DISTINCT p.session_id) AS n_sessions, round(avg(p.effectiveness_score), 8) AS avg_eff FROM prompts p JOIN name_lexicon n ON contains(p.text, n.token) GROUP BY n.token""")
+def pattern_effectiveness(spark: SparkSession, d: str) -> DataFrame:
+    """Mean effectiveness of the prompts that contain each token: a join on containment."""
+    p = read_table(spark, d, "prompts")
+    hits = patterns.contained(p, "id", "text", read_table(spark, d, "name_lexicon"), "token")
+    return hits.join(p.select("id", "session_id", "effectiveness_score"), "id").groupBy("token").agg(F.count(F.lit(1)).alias("n_prompts"), F.countDistinct("session_id").alias("n_sessions"), F.round(F.avg("effectiveness_score"), 8).alias("avg_eff"))
+
+
 # Sessions -----------------------------------------------------------------------------------------------------------------------------
 _TURNS = """turns AS (SELECT session_id, rec_id, type AS role, length(coalesce(message.content, '')) AS len, row_number() OVER w - 1 AS turn_no, count(*) OVER (PARTITION BY session_id) AS n
 FROM claude_session WHERE type IN ('user', 'assistant') WINDOW w AS (PARTITION BY session_id ORDER BY rec_id))"""
@@ -322,5 +331,6 @@ def topic_clusters(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def session_durations(spark: SparkSession, d: str) -> DataFrame:
     """First and last instant and length of every session, over mixed timestamps."""
-    t = with_instant(read_table(spark, d, "claude_session").withColumn("zone", F.lit(None).cast("string")), "timestamp", "zone", "at").filter("at IS NOT NULL")
+    lines = read_table(spark, d, "claude_session").select("session_id", F.col("timestamp").alias("raw"), F.lit(None).cast("string").alias("zone"))
+    t = normalise(lines).withColumnRenamed("utc_us", "at")
     return t.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_lines"), F.min("at").alias("first_us"), F.max("at").alias("last_us"), F.expr("(max(at) - min(at)) div 1000000").alias("seconds"))
