@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import SparkContext
+from pyspark import SparkContext, TaskContext
 from pyspark.sql import DataFrame
 
 WORD = re.compile(r"[^\W_]+")
@@ -131,6 +131,8 @@ def unpack48(data: bytes) -> np.ndarray:
 # Count sketches ------------------------------------------------------------------------------------------------------------
 #: Counters of a sketch: 2**24 bytes whatever the data, so that it may be sent to every executor.
 SKETCH_BITS, SLICES = 24, 64
+#: Tasks whose counters are added up in one step.
+TASKS = 256
 #: Counts up to LINEAR are exact; above, each code is 2**(1/4) times the one before, rounded up.
 LINEAR = 127
 
@@ -167,19 +169,32 @@ def sketches(df: DataFrame, keys: Callable[[pa.RecordBatch], list[np.ndarray]],
         for which, total in enumerate(totals):
             yield pa.RecordBatch.from_pydict({
                 "slice": pa.array(range(which * SLICES, (which + 1) * SLICES), pa.int32()),
+                "salt": pa.array([TaskContext.get().partitionId() // TASKS] * SLICES, pa.int32()),
                 "counts": pa.array([pa.compress(total[i * step : (i + 1) * step].tobytes(), "zstd", asbytes=True) for i in range(SLICES)], pa.binary()),
             })
 
-    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(key: tuple, batches: Iterator[pa.RecordBatch], last: bool) -> pa.RecordBatch:
         total = np.zeros(step, dtype=np.uint64)
         for b in batches:
             for data in b.column("counts").to_pylist():
                 total += np.frombuffer(pa.decompress(data, step * 4, "zstd", asbytes=True), dtype=np.uint32)
-        yield pa.RecordBatch.from_pydict({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([pa.compress(encode(total).tobytes(), "zstd", asbytes=True)], pa.binary())})
-
-    schema = "slice int, counts binary"
+        data = encode(total) if last else np.minimum(total, np.iinfo(np.uint32).max).astype(np.uint32)
+        cols = {"slice": pa.array([key[0].as_py()], pa.int32()), "salt": pa.array([0], pa.int32()), "counts": pa.array([pa.compress(data.tobytes(), "zstd", asbytes=True)], pa.binary())}
+        return pa.RecordBatch.from_pydict(cols)
+
+    def some(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield add(key, batches, False)
+
+    def all_(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield add(key, batches, True)
+
+    schema = "slice int, salt int, counts binary"
+    parts = df.mapInArrow(count, schema)
+    # Many tasks are added up in two steps, so that no task reads the counters of all of them.
+    if df.rdd.getNumPartitions() > TASKS:
+        parts = parts.groupBy("slice", "salt").applyInArrow(some, schema)
+    parts = parts.groupBy("slice").applyInArrow(all_, schema)
     out = [np.zeros(size, dtype=np.uint8) for _ in range(n)]
-    parts = df.mapInArrow(count, schema).groupBy("slice").applyInArrow(add, schema)
     for r in parts.collect():
         which, i = divmod(r["slice"], SLICES)
         out[which][i * step : (i + 1) * step] = np.frombuffer(pa.decompress(bytes(r["counts"]), step, "zstd", asbytes=True), dtype=np.uint8)

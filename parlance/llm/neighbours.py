@@ -81,6 +81,7 @@ class Curves:
         self.dims = min(DIMS, dim)
         self.maps, self.bounds = [], []
         ranges = max(1, -(-total // ROWS_PER_RANGE))
+        sample = sample if len(sample) else np.zeros((1, dim))
         for _ in range(CURVES):
             r = np.linalg.qr(rng.normal(size=(dim, dim)))[0][:, : self.dims]
             y = sample @ r
