@@ -61,7 +61,7 @@ def with_instant(df: DataFrame, raw: str = "raw", zone: str = "zone", to: str =
     Column zone holds the IANA zone of values that name none; where it is null those have no instant. The steps are separate
     projections, so that no pattern is evaluated twice.
     """
-    keep = df.columns
+    keep = [c for c in df.columns if c != to]
     df = df.withColumn("_s", clean(F.col(raw)))
     df = df.withColumn("_f", F.split(_canonical(F.col("_s")), r"\|"))
     part = lambda k: F.nullif(F.get(F.col("_f"), F.lit(k)), F.lit(""))
