@@ -77,16 +77,16 @@ def two_step_loops(df: DataFrame, session: str, order: list[str], step: str, ind
     d = df.filter(F.col(step).isNotNull()).select(session, *order, step, index, F.row_number().over(w).alias("_i"), F.lag(step, 1).over(w).alias("_p1"), F.lag(step, 2).over(w).alias("_p2"), F.lag(index, 2).over(w).alias("_x2"))
     d = d.filter((F.col(step) == F.col("_p2")) & (F.col(step) != F.col("_p1")))
     d = d.withColumn("_g", F.col("_i") - F.row_number().over(Window.partitionBy(session).orderBy("_i")))
-    r = d.groupBy(session, "_g").agg((F.min("_i") - 2).alias("s"), F.max("_i").alias("e"), F.min(F.struct("_i", "_p2", "_p1")).alias("f"))
-    r = r.withColumn("len", F.col("e") - F.col("s") + 1)
-    v = Window.partitionBy(session).orderBy("s")
-    joined = (F.col("s") == F.lag("e").over(v)) & (F.lag("len").over(v) >= 4)
-    r = r.withColumn("_reset", F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1)).withColumn("_even", F.when((F.col("len") >= 4) & (F.col("len") % 2 == 0), 1).otherwise(0))
+    r = d.groupBy(session, "_g").agg((F.min("_i") - 2).alias("_s"), F.max("_i").alias("_e"), F.min(F.struct("_i", "_p2", "_p1")).alias("_f"))
+    r = r.withColumn("_len", F.col("_e") - F.col("_s") + 1)
+    v = Window.partitionBy(session).orderBy("_s")
+    joined = (F.col("_s") == F.lag("_e").over(v)) & (F.lag("_len").over(v) >= 4)
+    r = r.withColumn("_reset", F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1)).withColumn("_even", F.when((F.col("_len") >= 4) & (F.col("_len") % 2 == 0), 1).otherwise(0))
     r = r.withColumn("_chain", F.sum("_reset").over(v))
-    r = r.withColumn("_shift", F.coalesce(F.sum("_even").over(Window.partitionBy(session, "_chain").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2)
-    r = r.withColumn("loops", F.expr("(len - _shift) div 2")).filter("loops >= 2")
-    first, second = F.when(F.col("_shift") == 0, F.col("f._p2")).otherwise(F.col("f._p1")), F.when(F.col("_shift") == 0, F.col("f._p1")).otherwise(F.col("f._p2"))
-    return r.select(session, (F.col("s") + F.col("_shift")).cast("bigint").alias("start_at"), (F.col("s") + F.col("_shift") + 2 * F.col("loops") - 1).cast("bigint").alias("end_at"), F.col("loops").cast("bigint"), F.concat(first, F.lit("->"), second).alias("fingerprint"))
+    r = r.withColumn("_shift", F.coalesce(F.sum("_even").over(Window.partitionBy(session, "_chain").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2)
+    r = r.withColumn("loops", F.expr("(_len - _shift) div 2")).filter("loops >= 2")
+    first, second = F.when(F.col("_shift") == 0, F.col("_f._p2")).otherwise(F.col("_f._p1")), F.when(F.col("_shift") == 0, F.col("_f._p1")).otherwise(F.col("_f._p2"))
+    return r.select(session, (F.col("_s") + F.col("_shift")).cast("bigint").alias("start_at"), (F.col("_s") + F.col("_shift") + 2 * F.col("loops") - 1).cast("bigint").alias("end_at"), F.col("loops").cast("bigint"), F.concat(first, F.lit("->"), second).alias("fingerprint"))
 
 
 def single_step_loops(df: DataFrame, session: str, order: list[str], step: str, least: int = 3) -> DataFrame:

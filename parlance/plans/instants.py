@@ -8,18 +8,18 @@ from pyspark.sql import functions as F
 from parlance.operators import timestamps
 from parlance.session import read_table
 
-# Table, key, field and source of each field of problem 2.
+# Table, key, field and source (an expression) of each field of problem 2.
 FIELDS = [
-    ("prompts", "id", "timestamp", F.col("source")),
-    ("chatgpt_conversations", "rec_id", "create_time", F.lit("chatgpt-export")),
-    ("claude_chat_export", "rec_id", "created_at", F.lit("claude-chat-export")),
-    ("gemini_session", "rec_id", "timestamp", F.lit("gemini")),
+    ("prompts", "id", "timestamp", "source"),
+    ("chatgpt_conversations", "rec_id", "create_time", "'chatgpt-export'"),
+    ("claude_chat_export", "rec_id", "created_at", "'claude-chat-export'"),
+    ("gemini_session", "rec_id", "timestamp", "'gemini'"),
 ]
 
 
 def values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(tbl, rec_id, raw, zone) of all rows of the four tables."""
-    parts = [read_table(spark, sf_dir, t).select(F.lit(t).alias("tbl"), F.col(k).alias("rec_id"), F.col(c).alias("raw"), s.alias("source")) for t, k, c, s in FIELDS]
+    parts = [read_table(spark, sf_dir, t).select(F.lit(t).alias("tbl"), F.col(k).alias("rec_id"), F.col(c).alias("raw"), F.expr(s).alias("source")) for t, k, c, s in FIELDS]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

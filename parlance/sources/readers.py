@@ -15,6 +15,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +29,41 @@ def _lines(spark: SparkSession, path: str, glob: str) -> DataFrame:
     return df.select("value", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("seq"))
 
 
+def _hidden_lines(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """(value, file, seq) of all files of a name below a folder, where the name begins with a dot: Spark's own sources pass over those.
+
+    Only paths are listed by the driver; the files are read in the tasks, a line at a time.
+    """
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    found, it = [], root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True)
+    while it.hasNext():
+        file = it.next().getPath()
+        if file.getName() == name:
+            found.append((file.toUri().toString(),))
+    files = spark.createDataFrame(found, "file string").repartition(max(1, min(len(found), 1000)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for file in b.column("file").to_pylist():
+                fs, place = pa.fs.FileSystem.from_uri(file)
+                with io.TextIOWrapper(fs.open_input_stream(place), "utf-8", "replace") as f:
+                    values, at = [], 0
+                    for line in f:
+                        values.append(line.rstrip("\r\n"))
+                        if len(values) == 10_000:
+                            yield _numbered(file, values, at)
+                            values, at = [], at + len(values)
+                    yield _numbered(file, values, at)
+
+    df = files.mapInArrow(run, "value string, file string, row bigint")
+    return df.select("value", "file", F.struct(F.lit(0).cast("bigint").alias("block"), "row").alias("seq"))
+
+
+def _numbered(file: str, values: list[str], at: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"value": pa.array(values, pa.string()), "file": pa.array([file] * len(values), pa.string()), "row": pa.array(range(at, at + len(values)), pa.int64())})
+
+
 def _json(spark: SparkSession, path: str, glob: str, schema: str) -> DataFrame:
     df = spark.read.schema(schema).option("multiLine", "true").option("mode", "PERMISSIVE").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).json(path)
     return df.select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("_row"))
@@ -113,7 +149,7 @@ def codex(spark: SparkSession, path: str) -> DataFrame:
 
 def aider(spark: SparkSession, path: str) -> DataFrame:
     """Markdown history: a session header carries forward to the `#### ` lines after it."""
-    df = _lines(spark, path, ".aider.chat.history.md")
+    df = _hidden_lines(spark, path, ".aider.chat.history.md")
     w = Window.partitionBy("file").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     started = F.nullif(F.regexp_extract("value", r"^# aider chat started at (\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})", 1), F.lit(""))
     df = df.withColumn("started", F.last(started, ignorenulls=True).over(w)).filter(F.col("value").startswith("#### "))
