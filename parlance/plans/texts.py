@@ -183,7 +183,7 @@ def session_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH g AS (SELECT install_id, avg(score_clarity) AS prompt, CASE WHEN count(*) >= 3 THEN avg(score_context) END AS efficiency, avg(CASE WHEN task_type = 'debug' THEN score_position END) AS focus, avg(effectiveness_score) * 25 AS outcome FROM telemetry_event GROUP BY install_id)
-SELECT install_id, round((coalesce(prompt * 0.3, 0) + coalesce(efficiency * 0.3, 0) + coalesce(focus * 0.2, 0) + coalesce(outcome * 0.2, 0)) / nullif(CASE WHEN prompt IS NULL THEN 0 ELSE 0.3 END + CASE WHEN efficiency IS NULL THEN 0 ELSE 0.3 END + CASE WHEN focus IS NULL THEN 0 ELSE 0.2 END + CASE WHEN outcome IS NULL THEN 0 ELSE 0.2 END, 0), 5) AS quality FROM g""")
+SELECT install_id, round((coalesce(prompt * 0.3, 0) + coalesce(efficiency * 0.3, 0) + coalesce(focus * 0.2, 0) + coalesce(outcome * 0.2, 0)) / nullif(CASE WHEN prompt IS NULL THEN 0 ELSE 0.3 END + CASE WHEN efficiency IS NULL THEN 0 ELSE 0.3 END + CASE WHEN focus IS NULL THEN 0 ELSE 0.2 END + CASE WHEN outcome IS NULL THEN 0 ELSE 0.2 END, 0), 9) AS quality FROM g""")
 def session_quality(spark: SparkSession, d: str) -> DataFrame:
     """Weighted mean over the parts that are there."""
     g = read_table(spark, d, "telemetry_event").groupBy("install_id").agg(
@@ -192,7 +192,7 @@ def session_quality(spark: SparkSession, d: str) -> DataFrame:
         F.avg(F.when(F.col("task_type") == "debug", F.col("score_position"))).alias("focus"),
         (F.avg("effectiveness_score") * 25).alias("outcome"),
     )
-    return g.select("install_id", F.round(sessions.quality({k: F.col(k) for k in sessions.QUALITY}), 5).alias("quality"))
+    return g.select("install_id", F.round(sessions.quality({k: F.col(k) for k in sessions.QUALITY}), 9).alias("quality"))
 
 
 @query("""

@@ -91,7 +91,7 @@ def test_stream_equals_batch(spark, tmp_path):
         q.awaitTermination()
         got, want = {tuple(r) for r in spark.table(f"q_{name}").collect()}, {tuple(r) for r in f(spark.read.parquet(src)).collect()}
         # In append mode windows that the watermark has not passed are still open.
-        assert got == want if name == "t" else got <= want and len(got) > 0.5 * len(want)
+        assert got == want if name == "t" else bool(got) and got <= want
 
 
 def test_append_new_is_idempotent(spark, tmp_path):
