@@ -114,3 +114,50 @@ def within_loops(df: DataFrame, found: DataFrame, session: str, position: str) -
     """The distinct rows of df whose position lies in a loop of their session (an interval semi-join by session and position)."""
     inside = found.select(session, F.explode(F.sequence("start_at", "end_at")).alias(position)).distinct()
     return df.join(inside, [session, position], "left_semi")
+
+
+# Distillation -------------------------------------------------------------------------------------------------------------------
+#: Similarities below this count as none in the signal of uniqueness, so that no turn is compared with all earlier ones.
+LEAST_SIMILARITY = 0.5
+
+
+def semantic_signals(turns: DataFrame, session: str, turn: str, tokens: Column) -> DataFrame:
+    """(session, turn, shift, unique): how far a turn is from the one before it, and from the nearest earlier one.
+
+    TF-IDF is fitted in each session. shift = 1 - cosine with the turn before (0.5 for the first); unique = 1 - the greatest cosine
+    with an earlier turn of LEAST_SIMILARITY or more, 1 without one. Turns without terms have shift 0.5 and unique 1.
+    """
+    from parlance.operators import tfidf
+
+    d = turns.select(session, turn, F.struct(session, turn).alias("_k"), tokens.alias("_t"))
+    counts = d.select(session, "_k", F.explode("_t").alias("term")).groupBy(session, "_k", "term").agg(F.count(F.lit(1)).alias("c"))
+    w = tfidf.weights(counts, "_k", group=session)
+    mine = w.select("_k", "term", "w")
+    # A turn meets only the one before it: an equi-join on session, turn and term.
+    before = mine.select(F.struct(F.col(f"_k.{session}").alias(session), (F.col(f"_k.{turn}") + 1).alias(turn)).alias("_k"), "term", F.col("w").alias("v"))
+    shift = mine.join(before, ["_k", "term"]).groupBy("_k").agg(F.sum(F.col("w") * F.col("v")).alias("_s"))
+    near = tfidf.cosine_pairs(w, "_k", LEAST_SIMILARITY, session).groupBy(F.col("b").alias("_k")).agg(F.max("similarity").alias("_m"))
+    known = mine.select("_k", F.lit(True).alias("_has")).distinct()
+    out = d.drop("_t").join(known, "_k", "left").join(shift, "_k", "left").join(near, "_k", "left")
+    has = F.coalesce("_has", F.lit(False)) & (F.col(turn) > 0)
+    return out.select(session, turn, F.when(has, 1 - F.coalesce("_s", F.lit(0.0))).otherwise(0.5).alias("shift"), (1 - F.least(F.coalesce("_m", F.lit(0.0)), F.lit(1.0))).alias("unique"))
+
+
+def distil(turns: DataFrame, session: str, turn: str, signals: dict[str, Column], weights: dict[str, float] = WEIGHTS, least: float = 0.3) -> DataFrame:
+    """turns (role, the signals' columns) with importance and kept.
+
+    A user turn weighs its signals; the only user turn of a session weighs 1. An assistant turn has the mean of the nearest user
+    turns before and after it. Kept are user turns of `least` or more, each with the assistant turn right after it.
+    """
+    user = F.col("role") == "user"
+    score = sum((signals[k] * v for k, v in weights.items() if k in signals), F.lit(0.0)) / sum(v for k, v in weights.items() if k in signals)
+    whole = Window.partitionBy(session)
+    d = turns.withColumn("_u", F.when(user, F.when(F.sum(user.cast("int")).over(whole) == 1, 1.0).otherwise(score)))
+    w = whole.orderBy(turn)
+    back = F.last("_u", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    ahead = F.last("_u", ignorenulls=True).over(whole.orderBy(F.desc(turn)).rowsBetween(Window.unboundedPreceding, -1))
+    mean = (F.coalesce(back, ahead) + F.coalesce(ahead, back)) / 2
+    d = d.withColumn("importance", F.coalesce(F.when(user, F.col("_u")).otherwise(mean), F.lit(0.0)))
+    chosen = user & (F.col("importance") >= least)
+    follows = ~user & F.coalesce(F.lag(chosen).over(w), F.lit(False))
+    return d.withColumn("kept", chosen | follows).drop("_u")

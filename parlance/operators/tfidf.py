@@ -17,14 +17,22 @@ def term_counts(df: DataFrame, key: str, tokens: Column) -> DataFrame:
     return df.select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("c"))
 
 
-def weights(counts: DataFrame, key: str, least_df: int = 1) -> DataFrame:
-    """(key, term, w, df): vectors of length one. The number of texts is an aggregate of one row, attached to the vocabulary."""
+def weights(counts: DataFrame, key: str, least_df: int = 1, group: str | None = None) -> DataFrame:
+    """(key, term, w, df): vectors of length one. With group (a column of counts) each group has texts and frequencies of its own.
+
+    Without, the number of texts is one aggregate; with, it is joined by group.
+    """
+    by = [group] if group else []
     counts = materialize(counts, "terms")
-    n = counts.select(key).distinct().count()
-    vocabulary = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= least_df)
-    raw = counts.join(vocabulary, "term").withColumn("raw", (1 + F.log("c")) * (F.log((1.0 + n) / (1 + F.col("df"))) + 1))
+    vocabulary = counts.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= least_df)
+    raw = counts.join(vocabulary, [*by, "term"])
+    if group:
+        raw = raw.join(counts.groupBy(group).agg(F.countDistinct(key).alias("_n")), group)
+    else:
+        raw = raw.withColumn("_n", F.lit(counts.select(key).distinct().count()))
+    raw = raw.withColumn("raw", (1 + F.log("c")) * (F.log((1.0 + F.col("_n")) / (1 + F.col("df"))) + 1))
     norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norms, key).select(key, "term", (F.col("raw") / F.col("norm")).alias("w"), "df")
+    return raw.join(norms, key).select(*by, key, "term", (F.col("raw") / F.col("norm")).alias("w"), "df")
 
 
 def term_stats(df: DataFrame, key: str, tokens: Column, least_df: int = 1) -> DataFrame:
@@ -35,13 +43,16 @@ def term_stats(df: DataFrame, key: str, tokens: Column, least_df: int = 1) -> Da
     return w.groupBy("term").agg(F.max("df").alias("df"), (F.sum("w") / F.lit(max(n, 1))).alias("tfidf_avg"))
 
 
-def cosine_pairs(vectors: DataFrame, key: str, threshold: float) -> DataFrame:
-    """(a, b, similarity), a < b: all pairs of cosine `threshold` or more of sparse vectors (key, term, w, df) of length one.
+def cosine_pairs(vectors: DataFrame, key: str, threshold: float, group: str | None = None) -> DataFrame:
+    """(a, b, similarity), a < b: all pairs of cosine `threshold` or more of sparse vectors (key, term, w, df) of length one; with
+    group only pairs of one group.
 
     A pair of that cosine shares a term before the rest of either vector falls below the threshold in length (terms rarest first):
     only those prefixes are joined, so frequent terms make no candidates. Candidates are scored on the full vectors.
     """
-    v = materialize(vectors.select(F.col(key).alias("k"), "term", "w", "df"), "vectors")
+    # A term of a group is a term of its own.
+    term = F.concat_ws("\x1f", F.col(group).cast("string"), "term") if group else F.col("term")
+    v = materialize(vectors.select(F.col(key).alias("k"), term.alias("term"), "w", "df"), "vectors")
     # By Cauchy-Schwarz a rest of length r adds at most r to a cosine; each text's terms are bounded by the text.
     ordered = v.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("df", "term", "w"))).alias("t"))
     rest = F.aggregate("t", F.struct(F.lit(1.0).alias("left"), F.array().cast("array<string>").alias("keep")), lambda s, x: F.struct((s["left"] - x["w"] * x["w"]).alias("left"), F.when(s["left"] >= threshold * threshold - 1e-9, F.concat(s["keep"], F.array(x["term"]))).otherwise(s["keep"]).alias("keep")))

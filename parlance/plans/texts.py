@@ -239,6 +239,51 @@ def carried_error(spark: SparkSession, d: str) -> DataFrame:
     return sessions.carry_forward(e, "user_id", ["ts", "event_id"], "err", "last_error").select("user_id", "event_id", "last_error")
 
 
+@query()
+def distilled_turns(spark: SparkSession, d: str) -> DataFrame:
+    """Importance of every turn by position, length, shift and uniqueness, and whether distillation keeps it (tested by hand)."""
+    t = read_table(spark, d, "claude_session").filter(F.col("type").isin("user", "assistant"))
+    t = t.select("session_id", "rec_id", F.col("type").alias("role"), F.coalesce("message.content", F.lit("")).alias("content"))
+    t = sessions.numbered(t, "session_id", ["rec_id"])
+    s = sessions.semantic_signals(t, "session_id", "turn_no", text.words(F.lower("content")))
+    med = t.groupBy("session_id").agg(F.median(F.length("content")).alias("med"))
+    t = t.join(s, ["session_id", "turn_no"]).join(med, "session_id")
+    signals = {
+        "position": sessions.position_signal(F.col("turn_no"), F.col("n_turns")),
+        "length": F.when(F.col("med") > 0, F.least(F.length("content") / F.col("med"), F.lit(1.0))).otherwise(0.0),
+        "shift": F.col("shift"),
+        "unique": F.col("unique"),
+    }
+    out = sessions.distil(t, "session_id", "turn_no", signals)
+    return out.select("session_id", "turn_no", "role", r6(F.col("shift")).alias("shift"), r6(F.col("unique")).alias("unique"), r6(F.col("importance")).alias("importance"), "kept")
+
+
+@query("""
+SELECT queue_id, len(v) AS dim, round(list_sum(list_transform(v, lambda x: coalesce(x, 0))), 6) AS total FROM (SELECT queue_id, [score_total, score_structure, score_context, score_position, score_repetition, score_clarity, effectiveness_score] AS v FROM telemetry_event)""")
+def score_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The scores of an event as one vector, nulls as 0."""
+    names = ["score_total", "score_structure", "score_context", "score_position", "score_repetition", "score_clarity", "effectiveness_score"]
+    v = F.array(*[F.coalesce(F.col(n), F.lit(0.0)) for n in names])
+    return read_table(spark, d, "telemetry_event").select("queue_id", F.size(v).cast("bigint").alias("dim"), r6(F.aggregate(v, F.lit(0.0), lambda s, x: s + x)).alias("total"))
+
+
+_CENTRES = {"even": (14.0, 8.5, 11.5, 8.5, 14.0), "structured": (2.0, 14.0, 12.0, 6.0, 12.0), "brief": (1.0, 3.0, 18.0, 1.0, 8.0)}
+
+
+def _distance(c: tuple[float, ...]) -> str:
+    return " + ".join(f"pow(coalesce(score_{n}, 0) - {v}, 2)" for n, v in zip(("structure", "context", "position", "repetition", "clarity"), c, strict=True))
+
+
+@query(f"""
+WITH x AS (SELECT source, {", ".join(f"{_distance(c)} AS {n}" for n, c in _CENTRES.items())} FROM telemetry_event)
+SELECT source, CASE WHEN even <= structured AND even <= brief THEN 'even' WHEN structured <= brief THEN 'structured' ELSE 'brief' END AS centre, count(*) AS n FROM x GROUP BY 1, 2""")
+def nearest_centre(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest of a few given centres for every event: an expression over constants, in place of a join."""
+    at = [F.struct(F.expr(_distance(c)).alias("distance"), F.lit(i).alias("i"), F.lit(n).alias("centre")) for i, (n, c) in enumerate(_CENTRES.items())]
+    t = read_table(spark, d, "telemetry_event").select("source", F.array_min(F.array(*at))["centre"].alias("centre"))
+    return t.groupBy("source", "centre").agg(F.count(F.lit(1)).alias("n"))
+
+
 # Periods ------------------------------------------------------------------------------------------------------------------------------
 _END = datetime(2024, 1, 31)
 

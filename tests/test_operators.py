@@ -172,6 +172,19 @@ def test_quality_and_frustration(spark):
     assert out["a"]["abandoned"] and out["a"]["escalated"] and not out["b"]["abandoned"] and not out["c"]["escalated"]
 
 
+def test_distillation(spark):
+    said = {"a": ["alpha beta", "gamma", "alpha beta", "", "delta"], "b": ["only one"]}
+    rows = [(s, i, "user" if i % 2 == 0 else "assistant", t) for s, ts in said.items() for i, t in enumerate(ts)]
+    df = spark.createDataFrame(rows, "s string, no int, role string, t string")
+    out = {(r["s"], r["no"]): r for r in sessions.semantic_signals(df, "s", "no", F.filter(F.split("t", " "), lambda x: x != "")).collect()}
+    assert len(out) == len(rows)
+    assert [round(out["a", i]["shift"], 6) for i in range(5)] == [0.5, 1.0, 1.0, 0.5, 1.0]
+    assert [round(out["a", i]["unique"], 6) for i in range(5)] == [1.0, 1.0, 0.0, 1.0, 1.0] and out["b", 0]["unique"] == 1.0
+    got = {(r["s"], r["no"]): (r["importance"], r["kept"]) for r in sessions.distil(df, "s", "no", {"position": F.when(F.col("no") == 2, 0.1).otherwise(0.5)}).collect()}
+    assert got["b", 0] == (1.0, True) and got["a", 0] == (0.5, True) and got["a", 1] == (pytest.approx(0.3), True)
+    assert got["a", 2] == (0.1, False) and got["a", 3][1] is False and got["a", 4][1] is True
+
+
 # Graphs and similarity ------------------------------------------------------------------------------------------------------------
 def test_leaders_and_components(spark):
     rng = random.Random(4)
