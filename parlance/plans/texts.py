@@ -135,6 +135,25 @@ def pattern_effectiveness(spark: SparkSession, d: str) -> DataFrame:
     return hits.join(p.select("id", "session_id", "effectiveness_score"), "id").groupBy("token").agg(F.count(F.lit(1)).alias("n_prompts"), F.countDistinct("session_id").alias("n_sessions"), F.round(F.avg("effectiveness_score"), 8).alias("avg_eff"))
 
 
+@query()
+def compression_by_source(spark: SparkSession, d: str) -> DataFrame:
+    """Mean and greatest share of words that compression saves (Arrow function; tested by hand)."""
+    from parlance.functions import rewriting
+
+    p = read_table(spark, d, "prompts").filter("text IS NOT NULL").select("source", "text", rewriting.compress("text").alias("short"))
+    p = p.withColumn("s", rewriting.saved(F.col("text"), F.col("short")))
+    return p.groupBy("source").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("s")).alias("avg_saved"), F.max("s").alias("most_saved"))
+
+
+@query("""
+SELECT id, '## Task' || chr(10) || trim(text) || CASE WHEN trim(coalesce(project, '')) <> '' THEN chr(10) || chr(10) || '## Context' || chr(10) || trim(project) ELSE '' END AS prompt FROM prompts WHERE trim(text) <> ''""")
+def built_prompts(spark: SparkSession, d: str) -> DataFrame:
+    from parlance.functions import rewriting
+
+    p = read_table(spark, d, "prompts").filter("trim(text) <> ''")
+    return p.select("id", rewriting.build({"task": F.col("text"), "context": F.coalesce("project", F.lit(""))}).alias("prompt"))
+
+
 # Sessions -----------------------------------------------------------------------------------------------------------------------------
 _TURNS = """turns AS (SELECT session_id, rec_id, type AS role, length(coalesce(message.content, '')) AS len, row_number() OVER w - 1 AS turn_no, count(*) OVER (PARTITION BY session_id) AS n
 FROM claude_session WHERE type IN ('user', 'assistant') WINDOW w AS (PARTITION BY session_id ORDER BY rec_id))"""

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from parlance.functions import features, text
+from parlance.functions import features, rewriting, text
 from parlance.operators import graph, patterns, periods, sessions, shred, stores, tfidf, timestamps
 
 # Timestamps ---------------------------------------------------------------------------------------------------------------------
@@ -261,6 +261,30 @@ def test_segments_and_scores(spark):
     assert all(0 <= r["total"] <= 100 for r in rows)
 
 
+def test_compression():
+    c = rewriting.compress_text
+    assert c("Could you please  fix it in order to pass?") == "Fix it to pass?"
+    assert c("Use `really very` and src/very/just.py, just now") == "Use `really very` and src/very/just.py, now"
+    assert c("“Quoted” — text. Thanks a lot!") == '"Quoted" - text.'
+    assert c("keep  the really long  form", safe=True) == "keep the really long form"
+    assert c(None) is None and c("") == "" and c(" \n") == "" and len(c("word " * 50000)) > 100000
+    long = "Some background about the log.\n\nMore lines here.\n\nMaybe fix the parser"
+    assert rewriting.rewrite_text(long).startswith("fix the parser")
+
+
+@given(st.text(alphabet="ab ,.`*\n-please just", max_size=60))
+@settings(max_examples=300, deadline=None)
+def test_compression_settles(t):
+    once = rewriting.compress_text(t)
+    assert rewriting.compress_text(once) == once
+
+
+def test_build(spark):
+    df = spark.createDataFrame([("do it", None, " "), ("x", "you are y", "z")], "task string, role string, error string")
+    got = [r[0] for r in df.select(rewriting.build({c: F.col(c) for c in df.columns}, "xml")).collect()]
+    assert got == ["<task>\ndo it\n</task>", "<role>\nyou are y\n</role>\n\n<task>\nx\n</task>\n\n<error>\nz\n</error>"]
+
+
 def test_periods(spark):
     assert periods.parse_period("4w") == timedelta(days=28) and periods.parse_period("1m") == timedelta(days=30)
     with pytest.raises(ValueError):
