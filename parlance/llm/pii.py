@@ -177,7 +177,7 @@ _EMAIL = re.compile(rf"(?<![\w.%+\-/@])({_LOCAL})@({_LABEL}(?:\.{_LABEL})*\.[A-Z
 PLACEHOLDER_DOMAINS = ("example.com", "example.org")
 
 _REJECT_BEFORE = re.compile(
-    r"(?:\b(?:build|version|release|rev|revision|order|invoice no\.?|job id|job|part no\.?|part|trace|checksum|commit|range|line|ticket|issue|port|sku|listen on|eta|to)\s*[:#=]?\s*)$",
+    r"(?:\b(?:build|version|release|rev|revision|order|invoice no\.?|job id|job|part no\.?|part|(?<!for the )trace|checksum|commit|range|line|ticket|issue|port|sku|listen on|eta|to)\s*[:#=]?\s*)$",
     re.I,
 )
 _PHONES = [
