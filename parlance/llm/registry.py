@@ -4,5 +4,35 @@ from __future__ import annotations
 
 from parlance.llm import queries as q
 
-QUERIES = {f.__name__: f for f in (q.p1_found, q.p3_found, q.p3_classes, q.p4_found, q.p4_redacted, q.p5_found, q.p7_found, q.p8_containers, q.p9_found, q.p9_edited, q.p10_found)}
-SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (q.p1_found, q.p3_found, q.p3_classes, q.p4_found, q.p4_redacted, q.p5_found, q.p7_found, q.p8_containers, q.p9_found, q.p9_edited, q.p10_found)
+}
+
+_WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+
+
+def _runs(table: str, key: str, words: str, n: int, least: int) -> str:
+    """SQL of the distinct runs of n words of every text with at least `least`."""
+    return f"SELECT DISTINCT {key}, unnest(list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' '))) AS g FROM (SELECT {key}, {words} AS w FROM {table} WHERE text IS NOT NULL) WHERE len(w) >= {least}"
+
+
+SQL: dict[str, str] = {
+    "p3_found": f"""
+WITH s AS ({_runs("prompts", "id", _WORDS, 3, 20)}), n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2)
+SELECT id_a, id_b FROM c JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE c * 10 >= 6 * (x.n + y.n - c)""",
+    "p9_found": f"""
+WITH d AS ({_runs("documents", "doc_id", _WORDS, 10, 10)}), i AS ({_runs("eval_items", "item_id", _WORDS, 10, 10)})
+SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (g)""",
+    "p10_found": r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+r AS (SELECT doc_id, unnest(range(1, len(w) - 38)) AS i, w FROM w WHERE len(w) >= 40), h AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 39], ' ')) AS g FROM r),
+s AS (SELECT g FROM h GROUP BY g HAVING min(doc_id) <> max(doc_id)), m AS (SELECT DISTINCT doc_id, i FROM h SEMI JOIN s USING (g)),
+n AS (SELECT doc_id, least(40, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 40)) AS k FROM m) SELECT doc_id, CAST(sum(k) AS BIGINT) AS shared_words FROM n GROUP BY doc_id""",
+    "p3_classes": f"""
+WITH s AS ({_runs("prompts", "id", _WORDS, 5, 20)}), k AS (SELECT id, md5(string_agg(g, '|' ORDER BY g)) AS k, count(*) AS n FROM s GROUP BY id), r AS (SELECT k, min(id) AS class_id, count(*) AS n_copies, max(n) AS n FROM k GROUP BY k),
+t AS (SELECT s.id, g FROM s JOIN r ON s.id = r.class_id), c AS (SELECT a.id AS x, b.id AS y, count(*) AS c FROM t a JOIN t b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2),
+e AS (SELECT x, y FROM c JOIN r p ON p.class_id = x JOIN r q ON q.class_id = y WHERE c * 10 >= 8 * (p.n + q.n - c)), l AS (SELECT v, count(*) AS n FROM (SELECT x AS v FROM e UNION ALL SELECT y FROM e) GROUP BY v)
+SELECT id, class_id, n_copies, coalesce(l.n, 0) AS n_links FROM k JOIN r USING (k) LEFT JOIN l ON l.v = class_id""",
+}
