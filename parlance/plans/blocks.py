@@ -77,3 +77,19 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each block once; the rows of one record are alike only if a message is repeated in it."""
     columns = ["tbl", "rec_id", "msg_key", "parent_key", "block_path", "block_type"]
     return chatgpt(spark, sf_dir).unionByName(claude_chat(spark, sf_dir)).unionByName(api(spark, sf_dir)).select(*columns).dropDuplicates()
+
+
+SQL = r"""
+WITH RECURSIVE cg AS (SELECT rec_id, unnest(map_entries(mapping)) AS e FROM chatgpt_conversations WHERE mapping IS NOT NULL),
+cp AS (SELECT rec_id, e.key AS k, coalesce(e.value.parent, '') AS parent, unnest(e.value.message.content.parts) AS p, unnest(range(len(e.value.message.content.parts))) AS i FROM cg WHERE e.value.message IS NOT NULL),
+cm AS (SELECT rec_id, uuid, unnest(chat_messages) AS m FROM claude_chat_export),
+cc AS (SELECT rec_id, uuid, m.uuid AS k, unnest(m.content) AS c, unnest(range(len(m.content))) AS i FROM cm),
+ce AS (SELECT rec_id, uuid, k, i, unnest(c.input.content) AS e, unnest(range(len(c.input.content))) AS j FROM cc),
+ac AS (SELECT rec_id, msg_no, task_id, content, CASE WHEN ltrim(content) LIKE '[%' AND json_valid(content) THEN json_extract(content, '$[*]') ELSE [] END AS a FROM api_conversation_history WHERE content IS NOT NULL),
+r AS (SELECT rec_id, msg_no, task_id, CAST(i AS VARCHAR) AS path, b FROM (SELECT rec_id, msg_no, task_id, unnest(a) AS b, unnest(range(len(a))) AS i FROM ac)
+UNION ALL SELECT rec_id, msg_no, task_id, path || '.' || i, b FROM (SELECT rec_id, msg_no, task_id, path, unnest(a) AS b, unnest(n) AS i FROM (SELECT rec_id, msg_no, task_id, path, x || y AS a, range(len(x)) || range(len(y)) AS n FROM (
+  SELECT rec_id, msg_no, task_id, path, CASE WHEN json_type(b, '$.content') = 'ARRAY' THEN json_extract(b, '$.content[*]') ELSE [] END AS x, CASE WHEN json_type(b, '$.input.content') = 'ARRAY' THEN json_extract(b, '$.input.content[*]') ELSE [] END AS y FROM r))))
+SELECT 'chatgpt_conversations' AS tbl, rec_id, k AS msg_key, parent AS parent_key, CAST(i AS VARCHAR) AS block_path, coalesce(CASE WHEN ltrim(p) LIKE '{%' AND json_valid(p) THEN json_extract_string(p, '$.content_type') END, 'text') AS block_type FROM cp
+UNION SELECT 'claude_chat_export', rec_id, k, uuid, CAST(i AS VARCHAR), coalesce(c.type, '') FROM cc UNION SELECT 'claude_chat_export', rec_id, k, uuid, i || '.' || j, coalesce(e.type, '') FROM ce
+UNION SELECT 'api_conversation_history', rec_id, CAST(msg_no AS VARCHAR), task_id, path, coalesce(json_extract_string(b, '$.type'), '') FROM r
+UNION SELECT 'api_conversation_history', rec_id, CAST(msg_no AS VARCHAR), task_id, '0', 'text' FROM ac WHERE NOT ltrim(content) LIKE '[%'"""

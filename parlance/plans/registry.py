@@ -5,5 +5,5 @@ from __future__ import annotations
 from parlance.plans import blocks, instants, more, reports, texts
 
 QUERIES = {"p2_found": instants.p2_found, "p6_found": blocks.p6_found, **reports.QUERIES, **texts.QUERIES, **more.QUERIES}
-SQL: dict[str, str] = {**reports.SQL, **texts.SQL, **more.SQL}
+SQL: dict[str, str] = {"p6_found": blocks.SQL, **reports.SQL, **texts.SQL, **more.SQL}
 FLAGSHIP = reports.exact_dedup_by_source

@@ -37,10 +37,22 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+_written: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that materialize wrote so far, and gives their number. Results that still read them must be written before."""
+    n = 0
+    while _written:
+        p = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True))
+    return n
+
+
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write df once to the shared folder and read it back: later stages neither recompute it nor depend on an executor.
 
-    The folder is removed when the driver's JVM ends.
+    The folder is removed by release, else when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -50,6 +62,7 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    _written.append(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path)
 

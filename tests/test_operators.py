@@ -294,3 +294,11 @@ def test_periods(spark):
     s = periods.snapshots(spark.createDataFrame(rows, "at timestamp, v double"), "at", end, timedelta(days=7), 3, {"total": F.sum("v")})
     assert [(r["no"], r["n_rows"], r["total"]) for r in s.orderBy("no").collect()] == [(0, 0, None), (1, 1, 3.0), (2, 1, 1.0)]
     assert [r["pct"] for r in periods.deltas(s, "n_rows").orderBy("no").collect()] == [0.0, 0.0, 0.0]
+
+
+def test_materialized_tables_are_released(spark):
+    from parlance.session import materialize, release, shared_dir
+
+    df = materialize(spark.range(5), "five")
+    assert df.count() == 5 and shared_dir(spark).startswith("file:")
+    assert release(spark) >= 1 and release(spark) == 0
