@@ -35,4 +35,30 @@ WITH s AS ({_runs("prompts", "id", _WORDS, 5, 20)}), k AS (SELECT id, md5(string
 t AS (SELECT s.id, g FROM s JOIN r ON s.id = r.class_id), c AS (SELECT a.id AS x, b.id AS y, count(*) AS c FROM t a JOIN t b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2),
 e AS (SELECT x, y FROM c JOIN r p ON p.class_id = x JOIN r q ON q.class_id = y WHERE c * 10 >= 8 * (p.n + q.n - c)), l AS (SELECT v, count(*) AS n FROM (SELECT x AS v FROM e UNION ALL SELECT y FROM e) GROUP BY v)
 SELECT id, class_id, n_copies, coalesce(l.n, 0) AS n_links FROM k JOIN r USING (k) LEFT JOIN l ON l.v = class_id""",
+    "p1_found": r"""
+WITH RECURSIVE cx AS (SELECT conversation_id AS conv, mapping FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY cardinality(mapping) DESC, rec_id) AS n FROM chatgpt_conversations WHERE mapping IS NOT NULL) WHERE n = 1),
+ce AS (SELECT conv, unnest(map_entries(mapping)) AS e FROM cx),
+cn AS (SELECT conv, e.key AS k, nullif(e.value.parent, '') AS parent, coalesce(e.value.children, []) AS children, lower(trim(e.value.message.author.role)) AS role,
+  len(list_filter(coalesce(e.value.message.content.parts, []), lambda p: regexp_matches(p, '\S') AND NOT (ltrim(p) LIKE '{%' AND json_extract_string(CASE WHEN json_valid(p) THEN p END, '$.content_type') IS NOT NULL))) > 0 AS said FROM ce),
+ck AS (SELECT conv, list(k) AS ks FROM cn GROUP BY conv),
+cb AS (SELECT conv FROM cn JOIN ck USING (conv) GROUP BY conv HAVING count(*) FILTER (parent IS NULL) <> 1 OR bool_or(parent IS NOT NULL AND NOT list_contains(ks, parent)) OR bool_or(NOT list_has_all(ks, children))),
+walk AS (SELECT conv, k, 0 AS pos, [k] AS path, false AS back FROM cn ANTI JOIN cb USING (conv) WHERE parent IS NULL
+  UNION ALL SELECT w.conv, n.children[-1], w.pos + 1, list_append(w.path, n.children[-1]), list_contains(w.path, n.children[-1]) FROM walk w JOIN cn n ON n.conv = w.conv AND n.k = w.k WHERE NOT w.back AND len(n.children) > 0),
+ct AS (SELECT 'chatgpt_conversations' AS tbl, w.conv, w.pos, w.k, CASE WHEN n.role = 'human' THEN 'user' ELSE n.role END AS role FROM walk w JOIN cn n ON n.conv = w.conv AND n.k = w.k
+  WHERE n.said AND n.role IN ('user', 'human', 'assistant') AND w.conv NOT IN (SELECT conv FROM walk WHERE back)),
+ax AS (SELECT uuid AS conv, chat_messages FROM (SELECT *, row_number() OVER (PARTITION BY uuid ORDER BY len(list_distinct(list_transform(chat_messages, lambda m: m.uuid))) DESC, rec_id) AS n FROM claude_chat_export WHERE chat_messages IS NOT NULL) WHERE n = 1),
+am AS (SELECT conv, unnest(chat_messages) AS m FROM ax),
+an AS (SELECT conv, m.uuid AS k, any_value(m.index) AS pos, any_value(lower(trim(m.sender))) AS role,
+  bool_or(regexp_matches(coalesce(m.text, ''), '\S') OR len(list_filter(coalesce(m.content, []), lambda c: c.type = 'text' AND regexp_matches(coalesce(c.text, ''), '\S'))) > 0) AS said FROM am GROUP BY conv, m.uuid),
+ab AS (SELECT conv FROM an GROUP BY conv HAVING count(DISTINCT pos) <> count(*) OR min(pos) <> 0 OR max(pos) <> count(*) - 1 OR bool_or(coalesce(role, '') NOT IN ('user', 'human', 'assistant'))),
+pos AS (SELECT 'claude_chat_export' AS tbl, conv, pos, k, CASE WHEN role = 'human' THEN 'user' ELSE role END AS role FROM an ANTI JOIN ab USING (conv) WHERE said),
+sr AS (SELECT session_id AS conv, uuid AS k, rec_id, epoch_us(TRY_CAST(timestamp AS TIMESTAMPTZ)) AS us, nullif(lower(trim(message.role)), '') AS role, message.content AS c FROM claude_session WHERE type IN ('user', 'assistant')),
+sb AS (SELECT DISTINCT conv FROM sr WHERE us IS NULL OR role IS NULL),
+ss AS (SELECT conv, k, min(us) AS us, min(rec_id) AS rec_id, any_value(role) AS role FROM sr ANTI JOIN sb USING (conv) WHERE role IN ('user', 'human', 'assistant') AND CASE WHEN ltrim(c) LIKE '[%' AND json_valid(c)
+  THEN len(list_filter(json_extract(CASE WHEN json_valid(c) THEN c END, '$[*]'), lambda b: json_extract_string(b, '$.type') = 'text' AND regexp_matches(coalesce(json_extract_string(b, '$.text'), ''), '\S'))) > 0 ELSE regexp_matches(coalesce(c, ''), '\S') END GROUP BY conv, k),
+st AS (SELECT 'claude_session' AS tbl, conv, row_number() OVER (PARTITION BY conv ORDER BY us, rec_id) AS pos, k, CASE WHEN role = 'human' THEN 'user' ELSE role END AS role FROM ss),
+t AS (SELECT * FROM ct UNION ALL SELECT * FROM pos UNION ALL SELECT * FROM st),
+o AS (SELECT tbl, conv, k, role, row_number() OVER w - 1 AS turn_no, lead(role) OVER w AS next FROM t WINDOW w AS (PARTITION BY tbl, conv ORDER BY pos)),
+bad AS (SELECT DISTINCT tbl, conv FROM o WHERE (turn_no = 0 AND role <> 'user') OR (role = 'user' AND coalesce(next, '') <> 'assistant'))
+SELECT tbl, conv AS conv_key, turn_no, k AS msg_key, role FROM o ANTI JOIN bad USING (tbl, conv)""",
 }
