@@ -3,7 +3,7 @@
 Distinct raw strings with their zone form a dictionary; only the dictionary is parsed, and instants are joined back to the rows.
 Parsing is a chain of built-in column expressions, so it stays inside the JVM.
 
-Defined results: null, blank, wordy, incomplete or impossible values have no instant (null from `with_instant`, no row from
+Defined results: null, blank, wordy, incomplete or impossible values and those of unknown zones have no instant (null from `with_instant`, no row from
 `normalise`); repeated rows each get their own row; an empty table gives an empty table; columns beside the named ones are ignored.
 """
 
@@ -84,7 +84,9 @@ def with_instant(df: DataFrame, raw: str = "raw", zone: str = "zone", to: str =
     named = F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in (kv[0], kv[1] * 60)])[F.upper("_off")]
     df = df.withColumn("_offset", F.when(F.col("_off").rlike(r"^[+-]\d"), signed).when(F.col("_off").isNotNull(), named))
     # to_utc_timestamp takes the earlier instant of a doubled local time and the offset before the change of a skipped one.
+    # A zone that Java does not know would end the query; it gives no instant.
     region = F.coalesce(part(9), F.col(zone))
+    region = F.when(region.isin(sorted(df.sparkSession._jvm.java.time.ZoneId.getAvailableZoneIds())), region)
     utc = F.when(F.col("_off").isNotNull(), F.col("_local") - F.col("_offset").cast("long") * 1000000).otherwise(F.unix_micros(F.to_utc_timestamp(F.timestamp_micros("_local"), region)))
     df = df.withColumn("_x", F.when(F.col("_s").rlike(r"^[+]?(\d{1,25}(\.\d*)?|\.\d+)([eE][+]?\d{1,2})?$"), F.col("_s")).try_cast("decimal(31,12)"))
     x, numbers = F.col("_x"), []

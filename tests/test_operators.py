@@ -58,6 +58,12 @@ def test_instants(spark):
     assert {i: got[i] for i in got} == {i: None if u is None else micros(u) for i, (_, u) in enumerate(INSTANTS)}
 
 
+def test_unknown_zones(spark):
+    rows = [(1, "2025-01-01 10:00:00[Nowhere/Land]", BERLIN), (2, "2025-01-01 10:00:00", "no zone"), (3, "2025-01-01 10:00:00", None), (4, "2025-01-01 10:00:00Z", "no zone"), (5, "2025-01-01 10:00:00[Asia/Tokyo]", BERLIN)]
+    got = {r["id"]: r["utc_us"] for r in timestamps.with_instant(spark.createDataFrame(rows, "id int, raw string, zone string")).collect()}
+    assert got == {1: None, 2: None, 3: None, 4: micros("2025-01-01T10:00:00Z"), 5: micros("2025-01-01T01:00:00Z")}
+
+
 def test_local_times_match_zoneinfo(spark):
     rng = random.Random(1)
     rows = [(i, (datetime(2024, 1, 1) + timedelta(minutes=rng.randrange(1_400_000))).strftime("%Y-%m-%d %H:%M:%S"), rng.choice(["America/New_York", "Australia/Sydney", "Europe/London", "Asia/Tokyo"])) for i in range(2000)]
