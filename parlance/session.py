@@ -26,6 +26,20 @@ def get_spark(app: str = "parlance", master: str | None = None, **conf: str) ->
     return b.getOrCreate()
 
 
+def ship(spark: SparkSession) -> str:
+    """Sends this package to the executors of a cluster on which it is not installed; gives the archive's path."""
+    import pathlib
+    import zipfile
+
+    root = pathlib.Path(__file__).parent
+    path = pathlib.Path(tempfile.mkdtemp(prefix="parlance-")) / "parlance.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(path))
+    return str(path)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or where that is unset one made for this process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

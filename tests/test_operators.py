@@ -308,3 +308,11 @@ def test_materialized_tables_are_released(spark):
     df = materialize(spark.range(5), "five")
     assert df.count() == 5 and df.inputFiles()[0].removeprefix("file://").startswith(shared_dir(spark).removeprefix("file://"))
     assert release(spark) >= 1 and release(spark) == 0
+
+
+def test_package_is_shipped(spark):
+    import zipfile
+
+    from parlance.session import ship
+
+    assert "parlance/operators/shred.py" in zipfile.ZipFile(ship(spark)).namelist()
