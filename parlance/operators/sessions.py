@@ -6,9 +6,13 @@ of their own; ties of the order column are broken by the tie column; empty table
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parlance.session import materialize
+
 # Weights of the signals of a turn, and of the parts of a session's quality.
 WEIGHTS = {"position": 0.15, "length": 0.15, "tool": 0.20, "error": 0.15, "shift": 0.20, "unique": 0.15}
 QUALITY = {"prompt": 0.30, "efficiency": 0.30, "focus": 0.20, "outcome": 0.20}
@@ -117,26 +121,80 @@ def within_loops(df: DataFrame, found: DataFrame, session: str, position: str) -
 
 
 # Distillation -------------------------------------------------------------------------------------------------------------------
-#: Similarities below this count as none in the signal of uniqueness, so that no turn is compared with all earlier ones.
-LEAST_SIMILARITY = 0.5
+#: Turns of a block: each pair of blocks of a session is a group of its own, so a long session is spread over tasks.
+BLOCK = 256
+#: Terms of a block that are laid out densely at once.
+TERMS = 4096
+
+
+def _products(codes: list, weights: list, rows: list, n_terms: int, step: int) -> np.ndarray:
+    """The inner products of two sides' sparse vectors (codes, weights and row numbers from 0 of each side)."""
+    n = [int(r.max()) + 1 if len(r) else 0 for r in rows]
+    out = np.zeros(n)
+    for start in range(0, n_terms, step):
+        dense = []
+        for c, w, r, k in zip(codes, weights, rows, n, strict=True):
+            here = (c >= start) & (c < start + step)
+            m = np.zeros((k, min(step, n_terms - start)))
+            m[r[here], c[here] - start] = w[here]
+            dense.append(m)
+        out += dense[0] @ dense[1].T
+    return out
+
+
+def nearest_earlier(vectors: DataFrame, session: str, turn: str) -> DataFrame:
+    """(_k, _m): the greatest cosine of each turn that has terms with an earlier such turn of its session; first turns are not listed.
+
+    vectors: (_k, term, w) of length one, _k a struct of session and turn. All pairs of a session are multiplied, block by block.
+    """
+    kind, at = (vectors.schema["_k"].dataType[c].dataType.simpleString() for c in (session, turn))
+    v = vectors.groupBy("_k").agg(F.collect_list(F.struct("term", "w")).alias("_v")).select(F.col(f"_k.{session}").alias("s"), F.col(f"_k.{turn}").alias("t"), "_v.term", "_v.w")
+    v = v.withColumn("block", F.floor(F.col("t") / BLOCK))
+    known = v.groupBy("s").agg(F.collect_set("block").alias("blocks"))
+    pair = lambda x: F.struct(F.greatest("block", x).alias("hi"), F.least("block", x).alias("lo"))
+    v = v.join(known, "s").select("s", "t", "term", "w", "block", F.explode(F.transform("blocks", pair)).alias("p")).select("s", "t", "term", "w", "block", "p.hi", "p.lo")
+
+    step = TERMS
+
+    def run(table: pa.Table) -> pa.Table:
+        t = table.column("t").to_numpy()
+        block, hi, lo = table.column("block").to_numpy(), table.column("hi")[0].as_py(), table.column("lo")[0].as_py()
+        terms = table.column("term").combine_chunks()
+        size = np.diff(terms.offsets.to_numpy())
+        coded = terms.flatten().dictionary_encode()
+        code, weight, row = coded.indices.to_numpy(), table.column("w").combine_chunks().flatten().to_numpy(), np.repeat(np.arange(len(t)), size)
+        sides = [np.flatnonzero(block == x) for x in (hi, lo)]
+        number = np.zeros(len(t), np.int64)
+        parts = []
+        for side in sides:
+            inside = np.isin(row, side)
+            number[side] = np.arange(len(side))
+            parts.append((code[inside], weight[inside], number[row[inside]]))
+        m = _products(*[[p[i] for p in parts] for i in range(3)], len(coded.dictionary), step)
+        m[t[sides[1]][None, :] >= t[sides[0]][:, None]] = -1
+        best = m.max(axis=1) if m.size else np.zeros(0)
+        keep = best >= 0
+        return pa.table({"s": table.column("s").take(pa.array(sides[0][keep])), "t": pa.array(t[sides[0]][keep]), "m": pa.array(best[keep])})
+
+    found = v.groupBy("s", "hi", "lo").applyInArrow(run, f"s {kind}, t {at}, m double")
+    return found.groupBy(F.struct(F.col("s").alias(session), F.col("t").alias(turn)).alias("_k")).agg(F.max("m").alias("_m"))
 
 
 def semantic_signals(turns: DataFrame, session: str, turn: str, tokens: Column) -> DataFrame:
     """(session, turn, shift, unique): how far a turn is from the one before it, and from the nearest earlier one.
 
     TF-IDF is fitted in each session. shift = 1 - cosine with the turn before (0.5 for the first); unique = 1 - the greatest cosine
-    with an earlier turn of LEAST_SIMILARITY or more, 1 without one. Turns without terms have shift 0.5 and unique 1.
+    with an earlier turn, 1 without one. Turns without terms have shift 0.5 and unique 1.
     """
     from parlance.operators import tfidf
 
     d = turns.select(session, turn, F.struct(session, turn).alias("_k"), tokens.alias("_t"))
     counts = d.select(session, "_k", F.explode("_t").alias("term")).groupBy(session, "_k", "term").agg(F.count(F.lit(1)).alias("c"))
-    w = tfidf.weights(counts, "_k", group=session)
-    mine = w.select("_k", "term", "w")
+    mine = materialize(tfidf.weights(counts, "_k", group=session).select("_k", "term", "w"), "vectors")
     # A turn meets only the one before it: an equi-join on session, turn and term.
     before = mine.select(F.struct(F.col(f"_k.{session}").alias(session), (F.col(f"_k.{turn}") + 1).alias(turn)).alias("_k"), "term", F.col("w").alias("v"))
     shift = mine.join(before, ["_k", "term"]).groupBy("_k").agg(F.sum(F.col("w") * F.col("v")).alias("_s"))
-    near = tfidf.cosine_pairs(w, "_k", LEAST_SIMILARITY, session).groupBy(F.col("b").alias("_k")).agg(F.max("similarity").alias("_m"))
+    near = nearest_earlier(mine, session, turn)
     known = mine.select("_k", F.lit(True).alias("_has")).distinct()
     out = d.drop("_t").join(known, "_k", "left").join(shift, "_k", "left").join(near, "_k", "left")
     has = F.coalesce("_has", F.lit(False)) & (F.col(turn) > 0)

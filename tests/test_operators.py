@@ -1,6 +1,7 @@
 """Core operators against brute force, on hostile small inputs."""
 
 import json
+import math
 import random
 from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
@@ -191,6 +192,28 @@ def test_distillation(spark):
     assert got["a", 2] == (0.1, False) and got["a", 3][1] is False and got["a", 4][1] is True
 
 
+@pytest.mark.parametrize(("block", "terms"), [(256, 4096), (4, 3)])
+def test_uniqueness_is_exact(spark, monkeypatch, block, terms):
+    """Also below a cosine of a half, and over the bounds of blocks."""
+    monkeypatch.setattr(sessions, "BLOCK", block)
+    monkeypatch.setattr(sessions, "TERMS", terms)
+    rng = random.Random(6)
+    said = {s: [" ".join(rng.choices("abcdefghijklmnop", k=rng.choice([0, 1, 3, 6]))) for _ in range(n)] for s, n in (("x", 19), ("y", 2), ("z", 1))}
+    df = spark.createDataFrame([(s, i, t) for s, ts in said.items() for i, t in enumerate(ts)], "s string, no int, t string").repartition(3)
+    want, low = {}, 0
+    for s, ts in said.items():
+        count = [{w: t.split().count(w) for w in t.split()} for t in ts]
+        n = sum(1 for c in count if c)
+        raw = [{w: (1 + math.log(c)) * (math.log((1 + n) / (1 + sum(w in d for d in count))) + 1) for w, c in x.items()} for x in count]
+        unit = [{w: v / math.sqrt(sum(y * y for y in x.values())) for w, v in x.items()} for x in raw]
+        for i, x in enumerate(unit):
+            best = max((sum(v * y.get(w, 0) for w, v in x.items()) for y in unit[:i]), default=0)
+            low += 0 < best < 0.5
+            want[s, i] = pytest.approx(1 - best, abs=1e-9)
+    got = {(r["s"], r["no"]): r["unique"] for r in sessions.semantic_signals(df, "s", "no", F.filter(F.split("t", " "), lambda x: x != "")).collect()}
+    assert got == want and low > 1
+
+
 # Graphs and similarity ------------------------------------------------------------------------------------------------------------
 def test_leaders_and_components(spark):
     rng = random.Random(4)
