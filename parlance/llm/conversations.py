@@ -53,16 +53,20 @@ def quote_of(text: Column) -> Column:
 def identify(messages: DataFrame) -> DataFrame:
     """messages (conv_key, msg_key, reply_to, text and others) with every blank conv_key filled where reply or quote links reach.
 
-    A message links to the message it replies to and to the messages whose whole text it quotes. Components that hold an
+    A message links to the message it replies to and to the messages whose whole text it quotes. reply_to may also name what
+    messages have in common, such as their file. Of identified messages the links that can reach another one count. Where there
+    is a column text_hash (xxhash64 of the stripped text) it stands for the text that is quoted, and identified messages need no text. Components that hold an
     identified message take the least identifier; others take their least message key. Messages with an identifier keep it.
     """
     open_ = messages.filter(blank(F.col("conv_key")))
     if open_.isEmpty():
         return messages
-    reply = open_.select("msg_key", F.col("reply_to").alias("other")).filter(F.col("other").isNotNull())
+    replies = messages.select("msg_key", F.col("reply_to").alias("other"), blank(F.col("conv_key")).alias("open")).filter(F.col("other").isNotNull())
+    met = open_.select(F.explode(F.array("reply_to", "msg_key")).alias("other")).filter(F.col("other").isNotNull()).distinct()
+    reply = replies.filter("open").select("msg_key", "other").unionByName(replies.filter("NOT open").join(met, "other", "left_semi").select("msg_key", "other"))
     quoted = open_.select("msg_key", F.xxhash64(quote_of(F.col("text"))).alias("h"), quote_of(F.col("text")).alias("q")).filter(F.col("q").isNotNull())
     # Many messages may have one text: they meet at a node for the text, so no pairs arise.
-    texts = messages.select(F.col("msg_key").alias("m"), F.xxhash64(strip(F.col("text"))).alias("h")).join(quoted.select("h").distinct(), "h", "left_semi")
+    texts = messages.select(F.col("msg_key").alias("m"), (F.col("text_hash") if "text_hash" in messages.columns else F.xxhash64(strip(F.col("text")))).alias("h")).join(quoted.select("h").distinct(), "h", "left_semi")
     node = lambda h: F.concat(F.lit("￿quote:"), h.cast("string"))
     links = reply.toDF("a", "b").unionByName(quoted.select(F.col("msg_key").alias("a"), node(F.col("h")).alias("b"))).unionByName(texts.select(F.col("m").alias("a"), node(F.col("h")).alias("b")))
     # Identified ends stand for their conversation: two messages of one are in one component.
@@ -215,14 +219,17 @@ def from_lines(df: DataFrame) -> DataFrame:
     rows = df.select("rec_id", "session_id", "uuid", "file_path", "type", "timestamp", "message").filter(F.col("type").isin("user", "assistant"))
     rows = rows.withColumn("zone", F.lit(None).cast("string"))
     rows = with_instant(rows, "timestamp", "zone", "at")
+    # Only where lines lack a session are texts compared: open lines keep theirs, of the others a digest goes on.
+    lost = not df.filter(F.col("type").isin("user", "assistant") & blank(F.col("session_id"))).isEmpty()
+    text_hash = F.xxhash64(strip(F.col("text"))) if lost else F.lit(None).cast("bigint")
     rows = materialize(
         rows.select(
             F.col("session_id").alias("conv_key"), F.col("uuid").alias("msg_key"), F.nullif("file_path", F.lit("")).alias("reply_to"), F.col("rec_id").alias("seq"), "at",
             role_of(F.col("message.role")).alias("role"), text_of_content(F.col("message.content")).alias("text"),
-        ).withColumn("said", ~blank(F.col("text"))).withColumn("text", F.when(blank(F.col("conv_key")), F.col("text"))),
+        ).withColumn("said", ~blank(F.col("text"))).withColumn("text_hash", text_hash).withColumn("text", F.when(blank(F.col("conv_key")), F.col("text"))),
         "lines",
     )
-    # Lines without a session are joined to the other lines of their file.
+    # Lines without a session are joined to the other lines of their file, and to those they quote.
     rows = identify(rows)
     damaged = rows.filter(F.col("at").isNull() | F.col("role").isNull()).select("conv_key").distinct()
     turns = rows.filter(F.col("role").isin("user", "assistant") & F.col("said"))

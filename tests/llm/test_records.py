@@ -98,6 +98,24 @@ def test_lines(spark):
     assert conversations.from_lines(df.limit(0)).count() == 0
 
 
+def test_lost_lines_join_identified_ones(spark):
+    """A line without session goes to the session of its file, or of the line it quotes."""
+    t = lambda i: f"2025-01-01T00:00:{i:02}Z"
+    said = [
+        ("s9", "/f9", "a1", "user", t(1), "hello"), (None, "/f9", "a2", "assistant", t(2), "yes"), (None, "/f9", "a3", "user", t(3), "more"), ("s9", "/f9", "a4", "assistant", t(4), "done"),
+        ("s8", "/f8", "q1", "user", t(1), " What is a monad?\n"), ("", None, "q2", "assistant", t(2), "> What is a monad?\nA burrito."),
+        ("s7", "/f7", "b1", "user", t(1), "left"), ("s6", "/f6", "c1", "user", t(1), "a"), ("s6", "/f6", "c2", "assistant", t(2), "b"), (None, "/f5", "d1", "user", t(1), "x"), (None, "/f5", "d2", "assistant", t(2), "y"),
+    ]
+    rows = [(i, s, f, u, kind, at, (kind, content), "x") for i, (s, f, u, kind, at, content) in enumerate(said)]
+    got = {tuple(r) for r in conversations.from_lines(spark.createDataFrame(rows, LINES).repartition(3)).collect()}
+    want = {("s9", i, f"a{i + 1}", "user" if i % 2 == 0 else "assistant") for i in range(4)}
+    want |= {("s8", 0, "q1", "user"), ("s8", 1, "q2", "assistant"), ("s6", 0, "c1", "user"), ("s6", 1, "c2", "assistant"), ("/f5", 0, "d1", "user"), ("/f5", 1, "d2", "assistant")}
+    assert got == want
+    # An identified message that replies to an open one names it, too.
+    df = spark.createDataFrame([("c1", "m1", "m2", "x"), (None, "m2", None, "y")], "conv_key string, msg_key string, reply_to string, text string")
+    assert {r["msg_key"]: r["conv_key"] for r in conversations.identify(df).collect()} == {"m1": "c1", "m2": "c1"}
+
+
 def test_quote_links(spark):
     rows = [("c1", "m1", None, "What is a monad?"), (None, "m2", None, "> What is a monad?\nA burrito."), ("", "m3", "m2", "Thanks."), (None, "m4", None, "alone"), (None, "m5", "m4", "reply")]
     df = spark.createDataFrame(rows, "conv_key string, msg_key string, reply_to string, text string")
