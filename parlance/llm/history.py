@@ -138,11 +138,16 @@ class History:
         # Both sides get ids of their own: items odd, history even.
         heads = sets.join(nodes.select(F.col("node").alias("id")), "id", "left_semi").select((F.col("id") * 2 + 1).alias("id"), "n", "set", F.lit(True).alias("new"))
         past = self.table("paragraphs")
+        # Texts of several sources may have one id: a copy is known by id and set (one 64-bit digest of both, so that it stays small).
         # Written, the copies have a known size: where they are few, leaving them out needs no shuffle of the sets.
-        copies = materialize(neardup.classes(past).filter("id <> rep").select((F.col("id") * 2).alias("id")), "copies")
-        past = past.select((F.col("id") * 2).alias("id"), "n", "set", F.lit(False).alias("new"))
-        both = past.unionByName(heads)
-        found = neardup.roots(both.join(copies, "id", "left_anti"), self.threshold, both="new")
+        row = F.xxhash64("id", "cls").alias("row")
+        rep = past.groupBy("cls").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("cls", "rep")
+        copies = materialize(past.select("id", "cls").join(rep, "cls").filter("id <> rep").select(row), "copies")
+        once = past.select("id", "n", "set", row).join(copies, "row", "left_anti").drop("row")
+        even = lambda df: df.select((F.col("id") * 2).alias("id"), "n", "set", F.lit(False).alias("new"))
+        both = even(past).unionByName(heads)
+        # Rows of one id are verified each: a pair counts if one of them is near, which is what is asked of the history.
+        found = neardup.roots(even(once).unionByName(heads), self.threshold, both="new")
         pairs = neardup.trie_pairs(found, self.threshold).distinct()
         pairs = materialize(neardup.verify(pairs, both, self.threshold).select("a", "b"), "edges")
         item = lambda c: F.shiftright(F.col(c), 1)

@@ -173,6 +173,20 @@ def test_history(spark, tmp_path):
     assert empty.decide(items.limit(0)).count() == 0
 
 
+def test_accepted_items_with_ids_of_old_texts(spark, tmp_path):
+    """Items and old texts may have one id: leaving out a copy of an old text leaves the accepted item of its id in the history."""
+    first, second = (" ".join(f"{w}{i}" for i in range(40)) for w in ("old", "new"))
+    h = history.History(spark, f"file://{tmp_path}/h", 0.6, 3)
+    h.add_texts(spark.createDataFrame([(6, first), (7, first + "."), (8, first + "!")], "id bigint, text string"), "id", "text")
+    schema = "item_id bigint, batch_no int, file_path string, text string"
+    items = spark.createDataFrame([(7, 1, None, second)], schema)
+    verdicts = h.decide(items)
+    assert [r["verdict"] for r in verdicts.collect()] == ["accepted"]
+    h.accept(items, verdicts)
+    later = spark.createDataFrame([(1, 2, None, second.replace("new20", "other")), (2, 2, None, first.replace("old20", "other")), (3, 2, None, " ".join(f"third{i}" for i in range(40)))], schema)
+    assert {r["item_id"]: r["verdict"] for r in h.decide(later).collect()} == {1: "near", 2: "near", 3: "accepted"}
+
+
 def test_sketch_never_counts_less(spark, monkeypatch):
     monkeypatch.setattr(hashing, "TASKS", 2)
     df = spark.range(5000).selectExpr("id % 700 AS k").repartition(7)
