@@ -62,6 +62,22 @@ def cosine_pairs(vectors: DataFrame, key: str, threshold: float, group: str | No
     return scored.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity")).filter(F.col("similarity") >= threshold)
 
 
+def blended_pairs(vectors: DataFrame, key: str, threshold: float, share: float = 0.6) -> DataFrame:
+    """(a, b, similarity), a < b: all pairs of `threshold` or more of share x cosine + (1 - share) x containment, the part of the text
+    with fewer distinct terms whose terms the other has.
+
+    Containment is 1 at most, so the cosine of such a pair is (threshold + share - 1) / share or more: those pairs are exact.
+    """
+    v = materialize(vectors.select(key, "term", "w", "df"), "vectors")
+    close = cosine_pairs(v, key, (threshold + share - 1) / share)
+    terms = v.select(F.col(key).alias("k"), "term")
+    n = materialize(terms.groupBy("k").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    both = close.join(terms.toDF("a", "term"), "a").join(terms.toDF("b", "term"), ["b", "term"]).groupBy("a", "b").agg(F.max("similarity").alias("cosine"), F.count(F.lit(1)).alias("shared"))
+    both = both.join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b")
+    similarity = share * F.col("cosine") + (1 - share) * F.col("shared") / F.least("na", "nb")
+    return both.select("a", "b", similarity.alias("similarity")).filter(F.col("similarity") >= threshold)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parlance.functions import features, text
+from parlance.operators import graph, tfidf
 from parlance.plans.reports import QUERIES, SQL, query, r6
-from parlance.session import read_table
+from parlance.session import materialize, read_table
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -28,6 +29,23 @@ def repeated_across_sessions(spark: SparkSession, d: str) -> DataFrame:
     return g.groupBy(F.col("s").alias("n_sessions")).agg(F.count(F.lit(1)).alias("n_topics"), F.sum("c").cast("bigint").alias("n_prompts"), F.max("n").cast("bigint").alias("longest"))
 
 
+@query()
+def recurring_topics(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of similar prompts (stems, 0.75 or more, linked directly or by others) of two sessions or more, named by their least id.
+
+    Texts that are equal but for case and white space are one node; prompts without session share one (tested against brute force).
+    """
+    h = F.sha2(F.regexp_replace(F.lower("text"), r"[ \t\r\n]+", " "), 256)
+    p = read_table(spark, d, "prompts").filter("text IS NOT NULL").select(h.alias("h"), "id", F.coalesce("session_id", F.lit("unknown")).alias("session"), "text")
+    texts = materialize(p.groupBy("h").agg(F.min("id").alias("id"), F.min_by("text", "id").alias("text")), "texts")
+    vectors = tfidf.weights(tfidf.term_counts(texts, "id", text.stem4(F.col("text"))), "id")
+    topics = graph.connected_components(tfidf.blended_pairs(vectors, "id", 0.75).select("a", "b"))
+    member = texts.select("h", "id").join(topics.toDF("id", "topic"), "id", "left").select("h", F.coalesce("topic", "id").alias("topic_id"))
+    by = p.groupBy("h", "session").agg(F.count(F.lit(1)).alias("c")).join(member, "h").groupBy("topic_id", "session").agg(F.sum("c").alias("c"))
+    g = by.groupBy("topic_id").agg(F.count(F.lit(1)).alias("n_sessions"), F.sum("c").alias("n_prompts")).filter("n_sessions >= 2")
+    return g.join(member.groupBy("topic_id").agg(F.count(F.lit(1)).alias("n_texts")), "topic_id").select("topic_id", "n_sessions", "n_texts", "n_prompts")
+
+
 @query("""SELECT s.source, count(DISTINCT s.file_path) AS n_files, count(DISTINCT b.session_id) AS n_sessions FROM processed_sessions s JOIN prompts b ON contains(s.file_path, b.session_id) WHERE starts_with(b.session_id, 's00-') GROUP BY s.source""")
 def sessions_by_file(spark: SparkSession, d: str) -> DataFrame:
     """Files whose path names a session: the name is cut out of the path, so the join is an equi-join."""

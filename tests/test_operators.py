@@ -192,6 +192,38 @@ def test_distillation(spark):
     assert got["a", 2] == (0.1, False) and got["a", 3][1] is False and got["a", 4][1] is True
 
 
+def test_recurring_topics(spark, tmp_path):
+    """Edited repeats over sessions are one topic; groups within one session are none."""
+    from parlance.plans.more import recurring_topics
+
+    base = "please fix the parser crash when loading nested config files today"
+    said = [("s1", base), ("s2", base.replace("today", "again")), ("s2", base.upper()), ("s3", "write release notes for version nine of billing"), ("s3", "write release notes for version nine of shipping"), (None, "how do monads work"), ("s4", "draw a chart"), (None, None), ("s5", " ")]
+    said += [(f"s{i % 4}", " ".join(random.Random(i).choices("alpha beta gamma delta eps zeta".split(), k=5))) for i in range(30)]
+    spark.createDataFrame([(i, s, t) for i, (s, t) in enumerate(said)], "id bigint, session_id string, text string").write.parquet(f"{tmp_path}/prompts.parquet")
+    by = {}
+    for i, (_, t) in enumerate(said):
+        if t is not None:
+            by.setdefault(" ".join(t.lower().split()) or " ", []).append(i)
+    stems = [[w[:4] for w in t.split()] for t in by]
+    count, n = [{w: x.count(w) for w in x} for x in stems], sum(1 for x in stems if x)
+    raw = [{w: (1 + math.log(c)) * (math.log((1 + n) / (1 + sum(w in y for y in count))) + 1) for w, c in x.items()} for x in count]
+    unit = [{w: v / math.sqrt(sum(y * y for y in x.values())) for w, v in x.items()} for x in raw]
+    group = list(range(len(unit)))
+    for i, x in enumerate(unit):
+        for j, y in enumerate(unit[:i]):
+            if x and y and 0.6 * sum(v * y.get(w, 0) for w, v in x.items()) + 0.4 * len(x.keys() & y.keys()) / min(len(x), len(y)) >= 0.75:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    want, ids = set(), list(by.values())
+    for g in set(group):
+        texts = [ids[i] for i in range(len(ids)) if group[i] == g]
+        rows = [i for t in texts for i in t]
+        if (s := len({said[i][0] for i in rows})) >= 2:
+            want.add((min(rows), s, len(texts), len(rows)))
+    got = {tuple(r) for r in recurring_topics(spark, str(tmp_path)).collect()}
+    assert got == want and (0, 2, 2, 3) in got
+
+
 @pytest.mark.parametrize(("block", "terms"), [(256, 4096), (4, 3)])
 def test_uniqueness_is_exact(spark, monkeypatch, block, terms):
     """Also below a cosine of a half, and over the bounds of blocks."""
