@@ -118,6 +118,30 @@ def feature_gaps(spark: SparkSession, d: str) -> DataFrame:
     return g.unpivot(["category", "n"], list(missing), "feature", "missing").filter("missing > 0.4").withColumn("missing", r6(F.col("missing")))
 
 
+# The features that are asked of the tasks.
+ASKED = {
+    "errors": ["debug"], "files": ["debug", "implement", "refactor", "test"], "code": ["debug", "implement"], "constraints": ["implement", "refactor", "review"],
+    "io_spec": ["implement", "test"], "edge_cases": ["implement", "test"], "examples": ["implement", "test"], "output_format": ["implement", "review", "summarize"],
+    "role": ["review", "creative"], "steps": ["implement", "refactor"],
+}
+
+
+def _asked_sql() -> str:
+    missing = ", ".join(f"""avg(CASE WHEN regexp_matches(s, '{features.PATTERNS[k].replace("'", "''")}') THEN 0.0 ELSE 1.0 END) AS {k}""" for k in ASKED)
+    rows = " UNION ALL ".join(f"""SELECT category, n, '{k}' AS feature, {k} AS missing FROM g WHERE category IN ({", ".join(f"'{t}'" for t in tasks)})""" for k, tasks in ASKED.items())
+    return f"WITH c AS (SELECT {_category_sql()} AS category, {_S} AS s FROM prompts WHERE text IS NOT NULL), g AS (SELECT category, count(*) AS n, {missing} FROM c GROUP BY category HAVING count(*) >= 3), u AS ({rows}) SELECT category, n, feature, round(missing, 6) AS missing FROM u WHERE missing > 0.4"
+
+
+@query(_asked_sql())
+def task_feature_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Features that more than four tenths of a task's prompts lack, of those that are asked of the task."""
+    p = features.with_features(read_table(spark, d, "prompts").filter("text IS NOT NULL").select(text.category(F.col("text")).alias("category"), "text"))
+    g = p.groupBy("category").agg(F.count(F.lit(1)).alias("n"), *[F.avg((~F.col(f"has_{k}")).cast("double")).alias(k) for k in ASKED]).filter("n >= 3")
+    asked = spark.createDataFrame([(k, t) for k, tasks in ASKED.items() for t in tasks], "feature string, category string")
+    g = g.unpivot(["category", "n"], list(ASKED), "feature", "missing").filter("missing > 0.4").join(F.broadcast(asked), ["feature", "category"])
+    return g.select("category", "n", "feature", r6(F.col("missing")).alias("missing"))
+
+
 _DUR = "CASE WHEN value IS NULL THEN 'none' WHEN value <= 1 THEN '<=1' WHEN value <= 10 THEN '1-10' WHEN value <= 100 THEN '10-100' ELSE '>100' END"
 
 
