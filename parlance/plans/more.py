@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parlance.functions import features, text
-from parlance.operators import graph, tfidf
+from parlance.operators import graph, patterns, tfidf
 from parlance.plans.reports import QUERIES, SQL, query, r6
 from parlance.session import materialize, read_table
 
@@ -48,10 +48,10 @@ def recurring_topics(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT s.source, count(DISTINCT s.file_path) AS n_files, count(DISTINCT b.session_id) AS n_sessions FROM processed_sessions s JOIN prompts b ON contains(s.file_path, b.session_id) WHERE starts_with(b.session_id, 's00-') GROUP BY s.source""")
 def sessions_by_file(spark: SparkSession, d: str) -> DataFrame:
-    """Files whose path names a session: the name is cut out of the path, so the join is an equi-join."""
-    files = read_table(spark, d, "processed_sessions").select("source", "file_path", F.explode(F.array_distinct(F.regexp_extract_all("file_path", F.lit(r"(s00-[0-9a-f]+)"), F.lit(1)))).alias("session_id"))
-    known = read_table(spark, d, "prompts").filter(F.col("session_id").startswith("s00-")).select("session_id").distinct()
-    return files.join(known, "session_id").groupBy("source").agg(F.countDistinct("file_path").alias("n_files"), F.countDistinct("session_id").alias("n_sessions"))
+    """Files whose path contains a session, whatever its name: a join on containment (the SQL has the names of the test data only)."""
+    files = read_table(spark, d, "processed_sessions").select("source", "file_path")
+    found = patterns.contained(files.select("file_path").distinct(), "file_path", "file_path", read_table(spark, d, "prompts"), "session_id")
+    return files.join(found, "file_path").groupBy("source").agg(F.countDistinct("file_path").alias("n_files"), F.countDistinct("session_id").alias("n_sessions"))
 
 
 @query("""

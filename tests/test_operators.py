@@ -192,6 +192,14 @@ def test_distillation(spark):
     assert got["a", 2] == (0.1, False) and got["a", 3][1] is False and got["a", 4][1] is True
 
 
+def test_sessions_of_any_name_in_paths(spark, tmp_path):
+    from parlance.plans.more import sessions_by_file
+
+    spark.createDataFrame([("s00-1f",), ("other_7",), (None,), ("",), ("gone",)], "session_id string").write.parquet(f"{tmp_path}/prompts.parquet")
+    spark.createDataFrame([("a", "/x/s00-1f.json"), ("a", "/x/other_7/s00-1f.json"), ("b", "/y/other_7"), ("b", "/y/none"), ("b", None)], "source string, file_path string").write.parquet(f"{tmp_path}/processed_sessions.parquet")
+    assert {tuple(r) for r in sessions_by_file(spark, str(tmp_path)).collect()} == {("a", 2, 2), ("b", 1, 1)}
+
+
 def test_recurring_topics(spark, tmp_path):
     """Edited repeats over sessions are one topic; groups within one session are none."""
     from parlance.plans.more import recurring_topics
