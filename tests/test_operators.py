@@ -200,6 +200,14 @@ def test_sessions_of_any_name_in_paths(spark, tmp_path):
     assert {tuple(r) for r in sessions_by_file(spark, str(tmp_path)).collect()} == {("a", 2, 2), ("b", 1, 1)}
 
 
+def test_secrets_of_all_kinds(spark, tmp_path):
+    from parlance.plans.texts import secrets_by_source
+
+    said = ["AKIA" + "A1B2" * 4, "password: hunter22 in /home/ana/", "mail ana@firm.test", "mail ana@firm.test", None]
+    spark.createDataFrame([("a", t) for t in said], "source string, text string").write.parquet(f"{tmp_path}/prompts.parquet")
+    assert {tuple(r) for r in secrets_by_source(spark, str(tmp_path)).collect()} == {("a", "api_key_aws", 1, 1), ("a", "password", 1, 1), ("a", "home_path", 1, 1), ("a", "email", 2, 1)}
+
+
 def test_recurring_topics(spark, tmp_path):
     """Edited repeats over sessions are one topic; groups within one session are none."""
     from parlance.plans.more import recurring_topics
