@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.session import materialize
+from parlance.session import exists, materialize, new_folder
 
 # Minutes east of UTC of zone abbreviations.
 ABBREVIATIONS = {
@@ -99,21 +99,22 @@ def with_instant(df: DataFrame, raw: str = "raw", zone: str = "zone", to: str =
 
 
 def dictionary(values: DataFrame, path: str | None = None) -> DataFrame:
-    """The dictionary (raw, zone, n, utc_us) of the distinct pairs raw and zone of values, n their rows.
+    """(raw, zone, n, utc_us) of the distinct pairs raw and zone of values, n their rows.
 
-    With path the dictionary is persisted there and grows: pairs that are already in it are not parsed again.
+    Instants are persisted at path (a new folder if none is given), which grows: pairs that are already there are not parsed again.
     """
     spark = values.sparkSession
     # The dictionary is grouped before parsing: a hot value is pre-aggregated where it is read.
-    found = values.filter(F.col("raw").isNotNull()).groupBy("raw", "zone").agg(F.count(F.lit(1)).alias("n"))
-    if path is None:
-        return with_instant(found)
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        old = spark.read.parquet(path)
-        found = found.join(old.select("raw", "zone"), on=(found.raw == old.raw) & found.zone.eqNullSafe(old.zone), how="left_anti")
-    with_instant(found).write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    counts = values.filter(F.col("raw").isNotNull()).groupBy("raw", "zone").agg(F.count(F.lit(1)).alias("n"))
+    if path is None or not exists(spark, path):
+        path = path or new_folder(spark, "instants")
+        with_instant(counts).write.parquet(path)
+        return spark.read.parquet(path)
+    counts = materialize(counts, "values")
+    known = spark.read.parquet(path).select("raw", "zone", "utc_us")
+    new = _join(counts, known.select("raw", "zone"), "left_anti")
+    with_instant(new).write.mode("append").parquet(path)
+    return _join(counts, spark.read.parquet(path).select("raw", "zone", "utc_us"))
 
 
 #: A dictionary entry that holds at least 1/HOT of all rows is joined by broadcast: there are at most HOT such entries.
@@ -123,16 +124,12 @@ HOT = 1000
 def normalise(values: DataFrame, path: str | None = None) -> DataFrame:
     """Each row of values (raw, zone and other columns) whose raw names an instant, with utc_us.
 
-    The dictionary is materialised; entries that hold a thousandth of all rows or more (at most a thousand) are joined by
-    broadcast, so no hot value reaches one task; the rest are joined by key.
+    The dictionary is persisted; entries that hold a thousandth of all rows or more (at most a thousand, whatever the size) are
+    joined by broadcast, so no hot value reaches one task; the rest are joined by key.
     """
-    d = dictionary(values, path) if path else materialize(dictionary(values), "instants")
+    d = dictionary(values, path)
     total = d.agg(F.sum("n")).first()[0] or 0
-    least = max(total // HOT, 1)
-    # Small inputs have no hot entries worth two branches.
-    if total < 1_000_000:
-        d = d.filter(F.col("utc_us").isNotNull()).select("raw", "zone", "utc_us")
-        return _join(values.filter(F.col("raw").isNotNull()), d)
+    least = max(-(-total // HOT), 1)
     hot = d.filter(F.col("n") >= least).select("raw", "zone", "utc_us", F.lit(True).alias("_hot"))
     marked = _join(values.filter(F.col("raw").isNotNull()), F.broadcast(hot), "left")
     cold = marked.filter(F.col("_hot").isNull()).drop("utc_us", "_hot")
