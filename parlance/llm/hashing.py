@@ -1,4 +1,4 @@
-"""Vectorised word, window and set hashes over batches of texts, and count sketches over whole tables.
+"""Vectorised word, window and set hashes over batches of texts, and frequent keys of whole tables.
 
 Everything here works on numpy arrays that hold the words of many texts one after another.
 """
@@ -6,14 +6,15 @@ Everything here works on numpy arrays that hold the words of many texts one afte
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import SparkContext, TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from parlance.session import materialize
 
 WORD = re.compile(r"[^\W_]+")
 U64 = np.uint64
@@ -128,103 +129,52 @@ def unpack48(data: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8").astype(U64, copy=False)
 
 
-# Count sketches ------------------------------------------------------------------------------------------------------------
-#: Counters of a sketch: 2**24 bytes whatever the data, so that it may be sent to every executor.
-SKETCH_BITS, SLICES = 24, 64
-#: Tasks whose counters are added up in one step.
-TASKS = 256
-#: Counts up to LINEAR are exact; above, each code is 2**(1/4) times the one before, rounded up.
-LINEAR = 127
-
-
-def encode(counts: np.ndarray) -> np.ndarray:
-    big = LINEAR + np.ceil(4 * np.log2(np.maximum(counts, 1) / LINEAR))
-    return np.where(counts <= LINEAR, counts, np.minimum(big, 255)).astype(np.uint8)
+# Heavy keys ----------------------------------------------------------------------------------------------------------------
+#: Keys of a summary: HEAVY pairs of eight bytes each are sent to every executor, whatever the data.
+HEAVY = 1 << 16
 
 
-def decode(codes: np.ndarray) -> np.ndarray:
-    """The greatest count of each code."""
-    c = codes.astype(np.int64)
-    return np.where(c <= LINEAR, c, np.floor(LINEAR * 2.0 ** ((c - LINEAR) / 4))).astype(np.int64)
+def _merge(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.concatenate([a, b])
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], np.concatenate([n, m])[order]
+    first = np.nonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[0] if len(keys) else np.zeros(0, dtype=np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
 
 
-def sketches(df: DataFrame, keys: Callable[[pa.RecordBatch], list[np.ndarray]], n: int = 1, bits: int = SKETCH_BITS) -> list[np.ndarray]:
-    """n count sketches by the low bits of 64-bit keys over all rows, as codes (see encode); a count is never below the true one.
+def heavy(df: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray], k: int = HEAVY) -> tuple[np.ndarray, np.ndarray]:
+    """(keys in order, counts) of at most k 64-bit keys: every key that makes up more than 3/k of all is among them.
 
-    keys gives n arrays of keys for a batch, each key once for every row that is to count. Every task sends its counters in
-    slices, which are added up by slice; the driver gets n * 2**bits bytes.
+    keys gives the keys of a batch, each once for every row that is to count. Each task keeps a frequent-items summary (Misra and
+    Gries) of 8 k counters, and hands on those above 1/k of its keys; counts are never above the true ones and at most 2/k of all
+    below. So what is sent is bounded at any size, and any key that is not among them has few rows for one task.
     """
-    size = 1 << bits
-    step = size // SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: list[np.ndarray] = []
+        have, n, total = np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64), 0
         for b in batches:
-            if not b.num_rows:
-                continue
-            totals = totals or [np.zeros(size, dtype=np.uint32) for _ in range(n)]
-            for total, k in zip(totals, keys(b), strict=True):
-                at, times = np.unique((k & U64(size - 1)).astype(np.int64), return_counts=True)
-                total[at] += times.astype(np.uint32)
-        for which, total in enumerate(totals):
-            yield pa.RecordBatch.from_pydict({
-                "slice": pa.array(range(which * SLICES, (which + 1) * SLICES), pa.int32()),
-                "salt": pa.array([TaskContext.get().partitionId() // TASKS] * SLICES, pa.int32()),
-                "counts": pa.array([pa.compress(total[i * step : (i + 1) * step].tobytes(), "zstd", asbytes=True) for i in range(SLICES)], pa.binary()),
-            })
-
-    def add(key: tuple, batches: Iterator[pa.RecordBatch], last: bool) -> pa.RecordBatch:
-        total = np.zeros(step, dtype=np.uint64)
-        for b in batches:
-            for data in b.column("counts").to_pylist():
-                total += np.frombuffer(pa.decompress(data, step * 4, "zstd", asbytes=True), dtype=np.uint32)
-        data = encode(total) if last else np.minimum(total, np.iinfo(np.uint32).max).astype(np.uint32)
-        cols = {"slice": pa.array([key[0].as_py()], pa.int32()), "salt": pa.array([0], pa.int32()), "counts": pa.array([pa.compress(data.tobytes(), "zstd", asbytes=True)], pa.binary())}
-        return pa.RecordBatch.from_pydict(cols)
-
-    def some(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield add(key, batches, False)
-
-    def all_(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield add(key, batches, True)
-
-    schema = "slice int, salt int, counts binary"
-    parts = df.mapInArrow(count, schema)
-    # Many tasks are added up in two steps, so that no task reads the counters of all of them.
-    if df.rdd.getNumPartitions() > TASKS:
-        parts = parts.groupBy("slice", "salt").applyInArrow(some, schema)
-    parts = parts.groupBy("slice").applyInArrow(all_, schema)
-    out = [np.zeros(size, dtype=np.uint8) for _ in range(n)]
-    for r in parts.collect():
-        which, i = divmod(r["slice"], SLICES)
-        out[which][i * step : (i + 1) * step] = np.frombuffer(pa.decompress(bytes(r["counts"]), step, "zstd", asbytes=True), dtype=np.uint8)
-    return out
-
-
-def sketch(df: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray], bits: int = SKETCH_BITS) -> np.ndarray:
-    """One count sketch."""
-    return sketches(df, lambda b: [keys(b)], 1, bits)[0]
-
-
-_OPEN: dict[tuple[str, int], np.ndarray] = {}
-
-
-class Shared:
-    """Sketches sent to the tasks compressed, and opened once in each worker."""
-
-    def __init__(self, sc: SparkContext, arrays: list[np.ndarray]) -> None:
-        self.name, self.sizes = uuid.uuid4().hex, [len(a) for a in arrays]
-        self.sent = sc.broadcast([pa.compress(a.tobytes(), "zstd", asbytes=True) for a in arrays])
-
-    def __getitem__(self, i: int) -> np.ndarray:
-        found = _OPEN.get((self.name, i))
-        if found is None:
-            if len(_OPEN) >= 6:
-                _OPEN.clear()
-            found = _OPEN[self.name, i] = np.frombuffer(pa.decompress(self.sent.value[i], self.sizes[i], "zstd", asbytes=True), dtype=np.uint8)
-        return found
-
-
-def seen(codes: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """The codes of keys in a sketch."""
-    return codes[(keys & U64(len(codes) - 1)).astype(np.int64)]
+            if b.num_rows:
+                x = keys(b)
+                total += len(x)
+                have, n = _merge(have, n, *np.unique(x, return_counts=True))
+                if len(have) > 8 * k:
+                    n = n - np.partition(n, len(n) - k - 1)[len(n) - k - 1]
+                    have, n = have[n > 0], n[n > 0]
+        keep = n > max(total // k, 1)
+        yield pa.RecordBatch.from_arrays([pa.array([None, *have[keep].view(np.int64).tolist()], pa.int64()), pa.array([total, *n[keep].tolist()], pa.int64())], names=["key", "n"])
+
+    found = materialize(df.mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")), "heavy")
+    total = (found.filter("key IS NULL").first() or [None, 0])[1]
+    rows = found.filter(F.col("key").isNotNull() & (F.col("n") > total // k)).toPandas()
+    at = rows["key"].to_numpy(dtype=np.int64).view(U64)
+    order = np.argsort(at)
+    return at[order], rows["n"].to_numpy(dtype=np.int64)[order]
+
+
+def counts_of(known: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
+    """The count of each key in a summary, 0 for those it does not hold."""
+    have, n = known
+    if not len(have):
+        return np.zeros(len(keys), dtype=np.int64)
+    at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+    return np.where(have[at] == keys, n[at], 0)

@@ -1,20 +1,31 @@
 """New batches against everything accepted before (problem 7).
 
-The accepted history is three append-only tables in one folder, bucketed by hash: `content` (digests of the texts without outer
-blanks), `paragraphs` (the hashed k-word runs of each text of least_words words or more, 6 bytes a run) and `files` (resolved
-paths). A batch is compared with these tables only, never with the old texts, and its accepted rows append to them.
-
-* full copies: a semi-join of content digests within a bucket;
-* near copies: coverage is the share of paragraphs (k-word runs) two texts have in common. Only history paragraphs that a new
-  item may hold (by a sketch of the items' paragraphs) are matched; candidates come from the trie join of `neardup`, which
-  drops none, and are verified on the paragraphs themselves;
+The accepted history is a folder of append-only tables, bucketed on disk by hash (`CLUSTERED BY ... INTO n BUCKETS`):
+
+* `content`: digests of the texts without outer blanks, by digest;
+* `paragraphs`: one row per paragraph hash and text, by paragraph. A paragraph is a k-word run; of each distinct set of paragraphs
+  those are kept that a near copy may share first, in an order fixed when the history begins (frequent ones last), each with the
+  set's id, size, position and odd sketch of the paragraphs behind it;
+* `sets`: the paragraphs of each distinct set (6 bytes each), by the set's id, a digest of it;
+* `files`: resolved paths, by path.
+
+A batch is compared with these tables only, never with the old texts. Each comparison is a join within buckets: the batch's hashes
+are dealt to the buckets, the history's side is read where it lies and never shuffled.
+
+* full copies: a semi-join of content digests;
+* near copies: a join on paragraph hashes that keeps pairs whose positions and sketches fit the error budget (see `neardup`, it
+  drops no near copy); then coverage is counted on the paragraphs of both sides;
 * several batches are decided at once, as if one after the other: within the new items the verdicts are the fixed point of
   "accepted if all earlier neighbours are rejected, rejected if one is accepted", worked out in rounds over the links.
 
+`accept` appends what was accepted. Paragraphs that very many sets share are salted over buckets: the number of salts of a paragraph
+only grows, and a batch asks all of them.
+
 Items with equal paragraph sets are one node (its first item speaks for it), so repeats cause no pairs among themselves.
 
-Defined results: a null path repeats no file; a null text equals no text and is accepted; blank texts equal each other; repeated
-rows are decided each in their turn; an empty history or empty batches give no rejections; extra columns are ignored.
+Defined results: a null or blank path repeats no file; a null text equals no text and is accepted; blank texts equal each other;
+repeated rows are decided each in their turn; an empty history or empty batches give no rejections; extra columns are ignored. Two
+sets of one 64-bit id are both compared, so that a clash of ids changes no verdict.
 """
 
 from __future__ import annotations
@@ -22,20 +33,23 @@ from __future__ import annotations
 import posixpath
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm import neardup
+from parlance.llm.hashing import HEAVY, U64, counts_of, heavy, mix
 from parlance.session import materialize
 
-BUCKETS = 16
+#: Sets that share one salt of a paragraph, at most about so many.
+SALT = 1 << 16
 
 
 def resolve(path: str | None) -> str | None:
-    """A path with / for \\ and without `.`, `..` and doubled /."""
-    if path is None:
+    """A path with / for \\ and without `.`, `..` and doubled /; null if blank."""
+    if path is None or not path.strip():
         return None
     p = posixpath.normpath(path.replace("\\", "/"))
     return "/" + p.lstrip("/") if p.startswith("//") else p
@@ -59,40 +73,110 @@ def _with(df: DataFrame, column: str, to: str, f, kind: str, drop: bool = True)
     return df.mapInArrow(run, schema)
 
 
-def _bucket(df: DataFrame, by: str) -> DataFrame:
-    return df.withColumn("bucket", F.pmod(F.xxhash64(by), F.lit(BUCKETS)).cast("int"))
+def _set_id() -> F.Column:
+    """A 48-bit id of a set: of its digest."""
+    return F.shiftrightunsigned(F.xxhash64("cls"), 16)
 
 
 class History:
     """The accepted history in a folder."""
 
-    def __init__(self, spark: SparkSession, path: str, threshold: float = 0.8, k: int = 5, least_words: int = 20) -> None:
+    _TABLES = {
+        "content": ("hash BINARY", "hash"),
+        "paragraphs": ("key BIGINT, id BIGINT, meta BIGINT, sketch BIGINT", "key"),
+        "sets": ("id BIGINT, n INT, set BINARY, part INT", "id"),
+        "files": ("path STRING", "path"),
+        # Not bucketed: bounded summaries of the frequent paragraphs of each append; those of the first fix the order.
+        "frequent": ("part INT, member BIGINT, n BIGINT, shared BIGINT", None),
+    }
+
+    def __init__(self, spark: SparkSession, path: str, threshold: float = 0.8, k: int = 5, least_words: int = 20, buckets: int | None = None) -> None:
+        """buckets: of the tables, as long as they live; as many as there are shuffle partitions if it is not given."""
         self.spark, self.path = spark, path
         self.threshold, self.k, self.least_words = threshold, k, least_words
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.name = "history_" + xxhash.xxh3_64_hexdigest(path)
+        for name, (columns, by) in self._TABLES.items():
+            place = f"CLUSTERED BY ({by}) INTO {self.buckets} BUCKETS" if by else ""
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name}_{name} ({columns}) USING parquet OPTIONS (compression 'zstd') {place} LOCATION '{path}/{name}'")
 
     # Tables ----------------------------------------------------------------------------------------------------------------
-    _SCHEMAS = {"content": "hash binary, bucket int", "paragraphs": "id bigint, n int, set binary, cls binary, bucket int", "files": "path string, bucket int"}
-
     def table(self, name: str) -> DataFrame:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        if not p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p):
-            return self.spark.createDataFrame([], self._SCHEMAS[name])
-        return self.spark.read.schema(self._SCHEMAS[name]).parquet(f"{self.path}/{name}")
+        return self.spark.table(f"{self.name}_{name}")
 
     def _append(self, name: str, df: DataFrame) -> None:
-        df.write.mode("append").option("compression", "zstd").parquet(f"{self.path}/{name}")
+        """Each bucket of what is appended is one file."""
+        by = self._TABLES[name][1]
+        rows = df.select(*self.table(name).columns)
+        (rows.repartition(self.buckets, by).sortWithinPartitions(by) if by else rows.coalesce(1)).write.insertInto(f"{self.name}_{name}")
+
+    def _order(self) -> neardup.Summary:
+        """The frequent paragraphs that fix the order: bounded by the size of a summary."""
+        rows = self.table("frequent").filter((F.col("part") == 0) & (F.col("n") > 0)).select("member", "n").toPandas()
+        at = rows["member"].to_numpy(dtype=np.int64).view(U64)
+        order = np.argsort(at)
+        return at[order], rows["n"].to_numpy(dtype=np.int64)[order]
+
+    def _salts(self) -> neardup.Summary:
+        """The paragraphs that more than SALT sets have in front, and the sets: the HEAVY most frequent at most."""
+        total = self.table("frequent").groupBy("member").agg(F.sum("shared").alias("n")).filter(F.col("n") > SALT)
+        rows = total.orderBy(F.desc("n"), "member").limit(HEAVY).toPandas()
+        at = rows["member"].to_numpy(dtype=np.int64).view(U64)
+        order = np.argsort(at)
+        return at[order], rows["n"].to_numpy(dtype=np.int64)[order]
+
+    def _fronts(self, sets: DataFrame, ask: bool, carry: str = "id") -> DataFrame:
+        """(key, id, meta, sketch) of the paragraphs in front of each set: to be kept, or (ask) to be looked up under all salts."""
+        sc = self.spark.sparkContext
+        order, salted, threshold = sc.broadcast(self._order()), sc.broadcast(self._salts()), self.threshold
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                o = neardup.Ordered(b, order.value, threshold)
+                ids = b.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
+                m, r, sk = o.m[o.at], o.row[o.at], o.sketches()[:, 0]
+                salts = np.maximum(-(-counts_of(salted.value, m) // SALT), 1)
+                if ask:
+                    at = np.repeat(np.arange(len(m)), salts)
+                    salt = (np.arange(len(at)) - np.repeat(np.cumsum(salts) - salts, salts)).astype(U64)
+                else:
+                    at, salt = np.arange(len(m)), mix(ids[r].view(U64) ^ m) % salts.astype(U64)
+                key = mix(m[at] ^ mix(salt)) >> U64(16)
+                meta = (o.n[r[at]] << 32) | o.pos[o.at][at]
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[r[at]]), pa.array(meta), pa.array(sk[at].view(np.int64))], names=["key", "id", "meta", "sketch"])
+
+        return sets.select("id", "n", "set").mapInArrow(run, "key bigint, id bigint, meta bigint, sketch bigint")
 
     def add_texts(self, df: DataFrame, key: str, text: str) -> None:
         """Appends the digests and paragraphs of accepted texts."""
-        rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
+        rows = df.select(F.col(key).alias("id"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
         hashes = _with(rows.select("text"), "text", "hash", digest, "binary").distinct()
-        self._append("content", _bucket(hashes, "hash").repartition("bucket").sortWithinPartitions("bucket", "hash"))
-        self._append("paragraphs", _bucket(neardup.text_sets(rows, "id", "text", self.k, self.least_words), "cls"))
+        self._append("content", hashes.join(self.table("content"), "hash", "left_anti"))
+        # Equal sets are one; where they are read already, so that copies meet in no task.
+        sets = neardup.text_sets(rows, "id", "text", self.k, self.least_words).select(_set_id().alias("id"), "n", "set")
+        sets = sets.groupBy("id").agg(F.first("n").alias("n"), F.first("set").alias("set")).join(self.table("sets").select("id"), "id", "left_anti")
+        part = (self.table("sets").agg(F.max("part")).first()[0] or 0) + 1
+        self._append("sets", sets.withColumn("part", F.lit(part)))
+        new = self.table("sets").filter(F.col("part") == part)
+        began = not self.table("frequent").isEmpty()
+        members, n = self._order() if began else neardup.frequent_members(new)
+        if not began:
+            self._append("frequent", self._frequent(0, members, n, np.zeros(len(n), dtype=np.int64)))
+        order, threshold = self.spark.sparkContext.broadcast((members, n)), self.threshold
+        found, shared = heavy(new.select("n", "set"), lambda b: (lambda o: o.m[o.at])(neardup.Ordered(b, order.value, threshold)))
+        self._append("frequent", self._frequent(part, found, np.zeros(len(found), dtype=np.int64), shared))
+        self._append("paragraphs", self._fronts(new, False))
+
+    def _frequent(self, part: int, members: np.ndarray, n: np.ndarray, shared: np.ndarray) -> DataFrame:
+        rows = pa.table({"part": pa.array([part] * len(members), pa.int32()), "member": pa.array(members.view(np.int64)), "n": pa.array(n), "shared": pa.array(shared)})
+        return self.spark.createDataFrame(rows) if len(members) else self.spark.createDataFrame([(part, 0, 0, 0)], "part int, member bigint, n bigint, shared bigint")
 
     def add_files(self, df: DataFrame, path: str) -> None:
         """Appends the resolved paths of files that were read."""
-        rows = _with(df.select(F.col(path).alias("raw")).filter(F.col("raw").isNotNull()), "raw", "path", resolve, "string").distinct()
-        self._append("files", _bucket(rows, "path"))
+        rows = _with(df.select(F.col(path).alias("raw")), "raw", "path", resolve, "string").filter(F.col("path").isNotNull()).distinct()
+        self._append("files", rows.join(self.table("files"), "path", "left_anti"))
 
     # Decision --------------------------------------------------------------------------------------------------------------
     def decide(self, items: DataFrame, item: str = "item_id", batch: str = "batch_no", path: str = "file_path", text: str = "text") -> DataFrame:
@@ -101,11 +185,10 @@ class History:
         new = _with(_with(new, "raw", "path", resolve, "string"), "text", "hash", digest, "binary", drop=False)
         # Paths: known files, or the same path in an earlier batch.
         first = new.filter(F.col("path").isNotNull()).groupBy("path").agg(F.min("batch_no").alias("first_batch"))
-        files = self.table("files").select("path").distinct().withColumn("known", F.lit(True))
+        files = self.table("files").withColumn("known", F.lit(True))
         new = new.join(first, "path", "left").join(files, "path", "left")
         new = new.withColumn("file", F.coalesce("known", F.lit(False)) | F.coalesce(F.col("first_batch") < F.col("batch_no"), F.lit(False)))
-        content = self.table("content").select("bucket", "hash").distinct().withColumn("copied", F.lit(True))
-        new = _bucket(new, "hash").join(content, ["bucket", "hash"], "left")
+        new = new.join(self.table("content").withColumn("copied", F.lit(True)), "hash", "left")
         new = materialize(new.select("item_id", "batch_no", "hash", "file", F.coalesce("copied", F.lit(False)).alias("copied"), F.when(~F.col("file") & F.col("copied").isNull(), F.col("text")).alias("text")), "items")
         kept = new.filter(~F.col("file") & ~F.col("copied"))
 
@@ -135,34 +218,27 @@ class History:
 
     def _edges(self, sets: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(links between nodes (a, b), nodes that are near a text of the history (node))."""
-        # Both sides get ids of their own: items odd, history even.
-        heads = sets.join(nodes.select(F.col("node").alias("id")), "id", "left_semi").select((F.col("id") * 2 + 1).alias("id"), "n", "set", F.lit(True).alias("new"))
-        past = self.table("paragraphs")
-        # Texts of several sources may have one id: a copy is known by id and set (one 64-bit digest of both, so that it stays small).
-        # Written, the copies have a known size: where they are few, leaving them out needs no shuffle of the sets.
-        row = F.xxhash64("id", "cls").alias("row")
-        rep = past.groupBy("cls").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("cls", "rep")
-        copies = materialize(past.select("id", "cls").join(rep, "cls").filter("id <> rep").select(row), "copies")
-        once = past.select("id", "n", "set", row).join(copies, "row", "left_anti").drop("row")
-        even = lambda df: df.select((F.col("id") * 2).alias("id"), "n", "set", F.lit(False).alias("new"))
-        both = even(past).unionByName(heads)
-        # Rows of one id are verified each: a pair counts if one of them is near, which is what is asked of the history.
-        found = neardup.roots(even(once).unionByName(heads), self.threshold, both="new")
-        pairs = neardup.trie_pairs(found, self.threshold).distinct()
-        pairs = materialize(neardup.verify(pairs, both, self.threshold).select("a", "b"), "edges")
-        item = lambda c: F.shiftright(F.col(c), 1)
-        old = pairs.filter(F.col("b") % 2 == 0).select(item("a").alias("node")).distinct()
-        return pairs.filter(F.col("b") % 2 != 0).select(item("a").alias("a"), item("b").alias("b")), old
+        heads = materialize(sets.join(nodes.select(F.col("node").alias("id")), "id", "left_semi").select("id", "n", "set"), "heads")
+        size, pos = (lambda c: F.shiftright(c, 32)), (lambda c: c.bitwiseAND(F.lit((1 << 32) - 1)))
+        asked = self._fronts(heads, True).toDF("key", "a", "meta_a", "sketch_a")
+        errors = F.bit_count(F.col("sketch").bitwiseXOR(F.col("sketch_a"))) + pos(F.col("meta")) + pos(F.col("meta_a"))
+        rate = (1 - self.threshold) / (1 + self.threshold)
+        met = asked.join(self.table("paragraphs"), "key").filter(errors <= rate * (size(F.col("meta")) + size(F.col("meta_a"))) + 1e-9)
+        pairs = materialize(met.select("a", F.col("id").alias("b")).distinct(), "candidates")
+        # Coverage is counted where the history's sets lie: only those that were met are read on.
+        both = pairs.join(heads.toDF("a", "na", "sa"), "a").join(self.table("sets").select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("set").alias("sb")), "b")
+        old = materialize(neardup.compare(both, self.threshold).select(F.col("a").alias("node")).distinct(), "old")
+        # Nodes near the history are decided and decide nothing.
+        open_ = materialize(heads.join(old.withColumnRenamed("node", "id"), "id", "left_anti"), "open")
+        found = neardup.trie_pairs(neardup.roots(open_, self.threshold), self.threshold).distinct()
+        return neardup.verify(found, open_, self.threshold).select("a", "b"), old
 
     def _rounds(self, nodes: DataFrame, edges: DataFrame, old: DataFrame) -> DataFrame:
         """(node, near): whether each node is near the history or an accepted earlier node."""
-        old = materialize(old, "old")
         at = nodes.select("node", "node_batch")
         ranked = edges.join(at.toDF("a", "ba"), "a").join(at.toDF("b", "bb"), "b")
         before = F.struct("ba", "a") < F.struct("bb", "b")
         links = ranked.select(F.when(before, F.col("b")).otherwise(F.col("a")).alias("later"), F.when(before, F.col("a")).otherwise(F.col("b")).alias("earlier")).distinct()
-        # Nodes near the history are decided and decide nothing.
-        links = links.join(old.select(F.col("node").alias("later")), "later", "left_anti").join(old.select(F.col("node").alias("earlier")), "earlier", "left_anti")
         links = materialize(links, "links")
         rejected = old
         while not links.isEmpty():

@@ -3,20 +3,23 @@
 A text is the set of its k-word runs; two texts are near duplicates if the Jaccard similarity of their sets reaches the
 threshold, that is if at most rate * (|A| + |B|) members differ, rate = (1 - t) / (1 + t). The join is exact:
 
-* Members are ordered rarest first (by a count sketch of fixed size; any one order is right). Two near duplicates share a member
-  within the first |A| - ceil(t |A|) + 1 of each. The first member that both hold is the root of their subtree; before it lie
-  only differing members, so a pair starts with as many errors as the two positions.
+* Members are ordered rarest first: those that a bounded summary of frequent members does not hold by their hash, then the frequent
+  ones by count (any one order is right). Two near duplicates share a member within the first |A| - ceil(t |A|) + 1 of each. The
+  first member that both hold is the root of their subtree; before it lie only differing members, so a pair starts with as many
+  errors as the two positions.
 * Below the root the members still to come are an odd sketch: one bit per member, added modulo 2. Two sketches never differ in
   more bits than their sets do in members, so walking both tries together, adding up differing bits and pruning pairs beyond the
   error budget, drops no near duplicate.
 * Pairs that are left are verified on the sets themselves.
 
-Members that the sketch saw once are in no other text and are never sent. A root that very many texts share is split into
-blocks of about BLOCK texts, and each pair of blocks is one group, so no task holds a hot root. Texts with equal sets are one
-class; only its least id takes part, and the class is opened up at the end.
+One row per member of a prefix is sent, at any size: nothing is pruned by a structure that fills up. Rows of one task and part go
+packed. A root that more than BLOCK texts share is known from the summary of roots; it is split into blocks, and each pair of
+blocks is one group, so no task holds a hot root. Such texts have nothing but frequent members in their prefix: they are light
+edits of one text, near duplicates of each other for the most part, so that the pairs of blocks are the pairs asked for. Texts with
+equal sets are one class; only its least id takes part, and the class is opened up at the end.
 
-Defined results: null and blank texts and texts below the least number of words take no part; repeated rows are near duplicates
-with similarity 1; whole texts are read; empty tables give empty tables; extra columns are ignored.
+Defined results: keys are BIGINT; null and blank texts and texts below the least number of words take no part; repeated rows are
+near duplicates with similarity 1; whole texts are read; empty tables give empty tables; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,22 +33,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.hashing import U64, Shared, Vocabulary, decode, mix, pack48, seen, shingle_sets, sketch, sketches, unpack48
-from parlance.llm.trie import Trie, join
+from parlance.llm import trie
+from parlance.llm.hashing import U64, Vocabulary, counts_of, heavy, mix, pack48, shingle_sets, unpack48
 from parlance.session import materialize
 
-#: Bits of an odd sketch, and the columns that hold them.
+#: Bits of an odd sketch.
 SKETCH = 128
-SK = [f"s{i}" for i in range(SKETCH // 64)]
-#: Groups up to this size are compared as one leaf.
-SMALL = 6
-#: Texts of one block of a hot root.
-BLOCK = 4096
+#: Texts of one block of a hot root, and rows of a part (the work of one task).
+BLOCK, PART = 1 << 15, 500_000
+#: Rows that a task holds back to pack them together.
+PACK = 1_000_000
+
+Summary = tuple[np.ndarray, np.ndarray]
 
 
 def text_sets(df: DataFrame, key: str, text: str, k: int, least_words: int, carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, n, set, cls, *carry) of every text with least_words words or more: its number of members, the members, and a digest of the set."""
-    rows = df.select(F.col(key).alias("id"), *carry, F.col(text).alias("text")).filter(F.col("text").isNotNull())
+    rows = df.select(F.col(key).cast("bigint").alias("id"), *carry, F.col(text).alias("text")).filter(F.col("text").isNotNull())
     vocabulary = Vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,173 +75,136 @@ def _members(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(n)), n), unpack48(b"".join(sets)) if sets else np.zeros(0, dtype=U64)
 
 
-def member_counts(sets: DataFrame) -> np.ndarray:
-    """The count sketch of all members."""
-    return sketch(sets.select("n", "set"), lambda b: mix(_members(b)[1]))
-
+def frequent_members(sets: DataFrame) -> Summary:
+    """The frequent members of all sets, mixed, and their counts: a bounded summary."""
+    return heavy(sets.select("n", "set"), lambda b: mix(_members(b)[1]))
 
-def _ordered(b: pa.RecordBatch, count: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
-    """(row, member, mixed member, code, position, sizes of the sets, probe prefixes, index prefixes) of a batch, members rarest first."""
-    row, h = _members(b)
-    n = b.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
-    m = mix(h)
-    c = seen(count, m)
-    order = np.lexsort((m, c, row))
-    row, h, m, c = row[order], h[order], m[order], c[order]
-    pos = np.arange(len(row)) - (np.cumsum(n) - n)[row]
-    probe = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
-    index = n - np.ceil(2 * threshold / (1 + threshold) * n - 1e-9).astype(np.int64) + 1
-    return row, h, m, c, pos, n, probe, index
 
+class Ordered:
+    """The members of a batch of sets (n, set), rarest first: row, mixed member, position, and the sizes and prefixes of the sets."""
 
-def _side(b: pa.RecordBatch, both: str | None) -> np.ndarray:
-    return np.ones(b.num_rows, dtype=bool) if both is None else b.column(both).to_numpy(zero_copy_only=False).astype(bool)
+    def __init__(self, b: pa.RecordBatch, known: Summary, threshold: float) -> None:
+        row, h = _members(b)
+        self.n = b.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
+        m = mix(h)
+        order = np.lexsort((m, counts_of(known, m), row))
+        self.row, self.m = row[order], m[order]
+        self.first = np.cumsum(self.n) - self.n
+        self.pos = np.arange(len(row)) - self.first[self.row]
+        prefix = self.n - np.ceil(threshold * self.n - 1e-9).astype(np.int64) + 1
+        #: Where the members of prefixes are.
+        self.at = np.nonzero(self.pos < prefix[self.row])[0]
 
+    def sketches(self) -> np.ndarray:
+        """Odd sketches of the members after each one of the prefixes, by running sums modulo 2 from the end."""
+        bit = (self.m >> U64(40)) % U64(SKETCH)
+        sk = np.zeros((len(self.row) + 1, SKETCH // 64), dtype=U64)
+        sk[np.arange(len(self.row)), (bit // U64(64)).astype(np.int64)] = U64(1) << (bit % U64(64))
+        acc = np.bitwise_xor.accumulate(sk[::-1], axis=0)[::-1]
+        return acc[self.at + 1] ^ acc[(self.first + self.n)[self.row[self.at]]]
 
-def roots(sets: DataFrame, threshold: float, both: str | None = None) -> DataFrame:
-    """(key, id, meta, s0, s1): the subtrees a text belongs to, one row per member of its prefix that a near duplicate may share.
 
-    both: a boolean column; a pair needs at least one text with it set (None: all have it). Of a pair the first common member
-    lies in the longer prefix (probe) of the greater set and in the shorter one (index) of the smaller set. So a member within
-    its own index prefix is sent if it is in another probe prefix, and one behind it if it is in another index prefix; two
-    sketches of the prefixes tell. A root of more than BLOCK texts is dealt to blocks: the key is of root and pair of blocks.
+def roots(sets: DataFrame, threshold: float, known: Summary | None = None) -> DataFrame:
+    """Packed rows (key, id, size, position, role, sketch) of the subtrees that the texts of sets (id, n, set) belong to, dealt to
+    parts by key. A root of more than BLOCK texts is dealt to blocks: its key is of root and pair of blocks, the role tells the block.
     """
     sc = sets.sparkSession.sparkContext
-    known = Shared(sc, [member_counts(sets)])
-    cols = [c for c in ("id", "n", "set", both) if c]
-
-    def prefixes(b: pa.RecordBatch) -> list[np.ndarray]:
-        row, _, m, c, pos, _, probe, index = _ordered(b, known[0], threshold)
-        side = _side(b, both)[row]
-        # Other bits than those of the member counts, twice: what a collision lets pass in one sketch the others hold back.
-        one, two = m >> U64(24), mix(m ^ U64(1))
-        ways = [pos < probe[row], pos < index[row]]
-        if both is not None:
-            ways += [w & side for w in ways]
-        return [np.concatenate([one[w], two[w]]) for w in ways]
-
-    held = Shared(sc, sketches(sets.select(*cols), prefixes, 2 if both is None else 4))
+    order = sc.broadcast(frequent_members(sets) if known is None else known)
+    hot = sc.broadcast(heavy(sets.select("n", "set"), lambda b: (lambda o: o.m[o.at])(Ordered(b, order.value, threshold))))
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    least = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least, math.ceil(total * (1 - threshold) / PART))
+
+    def packed(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        key, ids, n, pos, role, sk = (np.concatenate(x) for x in zip(*held, strict=True))
+        part = (key % U64(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        first = np.nonzero(np.concatenate([[True], part[order][1:] != part[order][:-1]]))[0].tolist()
+        rows = []
+        for s, e in zip(first, [*first[1:], len(part)], strict=True):
+            at = order[s:e]
+            small = [np.diff(ids[at], prepend=0), n[at].astype(np.int32), pos[at].astype(np.int32), role[at].astype(np.int8)]
+            rows.append((int(part[at[0]]), pack48(key[at]), *[pa.compress(x.tobytes(), "zstd", asbytes=True) for x in small], sk[at].tobytes()))
+        kinds = [pa.int32(), *[pa.binary()] * 6]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "key", "id", "n", "pos", "role", "sk"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
         for b in batches:
             if not b.num_rows:
                 continue
-            row, h, m, c, pos, n, probe, index = _ordered(b, known[0], threshold)
-            side = _side(b, both)
-            first = np.cumsum(n) - n
-            # What deals a text to a block: a mix of its members.
-            deal = np.bitwise_xor.reduceat(mix(m + U64(1)), first)
-            # Odd sketches of the members after each one, by running sums modulo 2 from the end.
-            bit = (m >> U64(40)) % U64(SKETCH)
-            sk = np.zeros((len(row) + 1, SKETCH // 64), dtype=U64)
-            sk[np.arange(len(row)), (bit // U64(64)).astype(np.int64)] = U64(1) << (bit % U64(64))
-            acc = np.bitwise_xor.accumulate(sk[::-1], axis=0)[::-1]
-            at = np.nonzero((pos < probe[row]) & (c > 1))[0]
-            row_, inner = row[at], (pos < index[row])[at]
-            one, two = m[at] >> U64(24), mix(m[at] ^ U64(1))
-            held_in = lambda w, one=one, two=two: np.minimum(seen(held[w], one), seen(held[w], two))
-            in_probe, in_index = held_in(0), held_in(1)
-            send = np.where(inner, in_probe > 1, in_index > 0)
-            if both is not None:
-                # Texts with the column set pair with any; the rest only with those.
-                new_probe, new_index = held_in(2), held_in(3)
-                send &= side[row_] | np.where(inner, new_probe > 0, new_index > 0)
-            at, blocks = at[send], np.maximum(-(-decode(in_probe[send]) // BLOCK), 1)
-            r = row[at]
-            # Every row goes to the pair of its block with each block.
+            o = Ordered(b, order.value, threshold)
+            at, r = o.at, o.row[o.at]
+            # Every row of a hot root goes to the pair of its block with each block.
+            blocks = np.maximum(-(-counts_of(hot.value, o.m[at]) // BLOCK), 1)
             copies = np.repeat(np.arange(len(at)), blocks)
             other = np.arange(len(copies)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-            at, r = at[copies], r[copies]
-            mine = (mix(deal[r] ^ m[at]) % blocks[copies].astype(U64)).astype(np.int64)
+            # What deals a text to a block: a mix of its members.
+            deal = np.bitwise_xor.reduceat(mix(o.m + U64(1)), o.first)
+            m = o.m[at][copies]
+            mine = (mix(deal[r[copies]] ^ m) % blocks[copies].astype(U64)).astype(np.int64)
             lo, hi = np.minimum(mine, other), np.maximum(mine, other)
-            key = mix(h[at] ^ mix((lo.astype(U64) << U64(32)) + hi.astype(U64)))
+            key = mix(m ^ mix((lo.astype(U64) << U64(32)) + hi.astype(U64))) >> U64(16)
             role = np.where(lo == hi, 0, np.where(mine == lo, 1, 2))
-            sk_at = acc[at + 1] ^ acc[(first + n)[r]]
-            meta = (n[r] << 32) | (pos[at] << 4) | (side[r].astype(np.int64) << 2) | role
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), b.column("id").take(pa.array(r)), pa.array(meta), *[pa.array(np.ascontiguousarray(sk_at[:, i]).view(np.int64)) for i in range(SKETCH // 64)]],
-                names=["key", "id", "meta", *SK],
-            )
+            ids = b.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
+            held.append((key, ids[r[copies]], o.n[r[copies]], o.pos[at][copies], role, o.sketches()[copies]))
+            if sum(len(h[0]) for h in held) >= PACK:
+                yield packed(held)
+                held = []
+        if held:
+            yield packed(held)
 
-    kind = sets.schema["id"].dataType.simpleString()
-    return sets.select(*cols).mapInArrow(run, f"key bigint, id {kind}, meta bigint, {', '.join(f'{s} bigint' for s in SK)}")
+    rows = sets.select("id", "n", "set").mapInArrow(run, "part int, key binary, id binary, n binary, pos binary, role binary, sk binary")
+    return rows.repartitionById(parts, "part")
 
 
 def trie_pairs(found: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): candidate pairs of every subtree, once per subtree that keeps them; a and b in no order, a has its side set."""
+    """(a, b), a < b: candidate pairs of the subtrees, once for each task that keeps them."""
     rate = (1 - threshold) / (1 + threshold)
-    kind = found.schema["id"].dataType.simpleString()
-    parted = found.repartition("key").sortWithinPartitions("key")
-
-    def group(ids: np.ndarray, side: np.ndarray, role: np.ndarray, pos: np.ndarray, n: np.ndarray, sk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        left, right = [], []
-
-        def add(x: np.ndarray, y: np.ndarray | None) -> None:
-            if not len(x) or (y is not None and not len(y)):
-                return
-            i, j = join(Trie(sk[x], pos[x], n[x]), None if y is None else Trie(sk[y], pos[y], n[y]), rate)
-            left.append(ids[x[i]])
-            right.append(ids[(x if y is None else y)[j]])
-
-        at = np.arange(len(ids))
-        whole, one, two = role == 0, role == 1, role == 2
-        add(at[whole & side], None)
-        add(at[whole & side], at[whole & ~side])
-        add(at[one & side], at[two])
-        add(at[two & side], at[one & ~side])
-        return (np.concatenate(left), np.concatenate(right)) if left else (ids[:0], ids[:0])
-
-    def work(t: pa.Table) -> pa.RecordBatch:
-        key, ids, meta = (t.column(c).to_numpy() for c in ("key", "id", "meta"))
-        n, pos, side, role = meta >> 32, (meta >> 4) & 0xFFFFFFF, (meta >> 2) & 1 == 1, meta & 3
-        sk = np.stack([t.column(c).to_numpy().view(U64) for c in SK], axis=1)
-        new = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0]
-        size = np.diff(np.append(new, len(key)))
-        left, right = [], []
-        # Small groups are the most common by far: all their pairs of the same distance are compared at once, as leaves.
-        for gap in range(1, SMALL):
-            x = np.concatenate([new[(size <= SMALL) & (size > gap + s)] + s for s in range(SMALL - gap)])
-            y = x + gap
-            swap = ~side[x]
-            x, y = np.where(swap, y, x), np.where(swap, x, y)
-            ok = side[x] & (role[x] + role[y] != 2) & (role[x] + role[y] != 4) | (side[x] & (role[x] == 0) & (role[y] == 0))
-            ok &= np.bitwise_count(sk[x] ^ sk[y]).sum(axis=1, dtype=np.int64) + pos[x] + pos[y] <= rate * (n[x] + n[y]) + 1e-9
-            left.append(ids[x[ok]])
-            right.append(ids[y[ok]])
-        for s, k in zip(new[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-            g = slice(s, s + k)
-            i, j = group(ids[g], side[g], role[g], pos[g], n[g], sk[g])
-            left.append(i)
-            right.append(j)
-        a, b = np.concatenate(left), np.concatenate(right)
-        keep = a != b
-        return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = batch.column("key").to_numpy()
-            # The last group may go on in the next batch.
-            begin = int(np.searchsorted(key, key[-1]))
-            if rest and rest[0].column("key")[0].as_py() != key[-1]:
-                yield work(pa.Table.from_batches([*rest, batch.slice(0, begin)]))
-                rest = []
-            elif begin:
-                yield work(pa.Table.from_batches([batch.slice(0, begin)]))
-            rest.append(batch.slice(begin))
-        if rest:
-            yield work(pa.Table.from_batches(rest))
-
-    return parted.mapInArrow(run, f"a {kind}, b {kind}")
+        cols: list[list[np.ndarray]] = [[] for _ in range(6)]
+        for b in batches:
+            for key, *small, sk in zip(*[b.column(c).to_pylist() for c in ("key", "id", "n", "pos", "role", "sk")], strict=True):
+                h = unpack48(key)
+                cols[0].append(h)
+                for c, data, kind in zip(cols[1:5], small, (np.int64, np.int32, np.int32, np.int8), strict=True):
+                    c.append(np.frombuffer(pa.decompress(data, len(h) * np.dtype(kind).itemsize, "zstd", asbytes=True), dtype=kind).astype(np.int64))
+                cols[1][-1] = np.cumsum(cols[1][-1])
+                cols[5].append(np.frombuffer(sk, dtype=U64).reshape(-1, SKETCH // 64))
+        if not cols[0]:
+            return
+        key, ids, n, pos, role, sk = (np.concatenate(c) for c in cols)
+        order = np.lexsort((*sk.T[::-1], role, key))
+        key, ids, n, pos, role, sk = key[order], ids[order], n[order], pos[order], role[order], sk[order]
+        # Roots of the walk: the rows of one key and role.
+        starts = np.nonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (role[1:] != role[:-1])]))[0]
+        ends = np.append(starts[1:], len(key))
+        whole = np.nonzero((role[starts] == 0) & (ends - starts > 1))[0]
+        one = np.nonzero((role[starts[:-1]] == 1) & (role[starts[1:]] == 2) & (key[starts[:-1]] == key[starts[1:]]))[0]
+        i, j = trie.join(sk, starts, ends, np.concatenate([whole, one]), np.concatenate([whole, one + 1]), pos, n, rate)
+        a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+        # A pair that several roots of the part keep goes on once.
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = (a != b) & np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, dtype=bool)
+        yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], names=["a", "b"])
+
+    return found.mapInArrow(run, "a bigint, b bigint")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b, shared, similarity) of the pairs whose sets reach the threshold."""
-    kind = pairs.schema["a"].dataType.simpleString()
-    s = sets.select("id", "n", "set")
-    both = pairs.join(s.toDF("a", "na", "sa"), "a").join(s.toDF("b", "nb", "sb"), "b").select("a", "b", "na", "nb", "sa", "sb")
+    pairs = materialize(pairs, "candidates")
+    # Only sets that are in a pair are moved.
+    s = sets.select("id", "n", "set").join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
+    return compare(pairs.join(s.toDF("a", "na", "sa"), "a").join(s.toDF("b", "nb", "sb"), "b"), threshold)
+
+
+def compare(both: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, shared, similarity) of the pairs (a, b, na, nb, sa, sb: sizes and members of both sets) that reach the threshold."""
+    kind = both.schema["a"].dataType.simpleString()
+    both = both.select("a", "b", "na", "nb", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -271,8 +238,7 @@ def links(sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     copies = materialize(classes(sets), "classes")
     heads = sets.select("id", "n", "set").join(copies.filter(F.col("id") != F.col("rep")).select("id"), "id", "left_anti")
     pairs = trie_pairs(roots(heads, threshold), threshold)
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return verify(pairs, sets, threshold), copies
+    return verify(pairs.distinct(), sets, threshold), copies
 
 
 def near_pairs(df: DataFrame, key: str = "id", text: str = "text", threshold: float = 0.8, k: int = 5, least_words: int = 20) -> DataFrame:
@@ -295,8 +261,3 @@ def near_classes(df: DataFrame, key: str = "id", text: str = "text", threshold:
     rows = sets.select("id").join(copies, "id", "left").select("id", F.coalesce("rep", "id").alias("class_id"))
     rows = rows.join(degree, "class_id", "left").join(sizes, "class_id", "left")
     return rows.select(F.col("id").alias(key), "class_id", F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-
-
-def prefix_length(n: int, threshold: float) -> int:
-    """Members of a set of n of which two near duplicates share at least one."""
-    return n - math.ceil(threshold * n - 1e-9) + 1

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm import conversations, history, leaks, neardup, neighbours, packing, pii, spans
-from parlance.session import read_table, shared_dir
+from parlance.session import new_folder, read_table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +54,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    past = history.History(spark, f"{shared_dir(spark)}/history-{uuid.uuid4().hex}", threshold=0.6, k=3)
+    past = history.History(spark, new_folder(spark, "history"), threshold=0.6, k=3)
     past.add_texts(read_table(spark, sf_dir, "prompts"), "id", "text")
     past.add_files(read_table(spark, sf_dir, "processed_sessions"), "file_path")
     verdicts = past.decide(read_table(spark, sf_dir, "prompt_batches"))

@@ -1,77 +1,88 @@
 """Binary trie joins over bit strings with a Hamming error budget.
 
-A trie over sorted bit strings is held as ranges of the sorted rows: a node is (rows from..to, depth). Two nodes are walked
-together; where their next bits differ the pair's errors grow by one, and a pair whose errors exceed every budget left in it is
-pruned. Small pairs of nodes are compared at once by counting differing bits, which gives the same rows.
+A trie over sorted bit strings is held as ranges of the sorted rows: a node is a range of rows that agree in their first bits. Pairs
+of nodes are walked together, all groups of a batch at once and level by level: where the next bits of two nodes differ the pair's
+errors grow by one, and a pair whose errors exceed every budget left in it is pruned. A leaf is one row; its pair is settled by the
+bits that are left.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Pairs of rows that are compared at once instead of walking deeper.
-LEAF = 4096
+#: Node pairs that are walked at once; more wait their turn, so that memory is bounded.
+AT_ONCE = 1 << 20
 
-_POP = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
+Pairs = tuple[np.ndarray, np.ndarray]
 
 
-def _popcount(x: np.ndarray) -> np.ndarray:
-    """Set bits of each row of uint64 words."""
-    if hasattr(np, "bitwise_count"):
-        return np.bitwise_count(x).sum(axis=-1, dtype=np.int64)
-    return _POP[x.view(np.uint8)].sum(axis=-1, dtype=np.int64)
+def _over(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, op: np.ufunc) -> np.ndarray:
+    """op over values[start:end] of each range; ranges are not empty, in order and apart. values has one more element than rows."""
+    return op.reduceat(values, np.stack([starts, ends], axis=1).ravel())[::2]
 
 
-class Trie:
-    """Rows sorted as bit strings. bits: n x w uint64, most significant bit first; errors: what a row adds to any pair it is in; size: what it adds to a pair's budget."""
+def _cross(lo: np.ndarray, hi: np.ndarray, p: np.ndarray, q: np.ndarray) -> Pairs:
+    """All pairs of rows of the node pairs; of a node with itself each pair once."""
+    rows = hi[p] - lo[p]
+    of = np.repeat(np.arange(len(p)), rows)
+    i = lo[p][of] + np.arange(len(of)) - np.repeat(np.cumsum(rows) - rows, rows)
+    begin = np.where(p[of] == q[of], i + 1, lo[q][of])
+    more = hi[q][of] - begin
+    at = np.repeat(np.arange(len(of)), more)
+    return i[at], begin[at] + np.arange(len(at)) - np.repeat(np.cumsum(more) - more, more)
 
-    def __init__(self, bits: np.ndarray, errors: np.ndarray, size: np.ndarray) -> None:
-        self.order = np.lexsort(bits.T[::-1]) if len(bits) else np.zeros(0, dtype=np.int64)
-        self.bits, self.errors, self.size = bits[self.order], errors[self.order], size[self.order]
 
-    def split(self, lo: int, hi: int, depth: int) -> int:
-        """The first row of lo..hi whose bit at depth is set."""
-        column = (self.bits[lo:hi, depth // 64] >> np.uint64(63 - depth % 64)) & np.uint64(1)
-        return lo + int(np.searchsorted(column, 1))
+def join(bits: np.ndarray, starts: np.ndarray, ends: np.ndarray, p: np.ndarray, q: np.ndarray, errors: np.ndarray, size: np.ndarray, rate: float) -> Pairs:
+    """Pairs of rows (i, j) with errors + differing bits <= rate * (size + size), each once.
 
+    bits: n x w uint64, most significant bit first, sorted within each root; errors: what a row adds to any pair it is in; size: what
+    it adds to a pair's budget. Roots are the ranges [start, end), in order; p, q: the pairs of roots to be joined (p = q: a root
+    with itself).
+    """
+    left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    end = bits.shape[1] * 64
+    errors_, size_ = np.append(errors, 0), np.append(size, 0)
 
-def join(a: Trie, b: Trie | None, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (row of a, row of b) with errors + differing bits <= rate * (size + size). b None: pairs of two rows of a, once each."""
-    self_join = b is None
-    b = a if b is None else b
-    left: list[np.ndarray] = []
-    right: list[np.ndarray] = []
-    if not len(a.order) or not len(b.order):
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    depth_end = a.bits.shape[1] * 64
-    stack = [(0, len(a.order), 0, len(b.order), 0, 0)]
+    def settle(i: np.ndarray, j: np.ndarray) -> None:
+        d = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+        ok = d + errors[i] + errors[j] <= rate * (size[i] + size[j]) + 1e-9
+        left.append(i[ok])
+        right.append(j[ok])
+
+    stack = [(0, starts, ends, p, q, np.zeros(len(p), dtype=np.int64))]
     while stack:
-        al, ah, bl, bh, depth, errors = stack.pop()
-        if al == ah or bl == bh:
+        depth, lo, hi, p, q, met = stack.pop()
+        if len(p) > AT_ONCE:
+            for s in range(0, len(p), AT_ONCE):
+                stack.append((depth, lo, hi, p[s : s + AT_ONCE], q[s : s + AT_ONCE], met[s : s + AT_ONCE]))
+            continue
+        # Only nodes that are in a pair stay.
+        used, at = np.unique(np.concatenate([p, q]), return_inverse=True)
+        lo, hi, p, q = lo[used], hi[used], at[: len(p)], at[len(p) :]
+        if not len(p):
             continue
-        # The budget left: no pair of the two nodes allows more errors than their greatest sizes do.
-        least = errors + a.errors[al:ah].min() + b.errors[bl:bh].min()
-        if least > rate * float(a.size[al:ah].max() + b.size[bl:bh].max()) + 1e-9:
+        # The budget left: no pair of two nodes allows more errors than their greatest sizes do.
+        least, most = _over(errors_, lo, hi, np.minimum), _over(size_, lo, hi, np.maximum)
+        one = hi - lo == 1
+        go = (met + least[p] + least[q] <= rate * (most[p] + most[q]) + 1e-9) & ~((p == q) & one[p])
+        p, q, met = p[go], q[go], met[go]
+        leaf = one[p] & one[q]
+        settle(lo[p[leaf]], lo[q[leaf]])
+        p, q, met = p[~leaf], q[~leaf], met[~leaf]
+        if not len(p):
             continue
-        if (ah - al) * (bh - bl) <= LEAF or depth == depth_end:
-            step = max(1, LEAF * 64 // (bh - bl))
-            for s in range(al, ah, step):
-                e = min(ah, s + step)
-                d = _popcount(a.bits[s:e, None, :] ^ b.bits[None, bl:bh, :])
-                ok = d + a.errors[s:e, None] + b.errors[None, bl:bh] <= rate * (a.size[s:e, None] + b.size[None, bl:bh]) + 1e-9
-                if self_join:
-                    ok &= np.arange(s, e)[:, None] < np.arange(bl, bh)[None, :]
-                i, j = np.nonzero(ok)
-                left.append(a.order[i + s])
-                right.append(b.order[j + bl])
+        if depth == end:
+            # Rows of one node are alike in all bits.
+            for s in range(0, len(p), 4096):
+                settle(*_cross(lo, hi, p[s : s + 4096], q[s : s + 4096]))
             continue
-        am, bm = a.split(al, ah, depth), b.split(bl, bh, depth)
-        stack.append((al, am, bl, bm, depth + 1, errors))
-        stack.append((am, ah, bm, bh, depth + 1, errors))
-        stack.append((al, am, bm, bh, depth + 1, errors + 1))
-        # In a self-join of one node with itself the mirrored pair adds nothing.
-        if not (self_join and al == bl and ah == bh):
-            stack.append((am, ah, bl, bm, depth + 1, errors + 1))
-    if not left:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        column = np.append((bits[:, depth // 64] >> np.uint64(63 - depth % 64)) & np.uint64(1), 0).astype(np.int64)
+        middle = hi - _over(column, lo, hi, np.add)
+        # Children of node i: 2 i and 2 i + 1; empty ones are in no pair.
+        lo, hi = np.stack([lo, middle], axis=1).ravel(), np.stack([middle, hi], axis=1).ravel()
+        same = p == q
+        children = [(2 * p, 2 * q, met), (2 * p + 1, 2 * q + 1, met), (2 * p, 2 * q + 1, met + 1), (2 * p[~same] + 1, 2 * q[~same], met[~same] + 1)]
+        p, q, met = (np.concatenate(x) for x in zip(*children, strict=True))
+        full = (hi[p] > lo[p]) & (hi[q] > lo[q])
+        stack.append((depth + 1, lo, hi, p[full], q[full], met[full]))
     return np.concatenate(left), np.concatenate(right)

@@ -101,8 +101,14 @@ def test_trie_join(n):
     bits = rng.integers(0, 1 << 63, size=(n, 2)).astype(np.uint64)
     bits[n // 2 :] = bits[: n - n // 2] ^ (np.uint64(1) << rng.integers(0, 64, size=(n - n // 2, 2)).astype(np.uint64))
     errors, size = rng.integers(0, 3, n), rng.integers(5, 40, n)
-    a, b = trie.join(trie.Trie(bits, errors, size), None, 0.25)
-    got = {tuple(sorted(x)) for x in zip(a.tolist(), b.tolist(), strict=True)}
+    # Two roots of their own, and the pair of them.
+    order = np.concatenate([np.lexsort(bits[:n // 3].T[::-1]), n // 3 + np.lexsort(bits[n // 3 :].T[::-1])])
+    bits, errors, size = bits[order], errors[order], size[order]
+    p, q = np.array([0, 1, 0]), np.array([0, 1, 1])
+    a, b = trie.join(bits, np.array([0, n // 3]), np.array([n // 3, n]), p, q, errors, size, 0.25)
+    found = [tuple(sorted(x)) for x in zip(a.tolist(), b.tolist(), strict=True)]
+    got = set(found)
+    assert len(got) == len(found)
     dist = lambda i, j: sum(bin(int(x) ^ int(y)).count("1") for x, y in zip(bits[i], bits[j], strict=True))
     assert got == {(i, j) for i in range(n) for j in range(i + 1, n) if errors[i] + errors[j] + dist(i, j) <= 0.25 * (size[i] + size[j]) + 1e-9}
 
@@ -187,11 +193,52 @@ def test_accepted_items_with_ids_of_old_texts(spark, tmp_path):
     assert {r["item_id"]: r["verdict"] for r in h.decide(later).collect()} == {1: "near", 2: "near", 3: "accepted"}
 
 
-def test_sketch_never_counts_less(spark, monkeypatch):
-    monkeypatch.setattr(hashing, "TASKS", 2)
-    df = spark.range(5000).selectExpr("id % 700 AS k").repartition(7)
-    codes = hashing.sketch(df, lambda b: hashing.mix(b.column("k").to_numpy(zero_copy_only=False).astype(np.uint64)), bits=12)
-    counts = hashing.decode(hashing.seen(codes, hashing.mix(np.arange(700, dtype=np.uint64))))
-    assert (counts >= [8 if k < 100 else 7 for k in range(700)]).all()
-    big = np.arange(1, 10**6, 997)
-    assert (hashing.decode(hashing.encode(big)) >= big).all()
+def test_batch_by_batch(spark, tmp_path, monkeypatch):
+    """Batches decided at once give what they give one after the other, each accepted before the next; salts and orders that grow."""
+    monkeypatch.setattr(history, "SALT", 3)
+    texts = corpus(120, 6)
+    random.Random(7).shuffle(texts)
+    rows = [(i, i // 20, f"/f/{i % 50}", t) for i, t in enumerate(texts[40:])]
+    items = spark.createDataFrame(rows, "item_id bigint, batch_no int, file_path string, text string")
+    once, steps = (history.History(spark, f"file://{tmp_path}/{n}", 0.6, 3, buckets=4) for n in ("once", "steps"))
+    for h in (once, steps):
+        h.add_texts(table(spark, texts[:40]), "id", "text")
+    want = {tuple(r) for r in once.decide(items).collect()}
+    got = set()
+    for k in range(1 + max(r[1] for r in rows)):
+        batch = items.filter(F.col("batch_no") == k)
+        verdicts = steps.decide(batch)
+        found = [tuple(r) for r in verdicts.collect()]
+        steps.accept(batch, spark.createDataFrame(found, verdicts.schema))
+        got |= set(found)
+    assert got == want and len({v for _, _, v in want}) == 4
+
+
+def test_history_is_not_shuffled(spark, tmp_path):
+    """The history's side of the joins is read in its buckets: no exchange lies between its scan and the join."""
+    h = history.History(spark, f"file://{tmp_path}/h", 0.6, 3, buckets=4)
+    h.add_texts(table(spark, corpus(40, 8)), "id", "text")
+    new = spark.createDataFrame([(bytes(16),)], "hash binary").hint("merge")
+    plan = new.join(h.table("content"), "hash", "left_semi")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
+
+
+def test_heavy_keys(spark):
+    """Bounded summaries hold every frequent key, with no count above the true one."""
+    df = spark.range(20000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 WHEN id % 5 = 0 THEN 9 ELSE id END AS k").repartition(7)
+    keys, n = hashing.heavy(df, lambda b: b.column("k").to_numpy(zero_copy_only=False).astype(np.uint64), k=16)
+    found = dict(zip(keys.tolist(), n.tolist(), strict=True))
+    assert set(found) == {7, 9} and 6667 * 0.8 <= found[7] <= 6667 and 2667 * 0.5 <= found[9] <= 2667
+    assert hashing.counts_of((keys, n), np.array([7, 8], dtype=np.uint64)).tolist() == [found[7], 0]
+    assert len(hashing.heavy(df.limit(0), lambda b: np.zeros(0, dtype=np.uint64))[0]) == 0
+
+
+def test_rows_sent_are_the_prefixes(spark, monkeypatch):
+    """Whatever the summary holds, one row is sent per member of a prefix, and pairs are the same."""
+    texts = corpus(90, 3)
+    want = sorted(tuple(r) for r in neardup.near_pairs(table(spark, texts), threshold=0.6, k=3).collect())
+    monkeypatch.setattr(neardup, "frequent_members", lambda sets: hashing.heavy(sets.select("n", "set"), lambda b: hashing.mix(neardup._members(b)[1]), k=2))
+    sets = neardup.text_sets(table(spark, texts), "id", "text", 3, 20)
+    sent = sum(len(r["key"]) // 6 for r in neardup.roots(sets, 0.6).collect())
+    assert sent == sum(r["n"] - -(-r["n"] * 6 // 10) + 1 for r in sets.collect())
+    assert sorted(tuple(r) for r in neardup.near_pairs(table(spark, texts), threshold=0.6, k=3).collect()) == want
