@@ -49,7 +49,7 @@ _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?"
 _LOCAL = r"[A-Za-z0-9](?:[A-Za-z0-9._%+\-]*[A-Za-z0-9+_])?"
 #: A disguised address: the at is marked, or it is a bare word and a dot of the domain is disguised too.
 _DISGUISED = re.compile(
-    rf"(?<![\w.%+\-])({_LOCAL})(?:({_AT_MARK})({_LABEL}(?:(?:\.|{_DOT_MARK}| dot ){_LABEL})+)|( at |@)({_LABEL}(?:\.{_LABEL})*(?:(?:{_DOT_MARK}| dot ){_LABEL}(?:\.{_LABEL})*)+))",
+    rf"(?<![\w.%+\-])({_LOCAL}(?:(?:{_DOT_MARK}| dot ){_LOCAL})*)(?:({_AT_MARK})({_LABEL}(?:(?:\.|{_DOT_MARK}| dot ){_LABEL})+)|( at |@)({_LABEL}(?:\.{_LABEL})*(?:(?:{_DOT_MARK}| dot ){_LABEL}(?:\.{_LABEL})*)+))",
     re.I,
 )
 _MARKS = re.compile(r" dot |[(\[{<]\s?(?:dot|at|\.|@)\s?[)\]}>]", re.I)
@@ -161,6 +161,7 @@ def plain_marks(a: Aligned) -> Aligned:
     changes = []
     for m in _DISGUISED.finditer(a.text):
         at, domain = (2, 3) if m[2] is not None else (4, 5)
+        changes += [(*d.span(), ".") for d in _ANY_DOT.finditer(a.text, *m.span(1))]
         if m[at] != "@":
             changes.append((*m.span(at), "@"))
         changes += [(*d.span(), ".") for d in _ANY_DOT.finditer(a.text, *m.span(domain))]
@@ -176,8 +177,9 @@ _EMAIL = re.compile(rf"(?<![\w.%+\-/@])({_LOCAL})@({_LABEL}(?:\.{_LABEL})*\.[A-Z
 # Domains of placeholders.
 PLACEHOLDER_DOMAINS = ("example.com", "example.org")
 
+#: Words for numbers of other kinds, right before the number on its line; with an article before it the word is no label.
 _REJECT_BEFORE = re.compile(
-    r"(?:\b(?:build|version|release|rev|revision|order|invoice no\.?|job id|job|part no\.?|part|(?<!for the )trace|checksum|commit|range|line|ticket|issue|port|sku|listen on|eta|to)\s*[:#=]?\s*)$",
+    r"(?<!\bthe )(?:\b(?:build|version|release|rev|revision|order|invoice no\.?|job id|job|part no\.?|part|trace|checksum|commit|range|line|ticket|issue|port|sku|listen on|eta|to)[ \t]*[:#=]?[ \t]*)$",
     re.I,
 )
 _PHONES = [
@@ -186,8 +188,12 @@ _PHONES = [
     re.compile(r"(?<![\w+./\-])\d{3}([\-.])\d{3}\1\d{4}(?![\w]|[.\-]\d)"),
     re.compile(r"(?<![\w+./:\-])0\d{1,4}[ /\-]?\d{3,8}(?:[ \-]\d{2,8}){0,3}(?![\w]|[.\-]\d)"),
 ]
+#: Ten digits in the North American plan: area code and exchange begin with 2 to 9.
 _BARE_PHONE = re.compile(r"(?<![\w+./\-])[2-9]\d{2}[2-9]\d{6}(?![\w]|[.\-]\d)")
-_PHONE_CUE = re.compile(r"(?:call|phone|tel|mobile|móvil|movil|cell|sms|fax|whatsapp|reach|row has|rückruf|telefon|teléfono|on-call at|电话|手机)\W{0,3}(?:\w+\W{1,2}){0,3}$", re.I)
+# Words for phones, within three words of the number.
+_PHONE_WORD = r"(?:\b(?:call|dial|phone|tel|mobile|móvil|movil|cell|sms|text|fax|whatsapp|signal|reach|contact|hotline|on-call|number|rückruf|anruf|telefon|handy|teléfono|llama|téléphone|portable|appel)\b\.?|电话|手机|致电|联系)"
+_PHONE_CUE = re.compile(rf"{_PHONE_WORD}\W{{0,3}}(?:\w+\W{{1,2}}){{0,3}}$", re.I)
+_PHONE_CUE_AFTER = re.compile(rf"\W{{1,3}}(?:\w+ ){{0,3}}{_PHONE_WORD}", re.I)
 # Digits of a number with country code, the code included.
 COUNTRY_DIGITS = {"1": 11, "7": 11, "33": 11, "34": 11, "44": 12, "49": 13, "52": 12, "61": 11, "81": 12, "86": 13, "91": 12, "353": 12}
 
@@ -212,16 +218,22 @@ _CUED_IDS = [
 PLAIN_IDS = 4
 _ID_CUE = re.compile(r"national id|identity|\btax\b|passport|pasaporte|reisepass|\bID\b|id number|documento|\bDNI\b|\bNIE\b|ausweis|\bSSN\b|social security|steuer|身份证|护照", re.I)
 
+# Words for streets.
 _STREET_TYPE = r"(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Boulevard|Blvd|Drive|Dr|Way|Court|Ct|Place|Pl|Terrace|Square|Sq|Row|Close|Crescent|Hill|Gardens|Mews|Highway|Hwy|Parkway|Pkwy)"
-_TOWN = r"[A-ZÄÖÜ][a-zäöüßáéíóúñ]+(?:-[A-ZÄÖÜ][a-zäöüß]+)*"
+_STREET_ES = r"(?:[Cc]alle|[Aa]venida|[Aa]vda\.|[Pp]laza|[Pp]aseo|[Cc]amino|[Rr]onda|[Cc]arrer|[Cc]arretera|C/)"
+_STREET_FR = r"(?:[Rr]ue|[Aa]venue|[Bb]oulevard|[Bb]d|[Pp]lace|[Qq]uai|[Ii]mpasse|[Aa]llée|[Cc]hemin|[Cc]ours|[Ss]quare)"
+_TOWN = r"[A-ZÄÖÜÀ-ÖØ-Þ][a-zß-öø-ÿ]+(?:-[A-Za-zÄÖÜÀ-ÖØ-Þ][a-zß-öø-ÿ]+)*"
 _UNIT = r"(?:,\s+(?:Apt|Apartment|Unit|Suite|Ste|Flat|Floor|No)\.?\s?\w{1,5}|,\s+#\d{1,5}\w?)?"
 _ADDRESSES = [
     re.compile(
         rf"(?<![\w\-])\d{{1,5}}[A-Za-z]? (?:[A-Z][\w'’\-]+ ){{1,3}}{_STREET_TYPE}\.?{_UNIT},\s+(?:{_TOWN}(?: {_TOWN}){{0,2}}?,?\s+(?:[A-Z]{{2}}\s+\d{{5}}(?:-\d{{4}})?|[A-Z]{{1,2}}\d[\dA-Z]?\s\d[A-Z]{{2}})|{_TOWN})(?![\w])"
     ),
     re.compile(rf"(?<![\w\-])[A-ZÄÖÜ][a-zäöüß]+(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|damm|ufer|hof) \d{{1,4}}[a-z]?,\s+\d{{5}} {_TOWN}"),
-    re.compile(rf"(?<![\w\-])(?:Calle|Avenida|Avda\.|Plaza|Paseo|Camino|Ronda|Carrer|C/) ?(?:(?:de|del|la|las|los|el) )*[A-ZÁÉÍÓÚÑ]\w+(?: (?:(?:de|del|la|las|los) )*[A-ZÁÉÍÓÚÑ]\w+){{0,2}},? (?:n\.?º ?)?\d{{1,4}}(?:,\s+\d{{1,2}}º(?: ?\w)?)?,\s+\d{{5}} {_TOWN}"),
+    re.compile(rf"(?<![\w\-]){_STREET_ES} ?(?:(?:de|del|la|las|los|el) )*[A-ZÁÉÍÓÚÑ]\w+(?: (?:(?:de|del|la|las|los) )*[A-ZÁÉÍÓÚÑ]\w+){{0,2}},? (?:n\.?º ?)?\d{{1,4}}(?:,\s+\d{{1,2}}º(?: ?\w)?)?,\s+\d{{5}} {_TOWN}"),
+    re.compile(rf"(?<![\w\-])\d{{1,4}}(?: ?(?:bis|ter))?,? {_STREET_FR} (?:(?:de la|de l['’]|des|du|de|d['’]|la|le) ?)?[\wÀ-ÿ'’\-]+(?: [\wÀ-ÿ'’\-]+){{0,3}},?\s+\d{{5}} {_TOWN}"),
 ]
+#: Chinese: province or city, district, road and number, and what is behind it (building, room).
+_ADDRESS_ZH = re.compile(r"(?:[一-鿿]{2,8}?(?:省|自治区))?[一-鿿]{2,6}?市(?:[一-鿿]{1,6}?[区县])?[一-鿿]{1,10}?(?:路|街|大道|巷|弄)\d{1,5}号(?:[一-鿿]{0,8}?\d{0,4}(?:号?楼|栋|座|单元|室|层)){0,4}")
 
 _POSTCODE_TOWN = re.compile(r"\d{5} [A-ZÄÖÜ]")
 
@@ -231,23 +243,46 @@ _FAMILY = rf"(?:{_PART}(?:-{_PART})*|[A-ZÀ-ÖØ-Þ]{{3,}}(?:['’\-][A-ZÀ-ÖØ
 _GIVEN = rf"{_CAP}(?:-{_CAP})?"
 _INITIALS = r"(?: [A-Z]\.)*"
 _NAME = rf"(?:{_FAMILY}, {_GIVEN}{_INITIALS}(?![\w])|{_GIVEN}{_INITIALS} {_FAMILY}(?![\w'’\-]))"
-# Words that a personal name follows or precedes.
-_TITLES = r"(?:Dr|Prof|Mr|Mrs|Ms|Miss|Sir|Sr|Sra|Frau|Herr|Señor|Señora|Don|Doña)\.?"
-_NAME_BEFORE = rf"(?:{_TITLES} |(?:belongs|thanks|assigned|escalated|goes) to |paired with |(?:reported|written|signed|approved|reviewed) by |pidió |customer |client |colleague |[Rr]egards,\s+|[Cc]heers,\s+|assignee: ?|owner\W{{1,5}}|author: ?|reporter: ?|reviewer: ?|name: ?|Ask |Dear |Hi )"
-_NAME_AFTER = r" (?:wrote|complained|signed|reported|hat das|se perdió|ayer|asked|said|about the|on this\b|for the trace|now\b)"
+# Titles; words for people and their parts in a text; verbs that have a person as object or subject; greetings and
+# closings. A pair of capitalised words beside one of them is a name.
+_TITLES = r"(?:Dr|Prof|Mr|Mrs|Ms|Miss|Sir|Sr|Sra|Frau|Herr|Señor|Señora|Don|Doña|M|Mme|Monsieur|Madame)\.?"
+PEOPLE = "customer client colleague contact user patient tenant guest employee engineer developer manager director teammate kollege kollegin kunde kundin cliente compañero compañera collègue".split()
+FIELDS = "name owner author assignee reporter reviewer contact customer client employee user manager signer sender recipient approver attn".split()
+OBJECT_OF = "ask tell thank ping page call email mail contact meet message notify remind invite cc frag frage pregunta pide avisa demande".split()
+AFTER_VERB = ["to", "by", "with", "from", "von", "bei", "mit", "por", "con", "a", "par", "avec"]
+VERBS_BEFORE = "belongs thanks assigned escalated goes handed sent forwarded paired reported written signed approved reviewed filed met spoke worked gemeldet geschrieben reportado escrito".split()
+SAID = "wrote said says asked asks reported reports complained complains signed signs thinks thought suggested suggests confirmed replied answered mentioned called emailed approved wants wanted noticed hat schrieb sagte fragte meldete escribió dijo preguntó pidió perdió écrit demandé".split()
+REQUESTED = "pidió dijo escribió preguntó reportó avisó".split()
+GREETINGS = ["regards", "best", "cheers", "sincerely", "yours", "thanks", "grüße", "gruß", "saludos", "cordialement"]
+SALUTATIONS = ["dear", "hi", "hello", "hey", "liebe", "lieber", "hola", "estimado", "estimada", "bonjour", "cher", "chère"]
+
+_any_of = lambda words: "|".join(sorted(words, key=len, reverse=True))
+_NAME_BEFORE = (
+    rf"(?:{_TITLES} |(?:{_any_of(VERBS_BEFORE)}) (?:{_any_of(AFTER_VERB)}) |(?:{_any_of(REQUESTED)}) |(?:{_any_of(PEOPLE)}) |(?:{_any_of(GREETINGS)}),\s+"
+    rf"|(?:{_any_of(FIELDS)})[\"']?[ \t]*[:=][ \t]*[\"']?|(?:{_any_of(OBJECT_OF)}) |(?:{_any_of(SALUTATIONS)}) )"
+)
+#: What follows a name in front of a sentence: a verb, or an auxiliary and a verb form.
+_NAME_AFTER = rf" (?:(?:{_any_of(SAID)})\b|(?:will|would|can|could|has|had|is) (?:already |also |now |not )?[a-z]{{3,}}\b)"
 _LEAD = re.compile(rf"(?<![\w\-])(?i:{_NAME_BEFORE})(?:{_TITLES} )?")
 _FED = re.compile(_NAME_AFTER)
 _NAME_HERE = re.compile(rf"({_NAME})")
 _NAME_END = re.compile(rf"(?<![\w'’.\-/@])({_NAME})$")
 _CAPITALS = re.compile(_CAP)
-#: Two capitalised words side by side: without them a text holds no name.
+#: Two capitalised words side by side: without them a text holds no name in Latin letters.
 _PAIR = re.compile(r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+(?: [A-Z]\.)*,? [A-ZÀ-ÖØ-Þ]|[A-ZÀ-ÖØ-Þ]{2,},? [A-ZÀ-ÖØ-Þ]")
 _NAME_ANY = re.compile(rf"(?<![\w'’.\-/@])(?={_CAP})(?=({_NAME}))")
-# Capitalised words that are no part of a name, and name tokens that are everyday words.
+# The hundred most frequent Chinese family names, and words beside Chinese names.
+SURNAMES_ZH = "王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗梁宋郑谢韩唐冯于董萧程曹袁邓许傅沈曾彭吕苏卢蒋蔡贾丁魏薛叶阎余潘杜戴夏钟汪田任姜范方石姚谭廖邹熊金陆郝孔白崔康毛邱秦江史顾侯邵孟龙万段雷钱汤尹黎易常武乔贺赖龚文"
+_NAME_ZH = re.compile(rf"(?:(?:姓名|联系人|收件人|客户|同事|负责人|我叫|名叫|请找|请联系|作者)[:：是为]?\s?([{SURNAMES_ZH}][一-鿿]{{1,2}})(?![一-鿿])|(?<![一-鿿])([{SURNAMES_ZH}][一-鿿]{{1,2}})(?:先生|女士|小姐|老师|医生|经理|工程师))")
+# Capitalised words that begin sentences or name things, and are no part of a name.
 NOT_NAMES = set(
-    "The This That These Those Our Your Their Please When While Why What Which Where Who How Can Could Would Should Use Keep Read Reading Return Rename Replace Write Split Show Treat Check Add Act Do Does Did If For From Between Both Only Nothing Everything Next Next After Before Under Over Log Lines Instead Follow Thanks Regards Cheers Dear Hi Hello Ask Call Reach Send Ship Bitte Bei Nach Der Die Das Und Ich Warum Zwischen Fasse Schreibe Lieferung El La Los Las Un Una Lo Por Para Revisa Quiero Despues Tel Fax Phone Mail Dr Mr Mrs Ms Frau Herr Apt Suite Unit Theme Toolkit Cluster Server Service Team Inc Ltd Corp".split()
+    "The This That These Those Our Your Their My His Her Its We He She They It Please When While Why What Which Where Who How Can Could Would Should Use Keep Read Reading Return Rename Replace Write Split Show Treat Check Add Act Do Does Did If For From Between Both Only Nothing Everything Next After Before Under Over Log Lines Instead Follow Thanks Regards Cheers Dear Hi Hello Ask Call Reach Send Ship And But Or Not No Yes Then Also Now Today Tomorrow Yesterday With Without In On At To By As Is Are Was Be "
+    "Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April June July August September October November December "
+    "Bitte Bei Nach Der Die Das Und Ich Wir Warum Wie Zwischen Fasse Schreibe El La Los Las Un Una Lo Por Para Revisa Quiero Despues Después Le Les Une Des Tel Fax Phone Mail Dr Mr Mrs Ms Frau Herr Apt Suite Unit "
+    "Theme Toolkit Library Framework Package Module Project Product Release Version Edition Plugin Driver Engine Protocol Cluster Server Service Team Group Inc Ltd Corp Company University Street Road Avenue".split()
 )
-EVERYDAY = {"Will", "Grace", "Rose", "Mark", "Stone", "Marsh", "Field", "Hope", "Joy", "May", "June", "Art", "Bill", "Frank", "Faith", "Summer", "Chase", "Hill", "Brook", "Woods", "Page", "Price", "Banks", "Day", "Long", "Young"}
+#: Names that are everyday words too. Two of them side by side are a name only beside one of the words above.
+EVERYDAY = {"will", "grace", "rose", "mark", "stone", "marsh", "field", "hope", "joy", "may", "june", "art", "bill", "frank", "faith", "summer", "chase", "hill", "brook", "woods", "page", "price", "banks", "day", "long", "young"}
 
 
 def luhn(number: str) -> bool:
@@ -329,7 +364,8 @@ def _phones(t: str) -> Iterator[tuple[int, int]]:
                     continue
             yield start, end
     for m in _BARE_PHONE.finditer(t):
-        if _PHONE_CUE.search(t[max(0, m.start() - 40) : m.start()]):
+        before = t[max(0, m.start() - 40) : m.start()]
+        if _PHONE_CUE.search(before) or (_PHONE_CUE_AFTER.match(t, m.end()) and not _REJECT_BEFORE.search(before)):
             yield m.span()
 
 
@@ -340,18 +376,24 @@ def _addresses(t: str) -> Iterator[tuple[int, int]]:
         for p in _ADDRESSES[1:]:
             for m in p.finditer(t):
                 yield m.span()
+    if "号" in t:
+        for m in _ADDRESS_ZH.finditer(t):
+            yield m.span()
 
 
 class Names:
     """The detector of names; lexicon: known given and family names, which need no word beside them that announces a name."""
 
     def __init__(self, lexicon: Iterable[tuple[str, str]] = ()) -> None:
-        lexicon = [(t, k) for t, k in lexicon if t and t not in EVERYDAY]
+        lexicon = [(t, k) for t, k in lexicon if t]
         self.given = {t.casefold() for t, k in lexicon if k == "given"}
         self.family = {t.casefold() for t, k in lexicon if k == "family"}
         self.tokens = self.given | self.family
 
     def __call__(self, t: str) -> Iterator[tuple[int, int]]:
+        if not t.isascii():
+            for m in _NAME_ZH.finditer(t):
+                yield m.span(1 if m[1] else 2)
         if not _PAIR.search(t):
             return
         for lead in _LEAD.finditer(t):
@@ -374,8 +416,8 @@ class Names:
 
     def _known(self, name: str) -> bool:
         family, given = name.split(", ") if ", " in name else name.rsplit(" ", 1)[::-1]
-        given, family = given.split(" ")[0].casefold(), family.casefold()
-        return given in self.given and (family in self.family or any(x in self.family for x in family.split("-")))
+        given, families = given.split(" ")[0].casefold(), {family.casefold(), *family.casefold().split("-")} & self.family
+        return given in self.given and bool(families) and not (given in EVERYDAY and families <= EVERYDAY)
 
 
 def find(text: str | None, names: Names | None = None) -> list[tuple[int, int, str]]:
