@@ -9,7 +9,7 @@ Mappings and message arrays are checked within their record, without a shuffle.
 range-partitioned by conversation and time, so that a conversation with a third of all rows is spread over many tasks; only one
 summary row per conversation and piece meets at the end.
 
-Defined results: null, empty or damaged conversations give no turns; repeated messages and repeated exports count once; ties of
+Defined results: null, empty or damaged conversations give no turns, nor do messages whose links lead to several conversations; repeated messages and repeated exports count once; ties of
 instants are in order of arrival; empty tables give no turns; extra columns are ignored.
 """
 
@@ -50,13 +50,19 @@ def quote_of(text: Column) -> Column:
     return F.nullif(strip(F.regexp_replace(q, r"(?m)^[ \t]*>[ \t]?", "")), F.lit(""))
 
 
+#: Characters from which a quoted text names its messages even if several have it.
+QUOTE = 40
+
+
 def identify(messages: DataFrame) -> DataFrame:
     """messages (conv_key, msg_key, reply_to, text and others) with every blank conv_key filled where reply or quote links reach.
 
     A message links to the message it replies to and to the messages whose whole text it quotes. reply_to may also name what
     messages have in common, such as their file. Of identified messages the links that can reach another one count. Where there
-    is a column text_hash (xxhash64 of the stripped text) it stands for the text that is quoted, and identified messages need no text. Components that hold an
-    identified message take the least identifier; others take their least message key. Messages with an identifier keep it.
+    is a column text_hash (xxhash64 of the stripped text) it stands for the text that is quoted, and identified messages need no text.
+    Quoted texts of fewer than QUOTE characters count only where one message has that text. Components that hold messages of one
+    conversation take its identifier, those that hold messages of several have none (null), others take their least message key.
+    Messages with an identifier keep it.
     """
     open_ = messages.filter(blank(F.col("conv_key")))
     if open_.isEmpty():
@@ -64,15 +70,21 @@ def identify(messages: DataFrame) -> DataFrame:
     replies = messages.select("msg_key", F.col("reply_to").alias("other"), blank(F.col("conv_key")).alias("open")).filter(F.col("other").isNotNull())
     met = open_.select(F.explode(F.array("reply_to", "msg_key")).alias("other")).filter(F.col("other").isNotNull()).distinct()
     reply = replies.filter("open").select("msg_key", "other").unionByName(replies.filter("NOT open").join(met, "other", "left_semi").select("msg_key", "other"))
-    quoted = open_.select("msg_key", F.xxhash64(quote_of(F.col("text"))).alias("h"), quote_of(F.col("text")).alias("q")).filter(F.col("q").isNotNull())
+    quoted = open_.select("msg_key", F.xxhash64(quote_of(F.col("text"))).alias("h"), F.length(quote_of(F.col("text"))).alias("n")).filter(F.col("n") > 0)
+    texts = messages.select(F.col("msg_key").alias("m"), (F.col("text_hash") if "text_hash" in messages.columns else F.xxhash64(strip(F.col("text")))).alias("h")).join(quoted.select("h").distinct(), "h", "left_semi").distinct()
+    # A quote tells whose it is only if one message has that text, or if the text is long; "ok" is nobody's.
+    holders = texts.groupBy("h").agg(F.count(F.lit(1)).alias("holders"))
+    quoted = quoted.join(holders, "h").filter((F.col("holders") == 1) | (F.col("n") >= QUOTE))
     # Many messages may have one text: they meet at a node for the text, so no pairs arise.
-    texts = messages.select(F.col("msg_key").alias("m"), (F.col("text_hash") if "text_hash" in messages.columns else F.xxhash64(strip(F.col("text")))).alias("h")).join(quoted.select("h").distinct(), "h", "left_semi")
+    texts = texts.join(quoted.select("h").distinct(), "h", "left_semi")
     node = lambda h: F.concat(F.lit("￿quote:"), h.cast("string"))
     links = reply.toDF("a", "b").unionByName(quoted.select(F.col("msg_key").alias("a"), node(F.col("h")).alias("b"))).unionByName(texts.select(F.col("m").alias("a"), node(F.col("h")).alias("b")))
     # Identified ends stand for their conversation: two messages of one are in one component.
     found = connected_components(links.unionByName(open_.select(F.col("msg_key").alias("a"), F.col("msg_key").alias("b"))))
-    known = messages.filter(~blank(F.col("conv_key"))).select(F.col("msg_key").alias("node"), F.col("conv_key").alias("known")).join(found, "node").groupBy("component").agg(F.min("known").alias("known"))
-    keys = materialize(found.join(known, "component", "left").select(F.col("node").alias("msg_key"), F.coalesce("known", "component").alias("found_key")).dropDuplicates(["msg_key"]), "keys")
+    known = messages.filter(~blank(F.col("conv_key"))).select(F.col("msg_key").alias("node"), F.col("conv_key").alias("known")).join(found, "node").groupBy("component").agg(F.min("known").alias("known"), F.max("known").alias("other"))
+    # A component that meets two conversations tells of neither.
+    known = known.withColumn("several", F.col("known") != F.col("other")).drop("other")
+    keys = materialize(found.join(known, "component", "left").select(F.col("node").alias("msg_key"), F.when(~F.coalesce("several", F.lit(False)), F.coalesce("known", "component")).alias("found_key")).dropDuplicates(["msg_key"]), "keys")
     filled = messages.join(keys, "msg_key", "left")
     return filled.withColumn("conv_key", F.when(blank(F.col("conv_key")), F.col("found_key")).otherwise(F.col("conv_key"))).drop("found_key").select(*messages.columns)
 
@@ -230,7 +242,7 @@ def from_lines(df: DataFrame) -> DataFrame:
         "lines",
     )
     # Lines without a session are joined to the other lines of their file, and to those they quote.
-    rows = identify(rows)
+    rows = identify(rows).filter(F.col("conv_key").isNotNull())
     damaged = rows.filter(F.col("at").isNull() | F.col("role").isNull()).select("conv_key").distinct()
     turns = rows.filter(F.col("role").isin("user", "assistant") & F.col("said"))
     turns = turns.groupBy("conv_key", "msg_key").agg(F.min(F.struct("at", "seq", "role")).alias("m")).select("conv_key", "msg_key", "m.role", "m.at", "m.seq")

@@ -40,7 +40,7 @@ from parlance.session import materialize
 #: Bits of an odd sketch.
 SKETCH = 128
 #: Texts of one block of a hot root, and rows of a part (the work of one task).
-BLOCK, PART = 1 << 15, 500_000
+BLOCK, PART = 1 << 15, 100_000
 #: Rows that a task holds back to pack them together.
 PACK = 1_000_000
 
@@ -87,7 +87,7 @@ class Ordered:
         row, h = _members(b)
         self.n = b.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
         m = mix(h)
-        order = np.lexsort((m, counts_of(known, m), row))
+        order = self._order(row, m, counts_of(known, m))
         self.row, self.m = row[order], m[order]
         self.first = np.cumsum(self.n) - self.n
         self.pos = np.arange(len(row)) - self.first[self.row]
@@ -95,6 +95,17 @@ class Ordered:
         #: Where the members of prefixes are.
         self.at = np.nonzero(self.pos < prefix[self.row])[0]
 
+    @staticmethod
+    def _order(row: np.ndarray, m: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """By row, count (in steps of an eighth of a doubling) and member: in one sort of 64 bits where these tell all members apart."""
+        level = np.where(counts > 0, np.minimum(1 + 8 * np.log2(np.maximum(counts, 1)), 255), 0).astype(U64)
+        if len(row) and row[-1] < 1 << 16:
+            key = (row.astype(U64) << U64(48)) | (level << U64(40)) | (m >> U64(24))
+            order = np.argsort(key)
+            if (key[order][1:] != key[order][:-1]).all():
+                return order
+        return np.lexsort((m, level, row))
+
     def sketches(self) -> np.ndarray:
         """Odd sketches of the members after each one of the prefixes, by running sums modulo 2 from the end."""
         bit = (self.m >> U64(40)) % U64(SKETCH)

@@ -3,8 +3,9 @@
 Vectors of length one are projected to DIMS random orthogonal directions (from a seed), shifted at random, cut into 2**BITS cells a
 direction, and ordered by their Hilbert key; each of CURVES orderings has a projection and shift of its own. All orderings go
 through one shuffle: rows are dealt to ranges of keys whose bounds come from a bounded sample (SAMPLE rows), sorted within their
-range, and every vector is compared with the WINDOW neighbours before and behind it, in blocks, in half precision. The best of
-all orderings are merged and ranked again by the exact cosine of the full vectors.
+range, and every vector is compared with the WINDOW neighbours before and behind it, in blocks, in half precision. The first and
+last WINDOW vectors of each range then meet those of the range beside it, so that windows go on over the bounds. The best of all
+orderings are merged and ranked again by the exact cosine of the full vectors.
 
 The index is fitted on the sample only (bounds of ranges and the scale of projections); every vector is indexed. Ranges hold
 about ROWS_PER_RANGE vectors at any size. Keys that are alike (copies of one vector) are spread over ranges by a random tail of the
@@ -124,6 +125,19 @@ def candidates(vectors: DataFrame, dim: int, k: int, least: float) -> DataFrame:
 
     dealt = vectors.select("id", "v").mapInArrow(index, f"part int, key bigint, id {kind}, half binary").repartition(tasks, "part").sortWithinPartitions("part", "key")
     keep = k + SPARE
+    schema = f"a {kind}, b {kind}, border int, place int, half binary"
+
+    def best(v: np.ndarray, w: np.ndarray, apart: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """(row of v, row of w) of the keep most similar ones of each row, of cosine least - SLACK or more; apart: pairs that do not count."""
+        sim = v @ w.T
+        if apart is not None:
+            sim[apart] = -2
+        hit = sim >= least - SLACK
+        for i in np.nonzero(hit.sum(axis=1) > keep)[0]:
+            row = np.where(hit[i], sim[i], -2)
+            hit[i] = False
+            hit[i, np.argpartition(-row, keep)[:keep]] = True
+        return np.nonzero(hit)
 
     def compare(ids: np.ndarray, v: np.ndarray, fresh: int) -> tuple[list, list]:
         """Neighbours of the rows from fresh - WINDOW on; rows before fresh were compared with one another already."""
@@ -131,23 +145,30 @@ def candidates(vectors: DataFrame, dim: int, k: int, least: float) -> DataFrame:
         for s in range(max(0, fresh - WINDOW), len(ids), WINDOW):
             e = min(len(ids), s + WINDOW)
             lo, hi = max(0, s - WINDOW), min(len(ids), e + WINDOW)
-            sim = v[s:e] @ v[lo:hi].T
-            sim[np.arange(e - s), np.arange(s - lo, e - lo)] = -2
-            hit = sim >= least - SLACK
-            if not hit.any():
-                continue
-            many = hit.sum(axis=1) > keep
-            for i in np.nonzero(many)[0]:
-                row = np.where(hit[i], sim[i], -2)
-                hit[i] = False
-                hit[i, np.argpartition(-row, keep)[:keep]] = True
-            i, j = np.nonzero(hit)
+            apart = np.zeros((e - s, hi - lo), dtype=bool)
+            apart[np.arange(e - s), np.arange(s - lo, e - lo)] = True
+            i, j = best(v[s:e], v[lo:hi], apart)
             left.append(ids[s:e][i])
             right.append(ids[lo:hi][j])
         return left, right
 
+    def border(part: int, ids: np.ndarray, v: np.ndarray, last: bool) -> pa.RecordBatch:
+        """Rows at an end of a range, by the border they lie at and how far from it. Borders of a curve are CURVES apart, as ranges are."""
+        n = len(ids)
+        place = np.arange(n, 0, -1) if last else np.arange(1, n + 1)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids), pa.array([None] * n, b_type), pa.array(np.full(n, part + CURVES if last else part, dtype=np.int32)), pa.array((place * (-1 if last else 1)).astype(np.int32)), pa.array([x.tobytes() for x in v.astype(np.float16)], pa.binary())],
+            names=["a", "b", "border", "place", "half"],
+        )
+
+    def linked(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        n = len(a)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["a", "b", "border", "place", "half"])
+
+    b_type = pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, ids, v = None, np.zeros(0, dtype=np.int64), np.zeros((0, dim), dtype=np.float32)
+        part, ids, v, head = None, np.zeros(0, dtype=np.int64), np.zeros((0, dim), dtype=np.float32), 0
         for b in batches:
             if not b.num_rows:
                 continue
@@ -156,17 +177,39 @@ def candidates(vectors: DataFrame, dim: int, k: int, least: float) -> DataFrame:
             starts = np.nonzero(np.concatenate([[True], parts[1:] != parts[:-1]]))[0]
             for s, e in zip(starts, [*starts[1:], len(parts)], strict=True):
                 if parts[s] != part:
-                    part, ids, v = parts[s], new_ids[:0], new_v[:0]
+                    if part is not None:
+                        yield border(part, ids[-WINDOW:], v[-WINDOW:], True)
+                    part, ids, v, head = int(parts[s]), new_ids[:0], new_v[:0], 0
                 fresh = len(ids)
                 ids, v = np.concatenate([ids, new_ids[s:e]]), np.concatenate([v, new_v[s:e]])
+                if head < WINDOW:
+                    # The first rows of a range, as they come.
+                    more = min(WINDOW - head, len(ids) - fresh)
+                    rows = border(part, ids[fresh : fresh + more], v[fresh : fresh + more], False)
+                    yield rows.set_column(3, "place", pa.array(np.arange(head + 1, head + more + 1, dtype=np.int32)))
+                    head += more
                 left, right = compare(ids, v, fresh)
-                if left:
-                    a, c = np.concatenate(left), np.concatenate(right)
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], names=["a", "b"])
+                yield linked(np.concatenate(left), np.concatenate(right))
                 # The last rows of the range so far are neighbours of the next batch.
                 ids, v = ids[-2 * WINDOW :], v[-2 * WINDOW :]
-
-    return dealt.mapInArrow(walk, f"a {kind}, b {kind}")
+        if part is not None:
+            yield border(part, ids[-WINDOW:], v[-WINDOW:], True)
+
+    def meet(table: pa.Table) -> pa.Table:
+        """The rows before a border and those behind it, WINDOW apart at most."""
+        ids, place = table.column("a").to_numpy(), table.column("place").to_numpy()
+        v = np.frombuffer(b"".join(table.column("half").to_pylist()), dtype=np.float16).reshape(-1, dim).astype(np.float32)
+        before, behind = np.nonzero(place < 0)[0], np.nonzero(place > 0)[0]
+        if not len(before) or not len(behind):
+            return pa.table({"a": pa.array(ids[:0]), "b": pa.array(ids[:0])})
+        far = place[behind][None, :] - place[before][:, None] > WINDOW
+        i, j = best(v[before], v[behind], far)
+        x, y = best(v[behind], v[before], far.T)
+        return pa.table({"a": pa.array(np.concatenate([ids[before][i], ids[behind][x]])), "b": pa.array(np.concatenate([ids[behind][j], ids[before][y]]))})
+
+    walked = materialize(dealt.mapInArrow(walk, schema), "walked")
+    met = walked.filter(F.col("border").isNotNull()).groupBy("border").applyInArrow(meet, f"a {kind}, b {kind}")
+    return walked.filter(F.col("border").isNull()).select("a", "b").unionByName(met)
 
 
 def nearest(df: DataFrame, key: str, vector: str, dim: int, k: int = 5, least: float = -1.0) -> DataFrame:

@@ -1,13 +1,14 @@
 """Filling containers of fixed capacity with whole items by a grouping genetic algorithm on islands (problem 8).
 
 A chromosome is a packing, a gene one filled bin. Crossover injects whole well-filled bins of one parent into the other, removes
-the bins that would hold an item twice, and puts the displaced items back best-fit, largest first; mutation empties the least
-filled bins in the same way. Fitness is the number of bins, then the mean square of their fill.
+the bins that would hold an item twice, lets displaced items take the place of smaller ones where that fills a bin better, and puts
+the rest back best-fit, largest first; mutation empties the least filled bins in the same way. Fitness is the number of bins, then the mean square of their fill.
 
-Items are dealt by hash to slices of about SLICE items at any size of table. ISLANDS islands evolve each slice apart in tasks of
-their own; then their elites migrate to one island, which evolves on from them. Bins filled to FULL or more are kept; the items
-of the others of all slices are dealt anew and evolve once more. An island stops early at the least number of bins its sizes
-allow.
+Items are dealt by hash to slices of about SLICE items at any size of table. ISLANDS islands evolve each slice apart, each in a row
+and task of its own; after every epoch of generations the elite of each migrates to the next one of the ring, EPOCHS times. The best
+island gives the slice's packing. Bins filled to FULL or more are kept; the items of the others of all slices are dealt anew and
+evolve once more. An island evolves LEAST generations at least, and stops early only once it has the least number of bins that its
+sizes allow.
 
 An item longer than the capacity is the only one that is split: into full containers and one rest, which is an item like any.
 
@@ -22,13 +23,15 @@ import bisect
 import random
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.session import materialize
 
-CAPACITY, SLICE, ISLANDS, POPULATION, GENERATIONS, FULL = 2048, 2048, 2, 6, 30, 0.995
+CAPACITY, SLICE, FULL = 2048, 2048, 0.995
+ISLANDS, EPOCHS, POPULATION, GENERATIONS, LEAST = 3, 3, 6, 12, 2
 #: A vocabulary file of ranks, and the pattern that splits text before the merges (fixed values of the public tokenizer).
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -61,6 +64,11 @@ def token_counts(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULAR
     return rows.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, tokens bigint")
 
 
+#: Bytes of an item's name: its key and the number of its piece.
+NAME = 12
+#: Bins that a displaced item tries to fill better.
+TRIED = 64
+
 # One island ---------------------------------------------------------------------------------------------------------------------
 Packing = list[list[int]]  # bins of item numbers
 
@@ -104,6 +112,26 @@ class Island:
             self.insert(bins, order[s : s + 256])
         return bins
 
+    def replace(self, bins: Packing, items: list[int]) -> list[int]:
+        """Items that fill a bin better than one in it take its place; the items that are left over."""
+        s, rest = self.sizes, []
+        free = [self.capacity - self.load(b) for b in bins]
+        # The bins with most room are looked at; a bin without room gains nothing.
+        open_ = sorted((k for k, f in enumerate(free) if f > 0), key=lambda k: -free[k])[:TRIED]
+        for i in sorted(items, key=lambda i: -s[i]):
+            best = None
+            for k in open_:
+                for x, j in enumerate(bins[k]):
+                    gain = s[i] - s[j]
+                    if 0 < gain <= free[k] and (best is None or gain > best[0]):
+                        best = gain, k, x
+            if best:
+                gain, k, x = best
+                bins[k][x], i = i, bins[k][x]
+                free[k] -= gain
+            rest.append(i)
+        return rest
+
     def cross(self, a: Packing, b: Packing) -> Packing:
         """Bins of b, the better filled the likelier, injected into a."""
         ranked = sorted(b, key=self.load, reverse=True)
@@ -117,7 +145,8 @@ class Island:
                 kept.append(list(x))
             else:
                 displaced += [i for i in x if i not in held]
-        return self.insert(injected + kept, displaced)
+        bins = injected + kept
+        return self.insert(bins, self.replace(bins, displaced))
 
     def mutate(self, p: Packing) -> Packing:
         """The least filled bins and a few others emptied and put back."""
@@ -126,22 +155,19 @@ class Island:
         rest = ranked[len(out) :]
         self.rng.shuffle(rest)
         more = rest[: len(out)]
-        return self.insert([list(x) for x in rest[len(more) :]], [i for x in out + more for i in x])
+        bins = [list(x) for x in rest[len(more) :]]
+        return self.insert(bins, self.replace(bins, [i for x in out + more for i in x]))
 
     def evolve(self, elites: list[Packing], population: int = POPULATION, generations: int = GENERATIONS) -> Packing:
         """The best packing after the generations, from the elites and new packings on."""
         if not self.sizes:
             return []
         pool = [[list(b) for b in e] for e in elites] or [self.first(False)]
-        best = max(pool, key=self.fitness)
-        if len(best) <= self.least:
-            return best
         while len(pool) < population:
             pool.append(self.first(True))
-        for _ in range(generations):
+        for g in range(generations):
             pool.sort(key=self.fitness, reverse=True)
-            best = pool[0]
-            if len(best) <= self.least:
+            if g >= LEAST and len(pool[0]) <= self.least:
                 break
             elite = pool[: population // 2]
             children = []
@@ -154,46 +180,63 @@ class Island:
 
 
 # Islands over the cluster ---------------------------------------------------------------------------------------------------------
-_PACKED = "slice int, island int, bin int, item binary, size bigint"
+#: A slice's items by name and size, and the bin of each item in the elites of its islands; from: the island of an elite.
+_STATE = "slice int, island int, origin int, names binary, sizes binary, bins binary"
+
+
+def _bins(data: bytes) -> Packing:
+    at = np.frombuffer(data, dtype=np.int32)
+    order = np.argsort(at, kind="stable")
+    return [x.tolist() for x in np.split(order, np.nonzero(np.diff(at[order]))[0] + 1)] if len(at) else []
+
+
+def _placed(p: Packing, n: int) -> bytes:
+    at = np.zeros(n, dtype=np.int32)
+    for k, b in enumerate(p):
+        at[b] = k
+    return at.tobytes()
 
 
 def _pack(items: DataFrame, slices: int, capacity: int, seed: int) -> DataFrame:
     """(slice, bin, item, size, load) of items (item binary, size)."""
     dealt = items.withColumn("slice", F.pmod(F.xxhash64("item", F.lit(seed)), F.lit(slices)).cast("int"))
-    apart = dealt.withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)]))).select("slice", "island", "item", "size")
-
-    def rows(at: int, island: int, names: list[bytes], sizes: list[int], packing: Packing) -> pa.RecordBatch:
-        flat = [(k, i) for k, b in enumerate(packing) for i in b]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([at] * len(flat), pa.int32()), pa.array([island] * len(flat), pa.int32()), pa.array([k for k, _ in flat], pa.int32()), pa.array([names[i] for _, i in flat], pa.binary()), pa.array([sizes[i] for _, i in flat], pa.int64())],
-            names=["slice", "island", "bin", "item", "size"],
-        )
 
     def settle(key: tuple, table: pa.Table) -> pa.Table:
-        """One island of one slice."""
+        """The items of a slice, for each of its islands."""
         pairs = sorted(zip(table["item"].to_pylist(), table["size"].to_pylist(), strict=True))
-        names, sizes = [p[0] for p in pairs], [p[1] for p in pairs]
-        at, island = key[0].as_py(), key[1].as_py()
-        return pa.Table.from_batches([rows(at, island, names, sizes, Island(sizes, capacity, hash((seed, at, island))).evolve([]))])
-
-    def migrate(key: tuple, table: pa.Table) -> pa.Table:
-        """The elites of a slice's islands meet."""
-        found = table.to_pydict()
-        number = {n: i for i, n in enumerate(sorted(set(found["item"])))}
-        names, sizes = list(number), [0] * len(number)
-        elites: dict[int, dict[int, list[int]]] = {}
-        for island, b, item, size in zip(found["island"], found["bin"], found["item"], found["size"], strict=True):
-            i = number[item]
-            sizes[i] = size
-            elites.setdefault(island, {}).setdefault(b, []).append(i)
-        at = key[0].as_py()
-        best = Island(sizes, capacity, hash((seed, at, -1))).evolve([list(elites[k].values()) for k in sorted(elites)])
-        return pa.Table.from_batches([rows(at, -1, names, sizes, best)])
-
-    settled = apart.groupBy("slice", "island").applyInArrow(settle, _PACKED)
-    met = materialize(settled.groupBy("slice").applyInArrow(migrate, _PACKED), "packing")
-    loads = met.groupBy("slice", "bin").agg(F.sum("size").alias("load"))
-    return met.join(loads, ["slice", "bin"]).select("slice", "bin", "item", "size", "load")
+        row = (key[0].as_py(), b"".join(p[0] for p in pairs), np.array([p[1] for p in pairs], dtype=np.int32).tobytes())
+        return pa.table({"slice": pa.array([row[0]] * ISLANDS, pa.int32()), "island": pa.array(range(ISLANDS), pa.int32()), "origin": pa.array(range(ISLANDS), pa.int32()),
+                         "names": pa.array([row[1]] * ISLANDS, pa.binary()), "sizes": pa.array([row[2]] * ISLANDS, pa.binary()), "bins": pa.array([None] * ISLANDS, pa.binary())})
+
+    def epoch(number: int):
+        def run(key: tuple, table: pa.Table) -> pa.Table:
+            """An island evolves from its own elite and the one that came; its elite stays and goes on to the next island."""
+            rows = sorted(table.to_pylist(), key=lambda r: r["origin"] != r["island"])
+            own, at, island = rows[0], key[0].as_py(), key[1].as_py()
+            sizes = np.frombuffer(own["sizes"], dtype=np.int32).tolist()
+            best = Island(sizes, capacity, hash((seed, at, island, number))).evolve([_bins(r["bins"]) for r in rows if r["bins"] is not None])
+            placed = _placed(best, len(sizes))
+            return pa.table({"slice": pa.array([at, at], pa.int32()), "island": pa.array([island, (island + 1) % ISLANDS], pa.int32()), "origin": pa.array([island, island], pa.int32()),
+                             "names": pa.array([own["names"], None], pa.binary()), "sizes": pa.array([own["sizes"], None], pa.binary()), "bins": pa.array([placed, placed], pa.binary())})
+
+        return run
+
+    def choose(key: tuple, table: pa.Table) -> pa.Table:
+        """The best island of a slice."""
+        rows = [r for r in table.to_pylist() if r["names"] is not None]
+        sizes = np.frombuffer(rows[0]["sizes"], dtype=np.int32)
+        judge = Island(sizes.tolist(), capacity, 0)
+        best = max(sorted(rows, key=lambda r: r["island"]), key=lambda r: judge.fitness(_bins(r["bins"])))
+        at = np.frombuffer(best["bins"], dtype=np.int32)
+        names = best["names"]
+        return pa.table({"slice": pa.array([key[0].as_py()] * len(at), pa.int32()), "bin": pa.array(at), "item": pa.array([names[i * NAME : (i + 1) * NAME] for i in range(len(at))], pa.binary()),
+                         "size": pa.array(sizes.astype(np.int64)), "load": pa.array(np.bincount(at, weights=sizes)[at].astype(np.int64))})
+
+    state = dealt.groupBy("slice").applyInArrow(settle, _STATE)
+    for number in range(EPOCHS):
+        # Slices and islands fill all tasks evenly: one row each.
+        state = state.groupBy("slice", "island").applyInArrow(epoch(number), _STATE)
+    return materialize(state.groupBy("slice").applyInArrow(choose, "slice int, bin int, item binary, size bigint, load bigint"), "packing")
 
 
 def pack(sizes: DataFrame, key: str, size: str, capacity: int = CAPACITY, seed: int = 11) -> DataFrame:

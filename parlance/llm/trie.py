@@ -12,6 +12,8 @@ import numpy as np
 
 #: Node pairs that are walked at once; more wait their turn, so that memory is bounded.
 AT_ONCE = 1 << 20
+#: Row pairs of two leaves.
+LEAF = 16
 
 Pairs = tuple[np.ndarray, np.ndarray]
 
@@ -66,8 +68,8 @@ def join(bits: np.ndarray, starts: np.ndarray, ends: np.ndarray, p: np.ndarray,
         one = hi - lo == 1
         go = (met + least[p] + least[q] <= rate * (most[p] + most[q]) + 1e-9) & ~((p == q) & one[p])
         p, q, met = p[go], q[go], met[go]
-        leaf = one[p] & one[q]
-        settle(lo[p[leaf]], lo[q[leaf]])
+        leaf = (hi - lo)[p] * (hi - lo)[q] <= LEAF
+        settle(*_cross(lo, hi, p[leaf], q[leaf]))
         p, q, met = p[~leaf], q[~leaf], met[~leaf]
         if not len(p):
             continue

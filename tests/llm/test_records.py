@@ -123,6 +123,17 @@ def test_quote_links(spark):
     assert got == {"m1": "c1", "m2": "c1", "m3": "c1", "m4": "m4", "m5": "m4"}
 
 
+def test_ambiguous_quotes(spark):
+    """A short text that several messages have links nothing; a lost message between two conversations belongs to neither."""
+    rows = [
+        ("c1", "m1", None, "ok"), ("c2", "m2", None, "ok"), (None, "m3", None, "> ok\nfine"), (None, "m4", None, "> ok\nnext"), (None, "m5", None, "> nobody said this\nx"), (None, "m6", None, "> nobody said this\ny"),
+        ("c3", "m7", "f", "a"), ("c4", "m8", "f", "b"), (None, "m9", "f", "c"),
+    ]
+    df = spark.createDataFrame(rows, "conv_key string, msg_key string, reply_to string, text string")
+    got = {r["msg_key"]: r["conv_key"] for r in conversations.identify(df).collect()}
+    assert got == {"m1": "c1", "m2": "c2", "m3": "m3", "m4": "m4", "m5": "m5", "m6": "m6", "m7": "c3", "m8": "c4", "m9": None}
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000, 1000 + i) for i in range(200)] + [(5000 + i, 5001 + i) for i in range(60)] + [(None, 3), (9999, 9999)]
@@ -255,3 +266,15 @@ def test_token_counts(spark):
     df = spark.createDataFrame([(1, "hello world"), (2, " \n"), (3, None), (4, "word " * 30000)], "doc_id bigint, text string")
     got = {r[0]: r[1] for r in packing.token_counts(df, "doc_id", "text").collect()}
     assert got[1] == 2 and set(got) == {1, 4} and got[4] >= 30000
+
+
+def test_evolution_beats_best_fit():
+    """Where best fit misses the bound, crossover and migration between islands use fewer bins."""
+    rng = random.Random(1)
+    sizes = [rng.randint(410, 1024) for _ in range(400)]
+    first = packing.Island(sizes, 2048, 1).first(False)
+    best: list = []
+    for epoch in range(packing.EPOCHS):
+        best = packing.Island(sizes, 2048, epoch).evolve([best] if best else [])
+    assert packing.Island(sizes, 2048, 1).least < len(best) < len(first)
+    assert sorted(i for b in best for i in b) == list(range(400)) and all(sum(sizes[i] for i in b) <= 2048 for b in best)
