@@ -83,7 +83,7 @@ class History:
 
     _TABLES = {
         "content": ("hash BINARY", "hash"),
-        "paragraphs": ("key BIGINT, id BIGINT, meta BIGINT, sketch BIGINT", "key"),
+        "paragraphs": ("key BIGINT, id BIGINT, meta BIGINT, s0 BIGINT, s1 BIGINT", "key"),
         "sets": ("id BIGINT, n INT, set BINARY, part INT", "id"),
         "files": ("path STRING", "path"),
         # Not bucketed: bounded summaries of the frequent paragraphs of each append; those of the first fix the order.
@@ -126,7 +126,7 @@ class History:
         return at[order], rows["n"].to_numpy(dtype=np.int64)[order]
 
     def _fronts(self, sets: DataFrame, ask: bool, carry: str = "id") -> DataFrame:
-        """(key, id, meta, sketch) of the paragraphs in front of each set: to be kept, or (ask) to be looked up under all salts."""
+        """(key, id, meta, s0, s1) of the paragraphs in front of each set: to be kept, or (ask) to be looked up under all salts."""
         sc = self.spark.sparkContext
         order, salted, threshold = sc.broadcast(self._order()), sc.broadcast(self._salts()), self.threshold
 
@@ -136,7 +136,7 @@ class History:
                     continue
                 o = neardup.Ordered(b, order.value, threshold)
                 ids = b.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
-                m, r, sk = o.m[o.at], o.row[o.at], o.sketches()[:, 0]
+                m, r, sk = o.m[o.at], o.row[o.at], o.sketches()[:, :2]
                 salts = np.maximum(-(-counts_of(salted.value, m) // SALT), 1)
                 if ask:
                     at = np.repeat(np.arange(len(m)), salts)
@@ -145,9 +145,9 @@ class History:
                     at, salt = np.arange(len(m)), mix(ids[r].view(U64) ^ m) % salts.astype(U64)
                 key = mix(m[at] ^ mix(salt)) >> U64(16)
                 meta = (o.n[r[at]] << 32) | o.pos[o.at][at]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[r[at]]), pa.array(meta), pa.array(sk[at].view(np.int64))], names=["key", "id", "meta", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[r[at]]), pa.array(meta), *[pa.array(np.ascontiguousarray(sk[at, i]).view(np.int64)) for i in (0, 1)]], names=["key", "id", "meta", "s0", "s1"])
 
-        return sets.select("id", "n", "set").mapInArrow(run, "key bigint, id bigint, meta bigint, sketch bigint")
+        return sets.select("id", "n", "set").mapInArrow(run, "key bigint, id bigint, meta bigint, s0 bigint, s1 bigint")
 
     def add_texts(self, df: DataFrame, key: str, text: str) -> None:
         """Appends the digests and paragraphs of accepted texts."""
@@ -220,10 +220,13 @@ class History:
         """(links between nodes (a, b), nodes that are near a text of the history (node))."""
         heads = materialize(sets.join(nodes.select(F.col("node").alias("id")), "id", "left_semi").select("id", "n", "set"), "heads")
         size, pos = (lambda c: F.shiftright(c, 32)), (lambda c: c.bitwiseAND(F.lit((1 << 32) - 1)))
-        asked = self._fronts(heads, True).toDF("key", "a", "meta_a", "sketch_a")
-        errors = F.bit_count(F.col("sketch").bitwiseXOR(F.col("sketch_a"))) + pos(F.col("meta")) + pos(F.col("meta_a"))
+        asked = self._fronts(heads, True).toDF("key", "a", "meta_a", "s0_a", "s1_a")
+        differ = F.bit_count(F.col("s0").bitwiseXOR(F.col("s0_a"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("s1_a")))
+        # Paragraphs in front differ; of those behind at least as many do as sketches do, or as one side has more of.
+        n, m, x, y = size(F.col("meta")), size(F.col("meta_a")), pos(F.col("meta")), pos(F.col("meta_a"))
+        errors = F.greatest(differ.cast("bigint"), F.abs((n - x) - (m - y))) + x + y
         rate = (1 - self.threshold) / (1 + self.threshold)
-        met = asked.join(self.table("paragraphs"), "key").filter(errors <= rate * (size(F.col("meta")) + size(F.col("meta_a"))) + 1e-9)
+        met = asked.join(self.table("paragraphs"), "key").filter(errors <= rate * (n + m) + 1e-9)
         pairs = materialize(met.select("a", F.col("id").alias("b")).distinct(), "candidates")
         # Coverage is counted where the history's sets lie: only those that were met are read on.
         both = pairs.join(heads.toDF("a", "na", "sa"), "a").join(self.table("sets").select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("set").alias("sb")), "b")
