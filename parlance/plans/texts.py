@@ -51,7 +51,7 @@ def token_estimates(spark: SparkSession, d: str) -> DataFrame:
 
 def _category_sql() -> str:
     cases = " ".join(f"WHEN {' OR '.join(f'''contains(lower(text), '{p}')''' for p in phrases)} THEN '{name}'" for name, phrases in text.CATEGORIES)
-    return f"CASE {cases} ELSE 'other' END"
+    return f"CASE WHEN regexp_matches(text, '{text.SKILL}') THEN 'skill_invocation' {cases} ELSE 'other' END"
 
 
 @query(f"SELECT source, {_category_sql()} AS category, count(*) AS n FROM prompts WHERE text IS NOT NULL GROUP BY 1, 2")
@@ -94,13 +94,18 @@ def lint_rules(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy(F.col("v.rule").alias("rule")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""
-WITH e AS (SELECT source, id, unnest(regexp_extract_all(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}')) AS v FROM prompts),
-k AS (SELECT source, 'email' AS kind, v FROM e WHERE NOT (lower(v) LIKE '%example.com' OR lower(v) LIKE '%example.org' OR lower(v) LIKE '%test.com' OR lower(v) LIKE '%localhost' OR lower(v) LIKE '%noreply.github.com')
-UNION ALL SELECT source, 'ipv4', v FROM (SELECT source, unnest(regexp_extract_all(text, '\\b(?:\\d{1,3}\\.){3}\\d{1,3}\\b')) AS v FROM prompts) WHERE v NOT IN ('127.0.0.1', '0.0.0.0', '255.255.255.255', '169.254.169.254') AND v NOT LIKE '10.%' AND v NOT LIKE '192.168.%')
-SELECT source, kind, count(*) AS n, count(DISTINCT v) AS n_values FROM k GROUP BY 1, 2""")
+def _secrets_sql() -> str:
+    quote = lambda v: v.replace("'", "''")
+    kinds = " UNION ALL ".join(f"SELECT source, '{kind}' AS kind, unnest(regexp_extract_all(text, '{quote(p)}')) AS v FROM prompts" for kind, _, p in text.SECRETS)
+    safe = " OR ".join(f"lower(split_part(v, '@', -1)) LIKE '%{d}'" for d in text.SAFE_DOMAINS)
+    ips = ", ".join(f"'{x}'" for x in text.SAFE_IPS)
+    return f"""WITH k AS ({kinds}) SELECT source, kind, count(*) AS n, count(DISTINCT v) AS n_values FROM k
+WHERE NOT (kind = 'email' AND ({safe})) AND NOT (kind = 'ipv4' AND (v IN ({ips}) OR v LIKE '10.%' OR v LIKE '192.168.%')) GROUP BY 1, 2"""
+
+
+@query(_secrets_sql())
 def secrets_by_source(spark: SparkSession, d: str) -> DataFrame:
-    """Secrets of all kinds (the SQL has those of the test data only)."""
+    """Secrets of all kinds."""
     p = read_table(spark, d, "prompts").select("source", F.explode(text.secrets(F.col("text"))).alias("s"))
     return p.groupBy("source", F.col("s.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("s.value").alias("n_values"))
 

@@ -205,7 +205,7 @@ def test_secrets_of_all_kinds(spark, tmp_path):
 
     said = ["AKIA" + "A1B2" * 4, "password: hunter22 in /home/ana/", "mail ana@firm.test", "mail ana@firm.test", None]
     spark.createDataFrame([("a", t) for t in said], "source string, text string").write.parquet(f"{tmp_path}/prompts.parquet")
-    assert {tuple(r) for r in secrets_by_source(spark, str(tmp_path)).collect()} == {("a", "api_key_aws", 1, 1), ("a", "password", 1, 1), ("a", "home_path", 1, 1), ("a", "email", 2, 1)}
+    assert {tuple(r) for r in secrets_by_source(spark, str(tmp_path)).collect()} == {("a", "api_key_aws", 1, 1), ("a", "password_assignment", 1, 1), ("a", "home_path_unix", 1, 1), ("a", "email", 2, 1)}
 
 
 def test_recurring_topics(spark, tmp_path):
