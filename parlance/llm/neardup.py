@@ -193,7 +193,7 @@ def trie_pairs(found: DataFrame, threshold: float) -> DataFrame:
         ends = np.append(starts[1:], len(key))
         whole = np.nonzero((role[starts] == 0) & (ends - starts > 1))[0]
         one = np.nonzero((role[starts[:-1]] == 1) & (role[starts[1:]] == 2) & (key[starts[:-1]] == key[starts[1:]]))[0]
-        i, j = trie.join(sk, starts, ends, np.concatenate([whole, one]), np.concatenate([whole, one + 1]), pos, n, rate)
+        i, j = trie.join(sk, starts, ends, np.concatenate([whole, one]), np.concatenate([whole, one + 1]), pos, n, rate, n - pos)
         a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
         # A pair that several roots of the part keep goes on once.
         order = np.lexsort((b, a))

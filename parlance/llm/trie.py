@@ -34,11 +34,11 @@ def _cross(lo: np.ndarray, hi: np.ndarray, p: np.ndarray, q: np.ndarray) -> Pair
     return i[at], begin[at] + np.arange(len(at)) - np.repeat(np.cumsum(more) - more, more)
 
 
-def join(bits: np.ndarray, starts: np.ndarray, ends: np.ndarray, p: np.ndarray, q: np.ndarray, errors: np.ndarray, size: np.ndarray, rate: float) -> Pairs:
+def join(bits: np.ndarray, starts: np.ndarray, ends: np.ndarray, p: np.ndarray, q: np.ndarray, errors: np.ndarray, size: np.ndarray, rate: float, behind: np.ndarray | None = None) -> Pairs:
     """Pairs of rows (i, j) with errors + differing bits <= rate * (size + size), each once.
 
     bits: n x w uint64, most significant bit first, sorted within each root; errors: what a row adds to any pair it is in; size: what
-    it adds to a pair's budget. Roots are the ranges [start, end), in order; p, q: the pairs of roots to be joined (p = q: a root
+    it adds to a pair's budget; behind: how many things the bits stand for, whose difference is a least error too. Roots are the ranges [start, end), in order; p, q: the pairs of roots to be joined (p = q: a root
     with itself).
     """
     left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
@@ -47,6 +47,8 @@ def join(bits: np.ndarray, starts: np.ndarray, ends: np.ndarray, p: np.ndarray,
 
     def settle(i: np.ndarray, j: np.ndarray) -> None:
         d = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+        if behind is not None:
+            d = np.maximum(d, np.abs(behind[i] - behind[j]))
         ok = d + errors[i] + errors[j] <= rate * (size[i] + size[j]) + 1e-9
         left.append(i[ok])
         right.append(j[ok])
