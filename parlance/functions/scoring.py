@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import features
 from parlance.functions import text as X
+from parlance.session import materialize
 
 # What a model adds to a score. steps: for asking to think in steps; lean: for text that compression hardly shortens
 # (less than `below`); words: for each hundred words beyond `beyond`; complex: for a complexity above `above`.
@@ -119,8 +120,8 @@ def check(df: DataFrame, text: str, model: str = "", threshold: int = THRESHOLD,
         "n_tokens": X.estimate_tokens(F.col("_text")),
     }).select(*keep, "task", "rewritten", *scores, "passed", "missing", "lint", "n_words", "n_tokens")
     # The second pass gives the gain only; the row keeps its own scores.
-    packed = out.withColumn("_own", F.struct(*scores, "n_words"))
-    new = features.with_features(packed.drop(*scores, "n_words"), "rewritten").withColumn("_at", features.instruction_position(features.segments("rewritten")))
+    packed = materialize(out.withColumn("_own", F.struct(*scores, "n_words")).drop(*scores, "n_words"), "checked")
+    new = features.with_features(packed, "rewritten").withColumn("_at", features.instruction_position(features.segments("rewritten")))
     new = scored(new, "task", model, F.col("_at"))
     return new.select(*keep, "task", *[F.col(f"_own.{s}").alias(s) for s in scores], "passed", "missing", "lint", "rewritten", F.round(F.col("total") - F.col("_own.total"), 1).alias("rewrite_gain"), F.col("_own.n_words").alias("n_words"), "n_tokens")
 

@@ -50,3 +50,35 @@ def unprocessed(files: DataFrame, ledger: DataFrame, path: str) -> DataFrame:
 def write_replacing(df: DataFrame, path: str, partition_by: list[str]) -> None:
     """Overwrites only the partitions that df holds."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+
+
+def update(store: DataFrame, rows: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
+    """The store with columns set from rows of the same key where the row's value is not null; rows without a match add nothing.
+
+    Several rows of one key must agree: the greatest value counts.
+    """
+    new = rows.groupBy(*key).agg(*[F.max(c).alias(f"_{c}") for c in columns])
+    d = store.join(new, key, "left")
+    return d.select(*[F.coalesce(f"_{c}", c).alias(c) if c in columns else c for c in store.columns])
+
+
+def truncate(spark, path: str) -> int:
+    """Empties the Parquet table at path and gives the number of rows it had."""
+    old = spark.read.parquet(path)
+    n, schema = old.count(), old.schema
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+    return n
+
+
+def settings(store: DataFrame, values: dict[str, str]) -> DataFrame:
+    """The store of settings (key, value) with values replaced or added; a handful of rows."""
+    new = store.sparkSession.createDataFrame(list(values.items()) or [("", "")], "key string, value string").filter(F.col("key") != "")
+    return store.join(new, "key", "left_anti").unionByName(new)
+
+
+def by_prefix(df: DataFrame, column: str, value: str) -> DataFrame:
+    """Rows whose column equals the value; if there are none, those that it begins with."""
+    near = df.filter(F.col(column).startswith(value))
+    exact = near.filter(F.col(column) == value).select(F.lit(True).alias("_exact")).limit(1)
+    # One row at most: a join with it is no product.
+    return near.join(F.broadcast(exact), F.lit(True), "left").filter(F.col("_exact").isNull() | (F.col(column) == value)).drop("_exact")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from parlance.plans import agents, blocks, instants, more, reports, texts
+from parlance.plans import agents, blocks, instants, more, prompts, reports, texts
 
-QUERIES = {"p2_found": instants.p2_found, "p6_found": blocks.p6_found, **reports.QUERIES, **texts.QUERIES, **more.QUERIES, **agents.QUERIES}
-SQL: dict[str, str] = {"p6_found": blocks.SQL, **reports.SQL, **texts.SQL, **more.SQL, **agents.SQL}
+QUERIES = {"p2_found": instants.p2_found, "p6_found": blocks.p6_found, **reports.QUERIES, **texts.QUERIES, **more.QUERIES, **agents.QUERIES, **prompts.QUERIES}
+SQL: dict[str, str] = {"p6_found": blocks.SQL, **reports.SQL, **texts.SQL, **more.SQL, **agents.SQL, **prompts.SQL}
 FLAGSHIP = reports.exact_dedup_by_source
