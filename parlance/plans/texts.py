@@ -11,7 +11,7 @@ from parlance.functions import features, text
 from parlance.operators import graph, patterns, periods, sessions, tfidf
 from parlance.operators.timestamps import normalise
 from parlance.plans.reports import QUERIES, SQL, query, r6
-from parlance.session import read_table
+from parlance.session import materialize, read_table
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -410,19 +410,21 @@ def vector_norms(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def topic_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """K-means over hashed TF-IDF vectors of the documents (seeded; sizes and labels, not centres, are the result)."""
+    """K-means over hashed TF-IDF vectors of the documents (seeded; 2^18 buckets of terms, so that hardly any two terms share one)."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import IDF, HashingTF, Normalizer
 
     docs = read_table(spark, d, "documents").filter(F.length(F.trim(F.coalesce("text", F.lit("")))) > 0).select("doc_id", text.split_words(F.lower("text")).alias("w"))
-    tf = HashingTF(inputCol="w", outputCol="tf", numFeatures=1 << 10).transform(docs)
+    tf = HashingTF(inputCol="w", outputCol="tf", numFeatures=1 << 18).transform(docs)
     v = Normalizer(inputCol="x", outputCol="features").transform(IDF(inputCol="tf", outputCol="x").fit(tf).transform(tf)).select("doc_id", "features")
-    v.persist()
+    v = materialize(v, "vectors")
     model = KMeans(k=8, seed=42, maxIter=10).fit(v)
     return model.transform(v).select("doc_id", F.col("prediction").cast("bigint").alias("cluster"))
 
 
-@query()
+@query("""
+WITH t AS (SELECT session_id, epoch_us(TRY_CAST(timestamp AS TIMESTAMPTZ)) AS us FROM claude_session)
+SELECT session_id, count(*) AS n_lines, min(us) AS first_us, max(us) AS last_us, (max(us) - min(us)) // 1000000 AS seconds FROM t WHERE us IS NOT NULL GROUP BY session_id""")
 def session_durations(spark: SparkSession, d: str) -> DataFrame:
     """First and last instant and length of every session, over mixed timestamps."""
     lines = read_table(spark, d, "claude_session").select("session_id", F.col("timestamp").alias("raw"), F.lit(None).cast("string").alias("zone"))

@@ -82,10 +82,11 @@ def blocks(content: Column) -> Column:
     return F.from_json(F.when(F.ltrim(content).startswith("["), content), _BLOCKS)
 
 
-def content_text(content: Column, joint: str = " ") -> Column:
-    """Plain content, or its text blocks joined."""
+def content_text(content: Column, joint: str = " ", typed: bool = True) -> Column:
+    """Plain content, or its text blocks joined; not typed: all blocks with a text, whatever their type."""
     b = blocks(content)
-    return F.when(b.isNull(), content).otherwise(F.array_join(F.transform(F.filter(b, lambda x: x["type"] == "text"), lambda x: x["text"]), joint))
+    said = F.filter(b, (lambda x: x["type"] == "text") if typed else (lambda x: x["text"].isNotNull()))
+    return F.when(b.isNull(), content).otherwise(F.array_join(F.transform(said, lambda x: x["text"]), joint))
 
 
 def tool_names(content: Column) -> Column:
@@ -161,7 +162,7 @@ def gemini(spark: SparkSession, path: str) -> DataFrame:
     df = _json(spark, path, "session-*.json", "sessionId string, projectHash string, messages array<struct<id:string,type:string,content:string,model:string,timestamp:string>>")
     df = df.select("*", F.posexplode("messages").alias("pos", "m")).withColumn("seq", F.struct("_row", "pos"))
     role = F.when(F.col("m.type") == "user", "user").when(F.col("m.type").isin("gemini", "model", "assistant"), "assistant")
-    return _shape(df, "gemini", role=role, text=content_text(F.col("m.content")), session_id=F.coalesce("sessionId", stem(F.col("file"))), project=F.col("projectHash"), timestamp=F.col("m.timestamp"))
+    return _shape(df, "gemini", role=role, text=content_text(F.col("m.content"), typed=False), session_id=F.coalesce("sessionId", stem(F.col("file"))), project=F.col("projectHash"), timestamp=F.col("m.timestamp"))
 
 
 def cline(spark: SparkSession, path: str) -> DataFrame:
