@@ -118,17 +118,20 @@ class Island:
         free = [self.capacity - self.load(b) for b in bins]
         # The bins with most room are looked at; a bin without room gains nothing.
         open_ = sorted((k for k, f in enumerate(free) if f > 0), key=lambda k: -free[k])[:TRIED]
+        if not open_:
+            return items
+        of = np.repeat(np.arange(len(open_)), [len(bins[k]) for k in open_])
+        held = [(k, x) for k in open_ for x in range(len(bins[k]))]
+        size, room = np.array([s[bins[k][x]] for k, x in held]), np.array([free[k] for k in open_])
         for i in sorted(items, key=lambda i: -s[i]):
-            best = None
-            for k in open_:
-                for x, j in enumerate(bins[k]):
-                    gain = s[i] - s[j]
-                    if 0 < gain <= free[k] and (best is None or gain > best[0]):
-                        best = gain, k, x
-            if best:
-                gain, k, x = best
+            gain = s[i] - size
+            gain[gain > room[of]] = 0
+            at = int(gain.argmax())
+            if gain[at] > 0:
+                k, x = held[at]
                 bins[k][x], i = i, bins[k][x]
-                free[k] -= gain
+                size[at] += gain[at]
+                room[of[at]] -= gain[at]
             rest.append(i)
         return rest
 
@@ -166,10 +169,10 @@ class Island:
         while len(pool) < population:
             pool.append(self.first(True))
         for g in range(generations):
-            pool.sort(key=self.fitness, reverse=True)
-            if g >= LEAST and len(pool[0]) <= self.least:
+            ranked = sorted(((self.fitness(p), -k, p) for k, p in enumerate(pool)), key=lambda x: x[:2], reverse=True)
+            if g >= LEAST and len(ranked[0][2]) <= self.least:
                 break
-            elite = pool[: population // 2]
+            elite = [p for _, _, p in ranked[: population // 2]]
             children = []
             while len(elite) + len(children) < population:
                 a, b = self.rng.sample(elite, 2) if len(elite) > 1 else (elite[0], elite[0])
