@@ -17,7 +17,25 @@ def _runs(table: str, key: str, words: str, n: int, least: int) -> str:
     return f"SELECT DISTINCT {key}, unnest(list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' '))) AS g FROM (SELECT {key}, {words} AS w FROM {table} WHERE text IS NOT NULL) WHERE len(w) >= {least}"
 
 
+#: Resolved paths: / for \\, and without `.`, `..` and doubled / (parts are folded from the left).
+_PATH = r"""CASE WHEN trim(coalesce(file_path, '')) = '' THEN NULL ELSE (CASE WHEN starts_with(replace(file_path, '\', '/'), '/') THEN '/' ELSE '' END) || array_to_string(list_reduce(list_prepend([]::VARCHAR[],
+  list_transform(list_filter(string_split(replace(file_path, '\', '/'), '/'), lambda x: x NOT IN ('', '.')), lambda x: [x])), lambda a, x: CASE WHEN x[1] = '..' AND len(a) > 0 AND a[-1] <> '..' THEN a[1:len(a) - 1] WHEN x[1] = '..' AND starts_with(replace(file_path, '\', '/'), '/') THEN a ELSE list_concat(a, x) END), '/') END"""
+
 SQL: dict[str, str] = {
+    "p7_found": f"""
+WITH RECURSIVE i AS (SELECT batch_no, item_id, text, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS s, {_PATH} AS path, row_number() OVER (ORDER BY batch_no, item_id) AS rn FROM prompt_batches),
+f AS (SELECT DISTINCT {_PATH} AS path FROM processed_sessions), b AS (SELECT path, min(batch_no) AS b FROM i WHERE path IS NOT NULL GROUP BY path),
+h AS (SELECT DISTINCT regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS s FROM prompts WHERE text IS NOT NULL),
+gi AS ({_runs("prompt_batches", "item_id", _WORDS, 3, 20)}), gp AS ({_runs("prompts", "id", _WORDS, 3, 20)}), ni AS (SELECT item_id, count(*) AS n FROM gi GROUP BY item_id), np AS (SELECT id, count(*) AS n FROM gp GROUP BY id),
+ch AS (SELECT item_id, id, count(*) AS c FROM gi JOIN gp USING (g) GROUP BY 1, 2), nh AS (SELECT DISTINCT item_id FROM ch JOIN ni USING (item_id) JOIN np USING (id) WHERE c * 10 >= 6 * (ni.n + np.n - c)),
+ci AS (SELECT x.item_id AS a, y.item_id AS e, count(*) AS c FROM gi x JOIN gi y ON x.g = y.g AND x.item_id <> y.item_id GROUP BY 1, 2), ns AS (SELECT a, e FROM ci JOIN ni x ON x.item_id = a JOIN ni y ON y.item_id = e WHERE c * 10 >= 6 * (x.n + y.n - c)),
+k AS (SELECT i.*, coalesce(b.b < i.batch_no, false) OR f.path IS NOT NULL AS file, h.s IS NOT NULL AS copied, nh.item_id IS NOT NULL AS close FROM i LEFT JOIN b ON b.path = i.path LEFT JOIN f ON f.path = i.path LEFT JOIN h ON h.s = i.s LEFT JOIN nh ON nh.item_id = i.item_id),
+e AS (SELECT x.rn, list(y.rn) AS earlier FROM i x JOIN i y ON y.rn < x.rn AND x.s = y.s GROUP BY x.rn), n AS (SELECT x.rn, list(y.rn) AS earlier FROM ns JOIN i x ON x.item_id = ns.a JOIN i y ON y.item_id = ns.e AND y.rn < x.rn GROUP BY x.rn),
+r AS (SELECT k.*, coalesce(e.earlier, []) AS same, coalesce(n.earlier, []) AS near FROM k LEFT JOIN e USING (rn) LEFT JOIN n USING (rn)),
+t AS (SELECT 0::BIGINT AS rn, []::BIGINT[] AS kept, NULL::BIGINT AS batch_no, NULL::BIGINT AS item_id, NULL::VARCHAR AS verdict UNION ALL
+  SELECT r.rn, CASE WHEN NOT file AND NOT copied AND NOT list_has_any(kept, same) AND NOT close AND NOT list_has_any(kept, near) THEN list_append(kept, r.rn) ELSE kept END, r.batch_no, r.item_id,
+  CASE WHEN file THEN 'file' WHEN copied OR list_has_any(kept, same) THEN 'exact' WHEN close OR list_has_any(kept, near) THEN 'near' END FROM t JOIN r ON r.rn = t.rn + 1)
+SELECT batch_no, item_id, verdict FROM t WHERE verdict IS NOT NULL""",
     "p3_found": f"""
 WITH s AS ({_runs("prompts", "id", _WORDS, 3, 20)}), n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
 c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2)
