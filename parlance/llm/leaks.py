@@ -5,7 +5,8 @@ which must stand unchanged in any match (pigeonhole): piece hits are found by ha
 Myers' bit-parallel edit distance over words. With e = 0 the only piece is the pattern itself and the distance must be zero.
 
 The items are the bounded side: their patterns are sent to every task after a check of their number (MAX_ITEM_WORDS words); more
-items are worked off in blocks of that size, so no document is read by parts and no item is left out.
+items are worked off in blocks of that size, one after the other, so no document is read by parts, no item is left out, and the
+driver holds one block.
 
 Defined results: null, blank and short texts on either side give no rows; an item whose text repeats another's is reported under
 each of their ids; a document is reported once per item; empty tables give an empty table; extra columns are ignored.
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm.hashing import BASE, U64, fold_words, mix, window_starts
+from parlance.session import materialize
 
 PASSAGE = 10
 #: Words of items that one pass over the documents may hold.
@@ -85,8 +87,8 @@ class Patterns:
             h = h * U64(BASE) + codes[start + i]
         return mix(h)
 
-    def search(self, texts: list[str]) -> Iterator[tuple[int, int]]:
-        """(text index, item) of every text and an item of which it holds a passage."""
+    def search(self, texts: list[str]) -> Iterator[tuple[int, int, int]]:
+        """(text index, item, edits) of every text and an item of which it holds a passage, with the least word edits of any."""
         get = self.words.get
         codes: list[int] = []
         lengths: list[int] = []
@@ -96,7 +98,7 @@ class Patterns:
             codes.extend(get(x, 0) for x in w)
         all_codes, n = np.array(codes, dtype=np.int64), np.array(lengths, dtype=np.int64)
         last = np.cumsum(n)
-        found: set[tuple[int, int]] = set()
+        found: dict[tuple[int, int], int] = {}
         for size, (keys, stands) in self.pieces.items():
             doc, start = window_starts(n, size)
             # Only runs of words that items know can be a piece.
@@ -110,42 +112,46 @@ class Patterns:
                 low, high = int(last[d] - n[d]), int(last[d])
                 for pattern, offset in stands[k]:
                     items = self.items[pattern]
-                    if all((d, i) in found for i in items):
+                    if all(found.get((d, i), 1) == 0 for i in items):
                         continue
                     a = max(low, s - offset - self.edits)
                     b = min(high, s - offset + self.passage + self.edits)
-                    if myers(list(pattern), codes[a:b]) <= self.edits:
-                        found.update((d, i) for i in items)
-        yield from sorted(found)
+                    edits = myers(list(pattern), codes[a:b])
+                    if edits <= self.edits:
+                        for i in items:
+                            found[d, i] = min(edits, found.get((d, i), edits))
+        yield from sorted((d, i, e) for (d, i), e in found.items())
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", passage: int = PASSAGE, edits: int = 0) -> DataFrame:
-    """(doc_key, item_key): documents that hold `passage` successive words of an item with at most `edits` word edits."""
+    """(doc_key, item_key, edits): documents that hold `passage` successive words of an item with at most `edits` word edits, and the
+    least edits of any passage."""
     if not 0 <= edits < passage:
         raise ValueError("edits must be less than the words of a passage")
     docs = docs.select(F.col(doc_key).alias("doc"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
-    schema = f"{doc_key} {docs.schema['doc'].dataType.simpleString()}, {item_key} bigint"
-    blocks: list[list[tuple[int, str]]] = [[]]
-    held = 0
-    for r in items.select(F.col(item_key).cast("bigint").alias("item"), F.col(text).alias("text")).filter(F.col("text").isNotNull()).orderBy("item").toLocalIterator():
-        n = len(fold_words(r["text"]))
-        if held and held + n > MAX_ITEM_WORDS:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((r["item"], r["text"]))
-        held += n
+    schema = f"{doc_key} {docs.schema['doc'].dataType.simpleString()}, {item_key} bigint, edits int"
 
-    def run(block: list[tuple[int, str]]) -> DataFrame:
+    def search_block(block: list[tuple[int, str]]) -> DataFrame:
+        """The leaks of a block of items, written; its patterns are given up then, so that the driver holds one block at a time."""
         patterns = docs.sparkSession.sparkContext.broadcast(Patterns(block, passage, edits))
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 found = list(patterns.value.search(b.column("text").to_pylist()))
-                yield pa.RecordBatch.from_arrays([b.column("doc").take(pa.array([d for d, _ in found], pa.int64())), pa.array([i for _, i in found], pa.int64())], names=[doc_key, item_key])
+                columns = [b.column("doc").take(pa.array([d for d, _, _ in found], pa.int64())), pa.array([i for _, i, _ in found], pa.int64()), pa.array([e for _, _, e in found], pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=[doc_key, item_key, "edits"])
 
-        return docs.mapInArrow(search, schema)
+        found = materialize(docs.mapInArrow(search, schema), "leaks")
+        patterns.destroy()
+        return found
 
-    out = run(blocks[0])
-    for block in blocks[1:]:
-        out = out.unionByName(run(block))
-    return out
+    out, block, held = None, [], 0
+    for r in items.select(F.col(item_key).cast("bigint").alias("item"), F.col(text).alias("text")).filter(F.col("text").isNotNull()).orderBy("item").toLocalIterator():
+        n = len(fold_words(r["text"]))
+        if held and held + n > MAX_ITEM_WORDS:
+            found = search_block(block)
+            out, block, held = found if out is None else out.unionByName(found), [], 0
+        block.append((r["item"], r["text"]))
+        held += n
+    found = search_block(block)
+    return found if out is None else out.unionByName(found)

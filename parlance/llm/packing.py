@@ -20,11 +20,13 @@ from __future__ import annotations
 
 import base64
 import bisect
+import os
 import random
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,9 +55,12 @@ def encoding(path: str):
 def token_counts(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """(key, tokens) of every text that is not null or blank."""
     rows = df.select(key, F.col(text).alias("_text")).filter(F.col("_text").isNotNull())
+    # The file is sent along for executors that lack it.
+    if os.path.exists(vocabulary):
+        df.sparkSession.sparkContext.addFile(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(vocabulary).encode_ordinary
+        encode = encoding(vocabulary if os.path.exists(vocabulary) else SparkFiles.get(os.path.basename(vocabulary))).encode_ordinary
         for b in batches:
             texts = b.column("_text").to_pylist()
             at = [i for i, t in enumerate(texts) if t.strip()]
