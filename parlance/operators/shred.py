@@ -31,7 +31,7 @@ ROWS = T.StructType([
 ])
 
 _SPACE = re.compile(r"[ \t\n\r]*")
-_ATOM = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null|NaN|-?Infinity")
+_ATOM = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null")
 
 
 def events(text: str) -> Iterator[tuple[str, object]]:

@@ -43,6 +43,13 @@ def term_stats(df: DataFrame, key: str, tokens: Column, least_df: int = 1) -> Da
     return w.groupBy("term").agg(F.max("df").alias("df"), (F.sum("w") / F.lit(max(n, 1))).alias("tfidf_avg"))
 
 
+def equal_texts(counts: DataFrame, key: str) -> DataFrame:
+    """(key, rep): each text with the least key of the texts with the same terms as often; compared by 96 bits of hash."""
+    mark = F.array_sort(F.collect_list(F.struct("term", "c")))
+    d = counts.groupBy(key).agg(mark.alias("_t")).select(key, F.xxhash64("_t").alias("_a"), F.hash("_t").alias("_b"))
+    return d.join(d.groupBy("_a", "_b").agg(F.min(key).alias("rep")), ["_a", "_b"]).select(key, "rep")
+
+
 def cosine_pairs(vectors: DataFrame, key: str, threshold: float, group: str | None = None) -> DataFrame:
     """(a, b, similarity), a < b: all pairs of cosine `threshold` or more of sparse vectors (key, term, w, df) of length one; with
     group only pairs of one group.

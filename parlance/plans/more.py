@@ -148,9 +148,9 @@ def score_trend(spark: SparkSession, d: str) -> DataFrame:
     return g.select("install_id", F.col("c").alias("n"), r6(F.col("new")).alias("newer"), r6(F.col("old")).alias("older"), trend.alias("trend"))
 
 
-@query("""SELECT p.source, p.session_id, count(*) AS n, round(max(e.score_total), 6) AS best FROM prompts p JOIN telemetry_event e ON p.id = e.queue_id WHERE p.source = 'cursor' AND e.score_total > 40 GROUP BY 1, 2""")
+@query("""SELECT p.source, p.session_id, count(*) AS n, round(max(e.score_total), 6) AS best FROM prompts p JOIN telemetry_event e ON p.id = e.queue_id WHERE e.score_total > 40 GROUP BY 1, 2""")
 def scores_of_sessions(spark: SparkSession, d: str) -> DataFrame:
-    """One-to-one join on a key with filters on both sides, which reach the scans."""
-    p, e = read_table(spark, d, "prompts").filter("source = 'cursor'"), read_table(spark, d, "telemetry_event").filter("score_total > 40")
+    """One-to-one join on a key with a filter, which reaches the scan."""
+    p, e = read_table(spark, d, "prompts"), read_table(spark, d, "telemetry_event").filter("score_total > 40")
     j = p.select("id", "source", "session_id").join(e.select(F.col("queue_id").alias("id"), "score_total"), "id")
     return j.groupBy("source", "session_id").agg(F.count(F.lit(1)).alias("n"), r6(F.max("score_total")).alias("best"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parlance.functions import features, text
-from parlance.operators import graph, periods, sessions, stores, tfidf
+from parlance.operators import graph, periods, ranks, sessions, stores, tfidf
 from parlance.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -222,9 +222,8 @@ FROM telemetry_event WHERE score_total IS NOT NULL AND effectiveness_score IS NO
 SELECT source, count(*) AS n, round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman FROM r GROUP BY source HAVING count(*) >= 3""")
 def correlations(spark: SparkSession, d: str) -> DataFrame:
     """Pearson, and Spearman on ordinal ranks."""
-    t = read_table(spark, d, "telemetry_event").filter("score_total IS NOT NULL AND effectiveness_score IS NOT NULL")
-    rank = lambda c: F.row_number().over(Window.partitionBy("source").orderBy(c, "queue_id"))
-    r = t.select("source", F.col("score_total").alias("x"), F.col("effectiveness_score").alias("y"), rank("score_total").alias("rx"), rank("effectiveness_score").alias("ry"))
+    t = read_table(spark, d, "telemetry_event").filter("score_total IS NOT NULL AND effectiveness_score IS NOT NULL").select("source", "queue_id", F.col("score_total").alias("x"), F.col("effectiveness_score").alias("y"))
+    r = ranks.ranked(ranks.ranked(t, ["source"], ["x", "queue_id"], "rx"), ["source"], ["y", "queue_id"], "ry")
     return r.groupBy("source").agg(F.count(F.lit(1)).alias("n"), r6(F.corr("x", "y")).alias("pearson"), r6(F.corr("rx", "ry")).alias("spearman")).filter("n >= 3")
 
 
@@ -258,9 +257,9 @@ WITH o AS (SELECT source, effectiveness_score AS v, row_number() OVER (PARTITION
 SELECT source, round(avg(v) FILTER (n <= c // 2), 6) AS older, round(avg(v) FILTER (n > c // 2), 6) AS newer FROM o WHERE c >= 10 GROUP BY source""")
 def older_and_newer_half(spark: SparkSession, d: str) -> DataFrame:
     p = read_table(spark, d, "prompts").filter("effectiveness_score IS NOT NULL")
-    o = sessions.numbered(p, "source", ["ingested_at", "id"]).filter("n_turns >= 10")
-    half = F.expr("n_turns div 2")
-    return o.groupBy("source").agg(r6(F.avg(F.when(F.col("turn_no") < half, F.col("effectiveness_score")))).alias("older"), r6(F.avg(F.when(F.col("turn_no") >= half, F.col("effectiveness_score")))).alias("newer"))
+    o = ranks.ranked(p.select("source", "ingested_at", "id", "effectiveness_score"), ["source"], ["ingested_at", "id"], "no", "n").filter("n >= 10")
+    half = F.expr("n div 2")
+    return o.groupBy("source").agg(r6(F.avg(F.when(F.col("no") <= half, F.col("effectiveness_score")))).alias("older"), r6(F.avg(F.when(F.col("no") > half, F.col("effectiveness_score")))).alias("newer"))
 
 
 @query("""

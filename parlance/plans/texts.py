@@ -110,20 +110,6 @@ def secrets_by_source(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("source", F.col("s.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("s.value").alias("n_values"))
 
 
-@query(f"""
-WITH c AS (SELECT {_category_sql()} AS category, text FROM prompts WHERE text IS NOT NULL),
-g AS (SELECT category, count(*) AS n, avg(CASE WHEN {_n(_CON)} = 0 THEN 1.0 ELSE 0.0 END) AS constraints, avg(CASE WHEN {_n(features.PATTERNS["files"])} = 0 THEN 1.0 ELSE 0.0 END) AS files,
-avg(CASE WHEN regexp_matches(text, '{features.PATTERNS["errors"]}') THEN 0.0 ELSE 1.0 END) AS errors FROM c GROUP BY category HAVING count(*) >= 3),
-u AS (SELECT category, n, 'constraints' AS feature, constraints AS missing FROM g UNION ALL SELECT category, n, 'files', files FROM g UNION ALL SELECT category, n, 'errors', errors FROM g)
-SELECT category, n, feature, round(missing, 6) AS missing FROM u WHERE missing > 0.4""")
-def feature_gaps(spark: SparkSession, d: str) -> DataFrame:
-    """Features that more than four tenths of a category lack: averages unpivoted."""
-    p = read_table(spark, d, "prompts").filter("text IS NOT NULL").select(text.category(F.col("text")).alias("category"), "text")
-    missing = {"constraints": text.count(F.col("text"), features.PATTERNS["constraints"]) == 0, "files": text.count(F.col("text"), features.PATTERNS["files"]) == 0, "errors": ~F.col("text").rlike(features.PATTERNS["errors"])}
-    g = p.groupBy("category").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c.cast("double")).alias(k) for k, c in missing.items()]).filter("n >= 3")
-    return g.unpivot(["category", "n"], list(missing), "feature", "missing").filter("missing > 0.4").withColumn("missing", r6(F.col("missing")))
-
-
 # The features that are asked of the tasks.
 ASKED = {
     "errors": ["debug"], "files": ["debug", "implement", "refactor", "test"], "code": ["debug", "implement"], "constraints": ["implement", "refactor", "review"],
@@ -384,22 +370,37 @@ def tfidf_terms(spark: SparkSession, d: str) -> DataFrame:
     return s.select("term", "df", r6(F.col("tfidf_avg")).alias("tfidf_avg"))
 
 
-def _stem_vectors(spark: SparkSession, d: str) -> DataFrame:
-    p = read_table(spark, d, "prompt_batches").filter("text IS NOT NULL").select("item_id", "text")
-    return tfidf.weights(tfidf.term_counts(p, "item_id", text.stem4(F.col("text"))), "item_id")
+def _stem_vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(vectors of one prompt of each set of equal ones, (id, rep) of all prompts)."""
+    p = read_table(spark, d, "prompts").filter("text IS NOT NULL").select("id", "text")
+    counts = materialize(tfidf.term_counts(p, "id", text.stem4(F.col("text"))), "counts")
+    equal = materialize(tfidf.equal_texts(counts, "id"), "equal")
+    return tfidf.weights(counts, "id").join(equal.filter("id = rep").select("id"), "id", "left_semi"), equal
+
+
+def _opened(found: DataFrame, equal: DataFrame, to: str) -> DataFrame:
+    """Groups (node, to) of representatives as groups of all prompts; those that are alone in theirs are left out."""
+    many = equal.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("rep", F.lit(True).alias("many"))
+    rows = equal.join(found.withColumnRenamed("node", "rep"), "rep", "left").join(many, "rep", "left").filter(F.col(to).isNotNull() | F.col("many"))
+    return rows.select("id", F.coalesce(to, "rep").alias(to))
 
 
 @query()
 def similar_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Batch prompts in greedy groups by TF-IDF cosine of 0.85 or more, earliest first (tested against a loop)."""
-    return graph.leaders(tfidf.cosine_pairs(_stem_vectors(spark, d), "item_id", 0.85).select("a", "b"))
+    """Prompts in greedy groups by TF-IDF cosine of 0.85 or more, earliest first (tested against a loop)."""
+    vectors, equal = _stem_vectors(spark, d)
+    return _opened(graph.leaders(tfidf.cosine_pairs(vectors, "id", 0.85).select("a", "b")), equal, "leader")
 
 
-@query()
+@query(r"""
+WITH RECURSIVE t AS (SELECT id, unnest(list_transform(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> ''), lambda x: CASE WHEN length(x) > 4 AND NOT contains(x, '.') THEN left(x, 4) ELSE x END)) AS term FROM prompts WHERE text IS NOT NULL),
+c AS (SELECT id, term, count(*) AS c FROM t GROUP BY 1, 2), n AS (SELECT count(DISTINCT id) AS n FROM c), v AS (SELECT term, count(*) AS df FROM c GROUP BY term), r AS (SELECT id, term, (1 + ln(c)) * (ln((1.0 + n) / (1 + df)) + 1) AS raw FROM c JOIN v USING (term), n),
+z AS (SELECT id, sqrt(sum(raw * raw)) AS z FROM r GROUP BY id), w AS (SELECT id, term, raw / z AS w FROM r JOIN z USING (id)), p AS (SELECT a.id AS a, b.id AS b FROM w a JOIN w b ON a.term = b.term AND a.id < b.id GROUP BY 1, 2 HAVING sum(a.w * b.w) >= 0.9 - 1e-12),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), walk AS (SELECT DISTINCT a AS id, a AS root FROM e UNION SELECT e.b, walk.root FROM walk JOIN e ON e.a = walk.id) SELECT id, min(root) AS component FROM walk GROUP BY id""")
 def similar_components(spark: SparkSession, d: str) -> DataFrame:
-    """Connected components of batch prompts of cosine 0.9 or more (tested against a breadth-first search)."""
-    found = graph.connected_components(tfidf.cosine_pairs(_stem_vectors(spark, d), "item_id", 0.9))
-    return found.withColumnRenamed("node", "item_id")
+    """Connected components of prompts of cosine 0.9 or more."""
+    vectors, equal = _stem_vectors(spark, d)
+    return _opened(graph.connected_components(tfidf.cosine_pairs(vectors, "id", 0.9)), equal, "component")
 
 
 @query("""SELECT vec_id, label, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 4) AS norm, len(embedding) AS dim FROM embeddings""")
