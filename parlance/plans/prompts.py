@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parlance.functions import chinese, features, scoring, templates, text
-from parlance.operators import periods, stores
+from parlance.operators import agents, embedders, graph, periods, stores, tfidf
 from parlance.plans.reports import QUERIES, SQL, query, r6
 from parlance.plans.texts import _category_sql
-from parlance.session import read_table
+from parlance.session import materialize, read_table
+from parlance.sources import demo
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -331,3 +332,31 @@ def window_snapshots(spark: SparkSession, d: str) -> DataFrame:
     words = p.withColumn("no", periods.window_no(F.col("at"), end, period, 6)).filter("no IS NOT NULL").select("no", F.explode(F.split(F.lower("text"), r"\s+")).alias("x")).filter(F.length("x") > 2)
     v = words.distinct().groupBy("no").agg(F.count(F.lit(1)).alias("vocabulary"))
     return a.join(v, "no", "left").select("no", F.col("n_rows").alias("n"), "avg_chars", "median_chars", F.coalesce("vocabulary", F.lit(0)).alias("vocabulary"))
+
+
+@query("""SELECT 200 AS n_sessions, 1200 AS n_turns, 600 AS n_prompts""")
+def demo_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Two hundred invented sessions through the turns of agents."""
+    t = agents.turns_of_lines(demo.sessions(spark, 200))
+    return t.agg(F.countDistinct("session_id").cast("int").alias("n_sessions"), F.count(F.lit(1)).cast("int").alias("n_turns"), F.count_if(F.col("role") == "user").cast("int").alias("n_prompts"))
+
+
+@query()
+def embedded_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Every new prompt's vector by the default embedder: how many of its buckets are filled, and its length."""
+    p = read_table(spark, d, "prompt_batches").select("item_id", "text")
+    v = embedders.embed(p, "item_id", "text")
+    return v.select("item_id", F.size(F.filter("vector", lambda x: x > 0)).alias("filled"), r6(F.sqrt(tfidf.dot(F.col("vector"), F.col("vector")))).alias("norm"))
+
+
+@query()
+def named_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of similar new prompts with a name and the member that stands best for each (tested by hand)."""
+    p = materialize(read_table(spark, d, "prompt_batches").filter("text IS NOT NULL").select("item_id", "text"), "texts")
+    vectors = tfidf.weights(tfidf.term_counts(p, "item_id", text.stem4(F.col("text"))), "item_id")
+    found = graph.connected_components(tfidf.cosine_pairs(vectors, "item_id", 0.75).select("a", "b")).toDF("item_id", "cluster")
+    c = p.join(found, "item_id").withColumn("n", F.length("text"))
+    longest = c.groupBy("cluster").agg(F.max("n").alias("longest"), F.count(F.lit(1)).alias("size"))
+    c = c.join(longest, "cluster").withColumn("score", text.canonical_score(F.col("n"), F.col("longest"), F.col("text"), F.lit(None).cast("double")))
+    best = c.groupBy("cluster").agg(F.max("size").alias("size"), F.min(F.struct(-F.col("score"), "item_id", "text")).alias("b"))
+    return best.select("cluster", "size", F.col("b.item_id").alias("canonical_id"), text.cluster_name(F.col("b.text")).alias("name"))

@@ -148,3 +148,35 @@ def test_files(spark, tmp_path):
     items = spark.createDataFrame([(f"file://{tmp_path}/session-1.json", 1, '{"id": "m", "type": "user", "content": "hello you", "timestamp": null}')], "path string, i bigint, item string")
     files.write_lines(files.array_lines(items, "path", "item", ["i"], "concat('{\"sessionId\": \"s1\", \"messages\": [')", "]}"), "path", "line", ["part", "_k"]).count()
     assert [(r["session_id"], r["text"]) for r in readers.gemini(spark, f"file://{tmp_path}").collect()] == [("s1", "hello you")]
+
+
+def test_settings(tmp_path):
+    from parlance import config
+
+    f = tmp_path / "c.toml"
+    f.write_text("[tool.x]\nleast = 5\nshort = 9\nunknown = 1\n")
+    c = config.load(config.LintConfig, str(f), "tool.x", env={"PARLANCE_SHORT": "7"}, model="gpt")
+    assert (c.least, c.short, c.max_tokens, c.model) == (5, 7, 0, "gpt") and config.load(config.Settings, env={}).embedder == "tfidf"
+    for bad in ({"nothing": 1}, {"least": "x"}):
+        with pytest.raises(ValueError):
+            config.load(config.LintConfig, env={}, **bad)
+    assert config.default_path("cursor", "/h/", "darwin").startswith("/h/Library") and config.default_path("codex", "/h") == "/h/.codex/sessions"
+
+
+def test_embedders(spark):
+    from parlance.operators import embedders
+
+    df = spark.createDataFrame([(1, "red apple"), (2, "red apple"), (3, None), (4, " ")], "id bigint, t string")
+    v = {r["id"]: r["vector"] for r in embedders.embed(df, "id", "t").collect()}
+    assert v[1] == v[2] and sum(x * x for x in v[1]) == pytest.approx(1.0) and not any(v[3]) and len(v[4]) == embedders.BUCKETS
+    embedders.EMBEDDERS["length"] = embedders.batched(lambda texts: [[len(t), 1.0] for t in texts])
+    assert {r["id"]: r["vector"] for r in embedders.embed(df, "id", "t", "length").collect()} == {1: [9.0, 1.0], 2: [9.0, 1.0], 3: [0.0, 0.0], 4: [0.0, 0.0]}
+    with pytest.raises(ValueError):
+        embedders.embed(df, "id", "t", "none")
+
+
+def test_names(spark):
+    df = spark.createDataFrame([("/usr/bin python",), ("2024 2025",), ("git sudo",), ("retry loop",), ("",)], "t string")
+    assert [r[0] for r in df.select(text.noise_term(F.col("t"))).collect()] == [True, True, True, False, True]
+    one = spark.createDataFrame([("Fix the login in src/a.py for user_id 7 now please",)], "t string").select(text.cluster_name(F.col("t")).alias("n"), text.canonical_score(F.lit(50), F.lit(100), F.col("t"), F.lit(None).cast("double")).alias("s")).first()
+    assert one["n"] == "Fix the login in src/a.py for…" and one["s"] == pytest.approx(0.25 + 0.3 + 0.1)
