@@ -61,36 +61,48 @@ def loops(turns: DataFrame) -> DataFrame:
     return out.select("session_id", "start_turn", "end_turn", "loops", "fingerprint", "tool")
 
 
-def signals(turns: DataFrame) -> DataFrame:
-    """User turns with position, length, tool and error signals between 0 and 1."""
-    w = Window.partitionBy("session_id").orderBy("turn_no")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("session_id").orderBy(F.desc("turn_no")).rowsBetween(Window.unboundedPreceding, -1)
+def _signalled(turns: DataFrame) -> DataFrame:
+    """turns with user_no, n_users and the position, length, tool and error signals, which count for user turns only; user_no is null for others."""
+    whole = Window.partitionBy("session_id")
+    w = whole.orderBy("turn_no")
+    back, ahead = w.rowsBetween(Window.unboundedPreceding, -1), whole.orderBy(F.desc("turn_no")).rowsBetween(Window.unboundedPreceding, -1)
     mine = lambda c: F.when(F.col("role") == "assistant", c)
-    d = turns.withColumns({"_calls": F.last(mine(F.size("tools")), True).over(ahead), "_bad": F.last(mine(F.col("failed")), True).over(back)}).filter(F.col("role") == "user")
-    d = sessions.numbered(d.withColumnRenamed("turn_no", "_turn").drop("n_turns"), "session_id", ["_turn"]).withColumnRenamed("turn_no", "user_no").withColumnRenamed("n_turns", "n_users").withColumnRenamed("_turn", "turn_no")
+    user, chars = F.col("role") == "user", F.length(F.coalesce("text", F.lit("")))
+    d = turns.withColumns({
+        "user_no": F.when(user, F.count_if(user).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1), "n_users": F.count_if(user).over(whole), "_median": F.median(F.when(user, chars)).over(whole),
+        "_bad": F.last(mine(F.col("failed")), True).over(back), "_calls": F.last(mine(F.size("tools")), True).over(ahead),
+    })
     said = X.strip_ascii(F.coalesce("text", F.lit("")))
     n, of = F.col("user_no"), F.col("n_users")
     position = F.when((of > 1) & (n == 0) & said.rlike(GREETING), 0.0).when((of > 1) & (n == of - 1) & said.rlike(SIGN_OFF), 0.0).otherwise(sessions.position_signal(n, of))
-    d = d.join(d.groupBy("session_id").agg(F.median(F.length(F.coalesce("text", F.lit("")))).alias("_median")), "session_id")
-    length = F.when(F.col("_median") > 0, F.least(F.length(F.coalesce("text", F.lit(""))) / F.col("_median"), F.lit(1.0))).otherwise(1.0)
+    length = F.when(F.col("_median") > 0, F.least(chars / F.col("_median"), F.lit(1.0))).otherwise(1.0)
     error = F.when(F.coalesce("_bad", F.lit(False)) & ~((F.length(said) < 20) & said.rlike(LOW_INFO)), 1.0).otherwise(0.0)
     return d.withColumns({"position": position, "length": length, "tool": F.least(F.coalesce("_calls", F.lit(0)) / 5, F.lit(1.0)), "error": error}).drop("_calls", "_bad", "_median")
 
 
-def ratios(turns: DataFrame) -> DataFrame:
-    """(session_id, n_users, n_assistants, error_rate, tool_rate, question_rate, user_chars, confirm_rate)."""
+def signals(turns: DataFrame) -> DataFrame:
+    """User turns with position, length, tool and error signals between 0 and 1."""
+    return _signalled(turns).filter(F.col("role") == "user")
+
+
+def _ratios() -> dict[str, Column]:
     user, assistant = F.col("role") == "user", F.col("role") == "assistant"
     said = F.coalesce("text", F.lit(""))
     of = lambda who, c: F.avg(F.when(who, c.cast("double")))
-    return turns.groupBy("session_id").agg(
-        F.count_if(user).alias("n_users"),
-        F.count_if(assistant).alias("n_assistants"),
-        of(assistant, F.col("failed")).alias("error_rate"),
-        of(assistant, F.size("tools") > 0).alias("tool_rate"),
-        of(user, X.strip_ascii(said).endswith("?")).alias("question_rate"),
-        of(user, F.length(said)).alias("user_chars"),
-        of(user, X.strip_ascii(said).rlike(CONFIRMATION)).alias("confirm_rate"),
-    )
+    return {
+        "n_users": F.count_if(user),
+        "n_assistants": F.count_if(assistant),
+        "error_rate": of(assistant, F.col("failed")),
+        "tool_rate": of(assistant, F.size("tools") > 0),
+        "question_rate": of(user, X.strip_ascii(said).endswith("?")),
+        "user_chars": of(user, F.length(said)),
+        "confirm_rate": of(user, X.strip_ascii(said).rlike(CONFIRMATION)),
+    }
+
+
+def ratios(turns: DataFrame) -> DataFrame:
+    """(session_id, n_users, n_assistants, error_rate, tool_rate, question_rate, user_chars, confirm_rate)."""
+    return turns.groupBy("session_id").agg(*[c.alias(k) for k, c in _ratios().items()])
 
 
 def kind(shift: Column) -> Column:
@@ -114,18 +126,22 @@ def weight(signal: str, of: Column) -> Column:
     return out
 
 
-def distilled(turns: DataFrame, least: float = 0.3) -> DataFrame:
-    """turns with kind, importance and kept: six signals weighed by kind of session (see `sessions.distil`)."""
+def distilled(turns: DataFrame, least: float = 0.3, columns: list[str] | None = None) -> DataFrame:
+    """turns with kind, importance, kept and the signals: six signals weighed by kind of session (see `sessions.distil`).
+
+    Only `columns` of the turns are carried along, all if not given. Turns are sent by session twice, and nothing is joined.
+    """
     words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda x: F.length(x) >= 2)
-    s = signals(turns)
-    meaning = sessions.semantic_signals(s.select("session_id", F.col("user_no"), "text"), "session_id", "user_no", words)
-    s = s.select("session_id", "turn_no", "user_no", "position", "length", "tool", "error").join(meaning, ["session_id", "user_no"])
-    of = ratios(turns).join(s.groupBy("session_id").agg(F.avg("shift").alias("_shift")), "session_id", "left")
-    of = of.select("session_id", kind(F.coalesce("_shift", F.lit(0.0))).alias("kind"))
-    d = turns.join(of, "session_id").join(s.drop("user_no"), ["session_id", "turn_no"], "left")
+    columns = [c for c in (columns or turns.columns) if c not in ("session_id", "turn_no", "role")]
+    names = list(_ratios())
+    d = _signalled(turns).withColumns({k: c.over(Window.partitionBy("session_id")) for k, c in _ratios().items()})
+    d = d.select("session_id", "turn_no", "role", *columns, "user_no", "position", "length", "tool", "error", *names, words.alias("_words"))
+    d = sessions.with_semantic_signals(d, "session_id", "turn_no", "user_no", "_words")
+    shift = F.avg("shift").over(Window.partitionBy("session_id"))
+    d = d.withColumn("kind", kind(F.coalesce(shift, F.lit(0.0)))).drop(*names)
     weighed = {n: F.coalesce(n, F.lit(0.0)) * weight(n, F.col("kind")) for n in sessions.WEIGHTS}
     # Each signal is weighed by its session's kind already.
-    return sessions.distil(d, "session_id", "turn_no", {k: v * len(weighed) for k, v in weighed.items()}, dict.fromkeys(weighed, 1.0), least)
+    return sessions.distil(d, "session_id", "turn_no", {k: v * len(weighed) for k, v in weighed.items()}, dict.fromkeys(weighed, 1.0), least).drop("user_no")
 
 
 def final_status(turns: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parlance.session import materialize
 
@@ -180,12 +181,106 @@ def nearest_earlier(vectors: DataFrame, session: str, turn: str) -> DataFrame:
     return found.groupBy(F.struct(F.col("s").alias(session), F.col("t").alias(turn)).alias("_k")).agg(F.max("m").alias("_m"))
 
 
+#: Up to so many turns of a session all pairs that share a term are listed; beyond, its turns are multiplied.
+FEW = 16
+
+
+def _semantic(turn: np.ndarray, first: np.ndarray, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """shift and unique of turns in order; first: where a session begins."""
+    n, size = len(turn), np.diff(lists.offsets.to_numpy())
+    of, has = np.cumsum(first) - 1, size > 0
+    coded = lists.flatten().dictionary_encode()
+    width = max(len(coded.dictionary), 1)
+    key, c = np.unique(np.repeat(np.arange(n), size) * width + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    row, code = key // width, key % width
+    _, term, df = np.unique(of[row] * width + code, return_inverse=True, return_counts=True)
+    w = (1 + np.log(c)) * (np.log((1.0 + np.bincount(of, has)[of[row]]) / (1 + df[term])) + 1)
+    w /= np.sqrt(np.bincount(row, w * w, n))[row]
+    begins = np.flatnonzero(first)
+    length = np.diff(np.append(begins, n))
+    before, best = np.zeros(n), np.zeros(n)
+
+    few = np.flatnonzero((length <= FEW)[of[row]])
+    few = few[np.lexsort((row[few], term[few]))]
+    if len(few):
+        t = np.append(np.flatnonzero(np.diff(term[few], prepend=-1)), len(few))
+        back = np.arange(len(few)) - np.repeat(t[:-1], np.diff(t))
+        later = np.repeat(np.arange(len(few)), back)
+        earlier = later - 1 - (np.arange(len(later)) - np.repeat(np.cumsum(back) - back, back))
+        i, j = few[later], few[earlier]
+        m = np.bincount(row[i] * FEW + row[i] - row[j] - 1, w[i] * w[j], n * FEW).reshape(n, FEW).astype(float)  # of nothing, bincount counts in integers
+        before, best = m[:, 0].copy(), m.max(axis=1)
+    for k in np.flatnonzero(length > FEW):
+        low, high = np.searchsorted(row, (begins[k], begins[k] + length[k]))
+        terms, mine = np.unique(code[low:high], return_inverse=True)
+        side = (mine, w[low:high], row[low:high] - begins[k])
+        m = np.zeros((length[k], length[k]))
+        p = _products(*[[x, x] for x in side], len(terms), TERMS)
+        m[: len(p), : len(p)] = np.tril(p, -1)
+        best[begins[k] : begins[k] + length[k]] = m.max(axis=1)
+        before[begins[k] + 1 : begins[k] + length[k]] = np.diagonal(m, -1)
+    follows = ~first & (np.diff(turn, prepend=0) == 1)
+    return np.where(has & (turn > 0), 1 - np.where(follows, before, 0.0), 0.5), 1 - np.minimum(best, 1.0)
+
+
+def with_semantic_signals(df: DataFrame, session: str, order: str, turn: str, words: str) -> DataFrame:
+    """df with shift and unique (see `semantic_signals`) of the rows whose turn is not null, null for others, in place of the column words.
+
+    A session of up to BLOCK rows is looked at as a whole where its rows lie, so nothing is joined; longer ones are multiplied by blocks.
+    """
+    whole = Window.partitionBy(session)
+    d = df.withColumns({"_i": F.row_number().over(whole.orderBy(order)), "_n": F.count(F.lit(1)).over(whole)})
+    most = BLOCK
+    short = d.filter(F.col("_n") <= most).withColumn(words, F.when(F.col(turn).isNotNull(), F.col(words)))
+    names = [c for c in df.columns if c != words]
+    out = T.StructType([*df.select(names).schema.fields, T.StructField("shift", T.DoubleType()), T.StructField("unique", T.DoubleType())])
+
+    def run(batches):
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = t if held is None else pa.concat_tables([held, t])
+            i, n = t.column("_i").to_numpy(), t.column("_n").to_numpy()
+            if not len(i):
+                continue
+            cut = len(i) if i[-1] == n[-1] else int(np.flatnonzero(i == 1)[-1])
+            held, t = t.slice(cut) if cut < len(i) else None, t.slice(0, cut)
+            if not cut:
+                continue
+            at = np.flatnonzero(t.column(turn).is_valid().to_numpy())
+            of = np.cumsum(i[:cut] == 1)[at]
+            scores = [np.full(cut, np.nan), np.full(cut, np.nan)]
+            if len(at):
+                mine = t.select([turn, words]).take(pa.array(at)).combine_chunks()
+                lists = pa.concat_arrays(mine.column(words).chunks)
+                for x, y in zip(scores, _semantic(mine.column(turn).to_numpy().astype(np.int64), np.diff(of, prepend=-1) != 0, lists), strict=True):
+                    x[at] = y
+            t = t.select(names)
+            for name, x in zip(("shift", "unique"), scores, strict=True):
+                t = t.append_column(name, pa.array(x, from_pandas=True))
+            yield from t.to_batches()
+
+    # The windows put each session into one partition; the optimizer may have left another order there.
+    done = short.sortWithinPartitions(session, order).mapInArrow(run, out)
+    if df.groupBy(session).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most).isEmpty():
+        return done
+    long = d.filter(F.col("_n") > most).drop("_i", "_n")
+    found = _long_sessions(long.filter(F.col(turn).isNotNull()), session, turn, F.col(words))
+    return done.unionByName(long.join(found.hint("merge"), [session, turn], "left").select(*names, "shift", "unique"))
+
+
 def semantic_signals(turns: DataFrame, session: str, turn: str, tokens: Column) -> DataFrame:
     """(session, turn, shift, unique): how far a turn is from the one before it, and from the nearest earlier one.
 
     TF-IDF is fitted in each session. shift = 1 - cosine with the turn before (0.5 for the first); unique = 1 - the greatest cosine
     with an earlier turn, 1 without one. Turns without terms have shift 0.5 and unique 1.
     """
+    d = turns.withColumn("_words", tokens).select(session, turn, "_words")
+    return with_semantic_signals(d, session, turn, turn, "_words")
+
+
+def _long_sessions(turns: DataFrame, session: str, turn: str, tokens: Column) -> DataFrame:
+    """The signals of `semantic_signals` for sessions that are too long for one task."""
     from parlance.operators import tfidf
 
     d = turns.select(session, turn, F.struct(session, turn).alias("_k"), tokens.alias("_t"))
@@ -193,10 +288,10 @@ def semantic_signals(turns: DataFrame, session: str, turn: str, tokens: Column)
     mine = materialize(tfidf.weights(counts, "_k", group=session).select("_k", "term", "w"), "vectors")
     # A turn meets only the one before it: an equi-join on session, turn and term.
     before = mine.select(F.struct(F.col(f"_k.{session}").alias(session), (F.col(f"_k.{turn}") + 1).alias(turn)).alias("_k"), "term", F.col("w").alias("v"))
-    shift = mine.join(before, ["_k", "term"]).groupBy("_k").agg(F.sum(F.col("w") * F.col("v")).alias("_s"))
+    shift = mine.join(before.hint("merge"), ["_k", "term"]).groupBy("_k").agg(F.sum(F.col("w") * F.col("v")).alias("_s"))
     near = nearest_earlier(mine, session, turn)
     known = mine.select("_k", F.lit(True).alias("_has")).distinct()
-    out = d.drop("_t").join(known, "_k", "left").join(shift, "_k", "left").join(near, "_k", "left")
+    out = d.drop("_t").join(known.hint("merge"), "_k", "left").join(shift.hint("merge"), "_k", "left").join(near.hint("merge"), "_k", "left")
     has = F.coalesce("_has", F.lit(False)) & (F.col(turn) > 0)
     return out.select(session, turn, F.when(has, 1 - F.coalesce("_s", F.lit(0.0))).otherwise(0.5).alias("shift"), (1 - F.least(F.coalesce("_m", F.lit(0.0)), F.lit(1.0))).alias("unique"))
 

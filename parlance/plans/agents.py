@@ -67,14 +67,14 @@ def session_ratios(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def distilled_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Every turn with its session's kind, its importance by six signals and whether it is kept (tested by hand)."""
-    t = agents.distilled(_turns(spark, d))
+    t = agents.distilled(_turns(spark, d), columns=["role"])
     return t.select("session_id", "turn_no", "role", "kind", r6(F.col("importance")).alias("importance"), "kept")
 
 
 @query()
 def session_exports(spark: SparkSession, d: str) -> DataFrame:
     """What a next session must know of each: goal, decisions, actions, files and what comes next (tested by hand)."""
-    return agents.export(materialize(agents.distilled(_turns(spark, d)), "distilled"))
+    return agents.export(agents.distilled(_turns(spark, d), columns=["text", "paths"]))
 
 
 _INSTANT = "epoch_us(TRY_CAST(raw AS TIMESTAMPTZ))"
@@ -123,9 +123,10 @@ def agent_quality(spark: SparkSession, d: str) -> DataFrame:
     """Composite quality of every session (efficiency, focus, outcome; the weights of parts that are missing go to the others) with one line on it."""
     t = materialize(_turns(spark, d), "turns")
     eff = agents.efficiency(t, agents.loops(t)).select("session_id", "productive")
-    kept = agents.distilled(t).groupBy("session_id").agg(F.avg(F.col("kept").cast("double")).alias("focus"))
+    kept = agents.distilled(t, columns=["role"]).groupBy("session_id").agg(F.avg(F.col("kept").cast("double")).alias("focus"))
     out = session_effectiveness(spark, d).select("session_id", "effectiveness")
-    j = eff.join(kept, "session_id").join(out, "session_id").join(agents.frustration(t), "session_id", "left")
+    # Their size is the number of sessions: nothing is broadcast.
+    j = eff.join(kept.hint("merge"), "session_id").join(out.hint("merge"), "session_id").join(agents.frustration(t).hint("merge"), "session_id", "left")
     parts = {"efficiency": F.col("productive") * 100, "focus": F.col("focus") * 100, "outcome": F.col("effectiveness") * 100, "prompt": F.lit(None).cast("double")}
     j = j.withColumn("quality", F.round(sessions.quality(parts), 1))
     j = j.fillna(False, ["abandoned", "escalated"]).fillna(0, ["stalls"])

@@ -180,3 +180,22 @@ def test_names(spark):
     assert [r[0] for r in df.select(text.noise_term(F.col("t"))).collect()] == [True, True, True, False, True]
     one = spark.createDataFrame([("Fix the login in src/a.py for user_id 7 now please",)], "t string").select(text.cluster_name(F.col("t")).alias("n"), text.canonical_score(F.lit(50), F.lit(100), F.col("t"), F.lit(None).cast("double")).alias("s")).first()
     assert one["n"] == "Fix the login in src/a.py for…" and one["s"] == pytest.approx(0.25 + 0.3 + 0.1)
+
+
+def test_distillation_joins_nothing(spark, monkeypatch):
+    """Turns are sent by session twice, tables of any size join or broadcast nothing, and long sessions have the results of short ones."""
+    from parlance.operators import sessions
+
+    rng = random.Random(8)
+    words = "alpha beta gamma delta eps zeta eta theta".split()
+    rows = [(k * 100 + i, f"s{k}", "assistant" if i % 3 == 1 else "user", f"2025-01-01T00:00:{i:02d}Z", (None, " ".join(rng.choices(words, k=rng.choice([0, 2, 5])))), None) for k, n in enumerate((1, 5, 30, 44)) for i in range(n)]
+    t = agents.turns_of_lines(spark.createDataFrame(rows, LINES))
+    d = agents.distilled(t)
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan and plan.count("Exchange hashpartitioning") <= 2
+    got = lambda: {(r["session_id"], r["turn_no"]): (round(r["importance"], 9), r["kept"], r["kind"]) for r in agents.distilled(t).collect()}
+    want = got()
+    monkeypatch.setattr(sessions, "FEW", 2)
+    assert got() == want
+    monkeypatch.setattr(sessions, "BLOCK", 8)
+    assert got() == want and len(want) == len(rows)
