@@ -387,3 +387,16 @@ def test_package_is_shipped(spark):
     from parlance.session import ship
 
     assert "parlance/operators/shred.py" in zipfile.ZipFile(ship(spark)).namelist()
+
+
+def test_pairs_over_blocks(spark, monkeypatch):
+    """Candidates stay in the task of their block pair: the pairs are those of one block, and the plan sends none of them."""
+    rng = random.Random(11)
+    docs = [(i, rng.choices([c * 2 for c in "abcdefghijklmnopqrst"], k=rng.randint(1, 9))) for i in range(90)]
+    v = tfidf.weights(tfidf.term_counts(spark.createDataFrame(docs, "id bigint, t array<string>"), "id", F.col("t")), "id").cache()
+    got = lambda: {(r["a"], r["b"]): round(r["similarity"], 9) for f, x in ((tfidf.cosine_pairs, 0.5), (tfidf.blended_pairs, 0.6)) for r in f(v, "id", x).collect()}
+    want = got()
+    monkeypatch.setattr(tfidf, "BLOCK", 40)
+    monkeypatch.setattr(tfidf, "AT_ONCE", 50)
+    assert got() == want and want
+    assert "Exchange" not in tfidf.cosine_pairs(v, "id", 0.5)._jdf.queryExecution().executedPlan().toString()
