@@ -194,6 +194,38 @@ def frustration(turns: DataFrame) -> DataFrame:
     return g.join(a.groupBy("session_id").agg(F.count_if(stall).alias("stalls")), "session_id")
 
 
+def summaries(turns: DataFrame) -> DataFrame:
+    """(session_id, productive, focus, effectiveness, abandoned, escalated, stalls) of turns with their instants `at`: what `efficiency`,
+    `distilled`, `final_status`, `effectiveness` and `frustration` say of each session, in one aggregation.
+
+    Turns are sent by session twice, as in `distilled`, and nothing is joined.
+    """
+    said = F.coalesce("text", F.lit(""))
+    assistant = F.col("role") == "assistant"
+    d = turns.withColumn("_step", F.when(assistant, fingerprint(F.col("tools"), F.col("paths"), F.col("failed"))))
+    d = sessions.in_loops(d, "session_id", ["turn_no"], "_step")
+    # The turns between the first and the last step of a loop are lost as well.
+    lost = F.when(F.col("ends"), F.col("turn_no") + 1).when(F.col("begins"), -F.col("turn_no")).otherwise(0)
+    mine = Window.partitionBy("session_id", "role")
+    d = d.withColumns({"_lost": lost, "_no": F.row_number().over(mine.orderBy("turn_no")) - 1, "_of": F.count(F.lit(1)).over(mine)})
+    d = d.withColumns({
+        "_used": F.size("tools"), "_stall": assistant & (F.size("tools") == 0) & (F.length(X.strip_ascii(said)) < 50),
+        "_said_error": assistant & (F.col("_no") >= F.col("_of") - 3) & (F.col("turn_no") >= F.col("n_turns") - 20) & F.coalesce(F.col("text").rlike("|".join(ERROR_WORDS)), F.lit(False)),
+    })
+    d = distilled(d, columns=["failed", "at", "_lost", "_no", "_of", "_used", "_stall", "_said_error"])
+    half, f = F.expr("_of div 2"), F.col("failed").cast("int")
+    rate = lambda cond: F.avg(F.when(assistant & cond, f))
+    g = d.groupBy("session_id").agg(
+        F.count(F.lit(1)).alias("n_turns"), F.sum("_lost").alias("in_loops"), F.avg(F.col("kept").cast("double")).alias("focus"), F.sum("_used").cast("bigint").alias("n_calls"), F.count_if(F.col("failed")).alias("n_errors"),
+        F.expr("(max(at) - min(at)) div 1000000").alias("seconds"), F.when(F.max("_said_error"), "error").otherwise("success").alias("status"), F.count_if(assistant).alias("n"),
+        rate(F.col("_no") < half).alias("first_rate"), rate(F.col("_no") >= half).alias("second_rate"), F.coalesce(F.sum(F.when(assistant & (F.col("_no") >= F.col("_of") - 3), f)) == 3, F.lit(False)).alias("abandoned"), F.count_if(F.col("_stall")).alias("stalls"),
+    )
+    return g.select(
+        "session_id", F.round((F.col("n_turns") - F.col("in_loops")) / F.col("n_turns"), 2).alias("productive"), "focus", effectiveness(F.col("status"), F.col("seconds"), F.col("n_calls"), F.col("n_errors")).alias("effectiveness"),
+        "abandoned", sessions.grown(F.col("n"), F.col("first_rate"), F.col("second_rate")).alias("escalated"), "stalls",
+    )
+
+
 def insight(quality: Column, efficiency_: Column) -> Column:
     """One line on a session with the columns of `frustration`; quality and efficiency between 0 and 100."""
     return (

@@ -68,8 +68,12 @@ def frustration(df: DataFrame, session: str, order: list[str], failed: Column) -
         rate(F.col("turn_no") >= half).alias("second_rate"),
         (F.sum(F.when(F.col("turn_no") >= F.col("n_turns") - 3, F.col("_f"))) == 3).alias("abandoned"),
     )
-    grown = (F.col("n") >= 4) & (F.col("second_rate") > 1.5 * F.col("first_rate")) & (F.col("second_rate") > 0.2)
-    return g.withColumn("escalated", F.coalesce(grown, F.lit(False)))
+    return g.withColumn("escalated", grown(F.col("n"), F.col("first_rate"), F.col("second_rate")))
+
+
+def grown(n: Column, first: Column, second: Column) -> Column:
+    """Whether failures grew from a first rate to a second one, over n steps."""
+    return F.coalesce((n >= 4) & (second > 1.5 * first) & (second > 0.2), F.lit(False))
 
 
 def two_step_loops(df: DataFrame, session: str, order: list[str], step: str, index: str) -> DataFrame:
@@ -115,6 +119,45 @@ def loops(df: DataFrame, session: str, order: list[str], step: str, index: str)
     return two.unionByName(one.select(*two.columns))
 
 
+def in_loops(df: DataFrame, session: str, order: list[str], step: str) -> DataFrame:
+    """df with in_loop, begins and ends: whether the row's step belongs to one of `loops`, is its first, is its last.
+
+    Only windows by session, so nothing is joined and rows stay where their session is. A row of an alternating region knows its ends;
+    the two steps before its first row, which belong to it as well, read them from the rows ahead.
+    """
+    cols = df.columns
+    d = df.withColumn("_has", F.col(step).isNotNull())
+    by = Window.partitionBy(session, "_has")
+    w = by.orderBy(*order)
+    past, so_far = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
+    no = F.lit(False)
+    d = d.withColumns({"_i": F.row_number().over(w), "_p1": F.lag(step, 1).over(w), "_p2": F.lag(step, 2).over(w)})
+    d = d.withColumn("_alt", F.coalesce((F.col(step) == F.col("_p2")) & (F.col(step) != F.col("_p1")), no))
+    d = d.withColumn("_g", F.count_if(~F.col("_alt")).over(so_far))
+    region = Window.partitionBy(session, "_has", "_g")
+    at = F.when(F.col("_alt"), F.col("_i"))
+    d = d.withColumns({"_s": F.min(at).over(region) - 2, "_e": F.max(at).over(region)}).withColumn("_len", F.col("_e") - F.col("_s") + 1)
+    # See two_step_loops: of regions that share a step, the later one loses it if the earlier took it.
+    d = d.withColumns({"_pe": F.last(F.when(F.col("_alt"), F.col("_e")), True).over(past), "_pl": F.last(F.when(F.col("_alt"), F.col("_len")), True).over(past)})
+    first = F.col("_alt") & (F.col("_i") == F.col("_s") + 2)
+    reset = first & ~F.coalesce((F.col("_pe") == F.col("_s")) & (F.col("_pl") >= 4), no)
+    even = ((F.col("_len") >= 4) & (F.col("_len") % 2 == 0)).cast("int")
+    d = d.withColumn("_evens", F.sum(F.when(first, even).otherwise(0)).over(so_far) - even)
+    d = d.withColumn("_base", F.last(F.when(reset, F.col("_evens")), True).over(so_far))
+    d = d.withColumn("_start", F.col("_s") + (F.col("_evens") - F.col("_base")) % 2).withColumn("_n", F.expr("(_e - _start + 1) div 2"))
+    whole = F.col("_alt") & (F.col("_n") >= 2)
+    d = d.withColumns({"_start": F.when(whole, F.col("_start")), "_end": F.when(whole, F.col("_start") + 2 * F.col("_n") - 1)})
+    ends = [(F.col("_start"), F.col("_end")), *((F.lead("_start", k).over(w), F.lead("_end", k).over(w)) for k in (1, 2))]
+    inside = [F.when(F.col("_i").between(a, b), F.struct(a.alias("a"), b.alias("b"))) for a, b in ends]
+    d = d.withColumn("_two", F.coalesce(*inside)).withColumn("_end", F.col("_two.b"))
+    d = d.withColumn("_eq", F.coalesce((F.col(step) == F.col("_p1")) & F.col("_end").isNull() & F.lag("_end").over(w).isNull(), no))
+    near = lambda c: F.coalesce(c.over(w), no)
+    d = d.withColumns({"_b": near(F.lag("_eq")), "_a1": near(F.lead("_eq")), "_a2": near(F.lead("_eq", 2))})
+    single = (F.col("_eq") & (F.col("_b") | F.col("_a1"))) | (F.col("_a1") & F.col("_a2"))
+    is_ = lambda k, one: F.coalesce(F.col("_i") == F.col(f"_two.{k}"), single & ~F.col(one))
+    return d.select(*cols, (F.col("_end").isNotNull() | single).alias("in_loop"), is_("a", "_eq").alias("begins"), is_("b", "_a1").alias("ends"))
+
+
 def within_loops(df: DataFrame, found: DataFrame, session: str, position: str) -> DataFrame:
     """The distinct rows of df whose position lies in a loop of their session (an interval semi-join by session and position)."""
     inside = found.select(session, F.explode(F.sequence("start_at", "end_at")).alias(position)).distinct()

@@ -121,15 +121,9 @@ def agent_frustration(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def agent_quality(spark: SparkSession, d: str) -> DataFrame:
     """Composite quality of every session (efficiency, focus, outcome; the weights of parts that are missing go to the others) with one line on it."""
-    t = materialize(_turns(spark, d), "turns")
-    eff = agents.efficiency(t, agents.loops(t)).select("session_id", "productive")
-    kept = agents.distilled(t, columns=["role"]).groupBy("session_id").agg(F.avg(F.col("kept").cast("double")).alias("focus"))
-    out = session_effectiveness(spark, d).select("session_id", "effectiveness")
-    # Their size is the number of sessions: nothing is broadcast.
-    j = eff.join(kept.hint("merge"), "session_id").join(out.hint("merge"), "session_id").join(agents.frustration(t).hint("merge"), "session_id", "left")
+    j = agents.summaries(_seconds(_turns(spark, d)))
     parts = {"efficiency": F.col("productive") * 100, "focus": F.col("focus") * 100, "outcome": F.col("effectiveness") * 100, "prompt": F.lit(None).cast("double")}
     j = j.withColumn("quality", F.round(sessions.quality(parts), 1))
-    j = j.fillna(False, ["abandoned", "escalated"]).fillna(0, ["stalls"])
     return j.select("session_id", "quality", agents.insight(F.col("quality"), F.col("productive") * 100).alias("insight"), "stalls")
 
 

@@ -199,3 +199,59 @@ def test_distillation_joins_nothing(spark, monkeypatch):
     assert got() == want
     monkeypatch.setattr(sessions, "BLOCK", 8)
     assert got() == want and len(want) == len(rows)
+
+
+def test_steps_in_loops(spark):
+    """Rows of loops are known without a join, whatever the rows without a step between them."""
+    from parlance.operators import sessions
+
+    rng = random.Random(6)
+    said = {f"s{k}": [rng.choice(("AB", "ABC", "AABC")[k % 3]) for _ in range(rng.randint(0, 24))] for k in range(150)}
+    rows = [(s, 2 * i + j, x) for s, steps in said.items() for i, t in enumerate(steps) for j, x in enumerate((t, None))]
+    d = sessions.in_loops(spark.createDataFrame(rows, "s string, no bigint, step string").repartition(3), "s", ["no"], "step")
+    got = {f: {(r["s"], r["no"] // 2) for r in d.filter(f).collect() if r["step"]} for f in ("in_loop", "begins", "ends")}
+    found = [(s, *g[:2]) for s, v in said.items() for g in greedy(v)]
+    assert got["in_loop"] == {(s, i) for s, a, b in found for i in range(a, b + 1)} and len(found) > 100
+    assert got["begins"] == {(s, a) for s, a, _ in found} and got["ends"] == {(s, b) for s, _, b in found} and d.filter("step IS NULL AND (in_loop OR begins OR ends)").isEmpty()
+
+
+@pytest.fixture(scope="module")
+def logged(spark, tmp_path_factory):
+    """A folder with a claude_session of sessions with loops, errors, stalls and users alone."""
+    rng = random.Random(5)
+    words = "alpha beta gamma delta eps zeta eta theta".split()
+    rows = []
+    for k in range(60):
+        for i in range(rng.randint(1, 24)):
+            text = " ".join(rng.choices(words, k=rng.choice([0, 2, 5, 12])))
+            role, content = "user", text
+            if k % 10 and rng.random() < 0.75:
+                used = [{"type": "tool_use", "name": rng.choice("ABC"[: 1 + k % 3]), "input": {"file_path": "x/y.py"} if k % 2 else {}}] * rng.choice([0, 1, 1, 1, 1, 2])
+                role, content = "assistant", json.dumps([{"type": "text", "text": text + " Error" * (rng.random() < k / 120)}, *used])
+            rows.append((len(rows), f"s{k}", role, f"2025-01-01T{i % 24:02d}:{rng.randint(0, 59):02d}:00Z" if k % 4 else "2025-01-01T00:00:00Z", (role, content), None))
+    d = tmp_path_factory.mktemp("logged")
+    spark.createDataFrame(rows, LINES).write.parquet(f"file://{d}/claude_session.parquet")
+    return f"file://{d}"
+
+
+def joins_nothing(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "Join" not in plan and "Broadcast" not in plan and plan.count("Exchange hashpartitioning") <= 2
+
+
+def test_quality_joins_nothing(spark, logged, monkeypatch):
+    """One aggregation gives what the parts give each, and no part is broadcast or sent again."""
+    from parlance.operators import sessions
+    from parlance.plans import agents as plans
+
+    assert joins_nothing(plans.agent_quality(spark, logged))
+    t = plans._turns(spark, logged)
+    by = lambda df: {r["session_id"]: r.asDict() for r in df.collect()}
+    parts = [by(x) for x in (agents.efficiency(t, agents.loops(t)), plans.session_effectiveness(spark, logged), agents.distilled(t).groupBy("session_id").agg(F.avg(F.col("kept").cast("double")).alias("focus")), agents.frustration(t))]
+    want = {s: {"abandoned": False, "escalated": False, "stalls": 0} | {k: v for p in parts for k, v in p.get(s, {}).items()} for s in parts[0]}
+    seen = by(agents.summaries(plans._seconds(t)))
+    assert seen == {s: {k: want[s][k] for k in r} for s, r in seen.items()}
+    assert set(seen) == set(want) == {f"s{k}" for k in range(60)} and {r["productive"] < 1 for r in seen.values()} == {r["escalated"] for r in seen.values()} == {r["abandoned"] for r in seen.values()} == {True, False}
+    quality = by(plans.agent_quality(spark, logged))
+    monkeypatch.setattr(sessions, "BLOCK", 8)
+    assert by(plans.agent_quality(spark, logged)) == quality and len(quality) == 60
