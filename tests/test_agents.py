@@ -255,3 +255,27 @@ def test_quality_joins_nothing(spark, logged, monkeypatch):
     quality = by(plans.agent_quality(spark, logged))
     monkeypatch.setattr(sessions, "BLOCK", 8)
     assert by(plans.agent_quality(spark, logged)) == quality and len(quality) == 60
+
+
+def test_exports_join_nothing(spark, logged):
+    """What a next session must know is gathered where the distilled turns lie, and is what a plain pass over them gives."""
+    from parlance.plans import agents as plans
+
+    assert joins_nothing(plans.session_exports(spark, logged))
+    t = plans._turns(spark, logged).withColumn("text", F.when(F.col("turn_no") % 5 == 0, F.concat("text", F.lit(" Then next"))).otherwise(F.col("text")))
+    d = agents.distilled(t, columns=["text", "paths"]).withColumn("tool", F.when(F.col("turn_no") % 3 == 0, 2.0).otherwise(F.col("tool")))
+    said = {}
+    for r in sorted(d.collect(), key=lambda r: (r["session_id"], r["turn_no"])):
+        said.setdefault(r["session_id"], []).append(r)
+    got = {r["session_id"]: r.asDict() for r in agents.export(d).collect()}
+    for s, rows in said.items():
+        users, kept = [r for r in rows if r["role"] == "user"], [r for r in rows if r["kept"]]
+        top = sorted(sorted((r for r in users if r["kept"]), key=lambda r: (-r["importance"], r["turn_no"]))[:5], key=lambda r: r["turn_no"])
+        decided = lambda r: (r["shift"] or 0) >= (r["tool"] or 0)
+        ahead = [r["text"] for r in users[-3:] if "next" in r["text"]]
+        files = {f for r in rows for f in r["paths"]}
+        assert got[s] == {
+            "session_id": s, "goal": users[0]["text"] if users else None, "decisions": [r["text"][:120] for r in top if decided(r)], "actions": [r["text"][:120] for r in top if not decided(r)],
+            "resume": ahead[-1] if ahead else None, "files": sorted(files - {None}) + [None] * (None in files), "n_turns": len(rows), "n_kept": len(kept), "n_tokens": sum(len(r["text"]) for r in kept) // 4 if kept else None,
+        }
+    assert len(got) == len(said) == 60 and any(g["resume"] for g in got.values()) and any(g["actions"] for g in got.values()) and any(g["decisions"] for g in got.values())
