@@ -29,8 +29,8 @@ FORWARD = ["next", "todo", "now let's", "then ", "after that", "move on", "接
 _BLOCKS = "array<struct<type:string,text:string,name:string,input:struct<file_path:string>>>"
 
 
-def turns_of_lines(df: DataFrame) -> DataFrame:
-    """Turns of logged lines (rec_id, session_id, type, timestamp, message), in order of arrival."""
+def _said(df: DataFrame) -> DataFrame:
+    """The turns of logged lines, not yet numbered."""
     c = F.col("message.content")
     rows = df.filter(F.col("type").isin("user", "assistant") & F.col("message").isNotNull() & F.col("session_id").isNotNull())
     whole = F.when(F.ltrim(c).startswith("[") & F.try_parse_json(c).isNotNull(), c)
@@ -39,8 +39,12 @@ def turns_of_lines(df: DataFrame) -> DataFrame:
     used = F.when(F.col("role") == "assistant", F.filter("b", lambda x: x["type"] == "tool_use"))
     text = F.when(F.col("b").isNull(), F.col("c")).otherwise(F.array_join(F.transform(F.filter("b", lambda x: x["type"] == "text"), lambda x: x["text"]), " "))
     rows = rows.select("session_id", "rec_id", "role", "raw", text.alias("text"), F.coalesce(F.transform(used, lambda x: x["name"]), none).alias("tools"), F.coalesce(F.transform(used, lambda x: x["input"]["file_path"]), none).alias("paths"))
-    rows = rows.withColumn("failed", (F.col("role") == "assistant") & F.coalesce(F.col("text").rlike("[Ee]rror|[Tt]raceback"), F.lit(False)))
-    return sessions.numbered(rows, "session_id", ["rec_id"])
+    return rows.withColumn("failed", (F.col("role") == "assistant") & F.coalesce(F.col("text").rlike("[Ee]rror|[Tt]raceback"), F.lit(False)))
+
+
+def turns_of_lines(df: DataFrame) -> DataFrame:
+    """Turns of logged lines (rec_id, session_id, type, timestamp, message), in order of arrival."""
+    return sessions.numbered(_said(df), "session_id", ["rec_id"])
 
 
 def fingerprint(tools: Column, paths: Column, failed: Column) -> Column:
@@ -68,9 +72,10 @@ def _signalled(turns: DataFrame) -> DataFrame:
     back, ahead = w.rowsBetween(Window.unboundedPreceding, -1), whole.orderBy(F.desc("turn_no")).rowsBetween(Window.unboundedPreceding, -1)
     mine = lambda c: F.when(F.col("role") == "assistant", c)
     user, chars = F.col("role") == "user", F.length(F.coalesce("text", F.lit("")))
-    d = turns.withColumns({
+    # What lies ahead comes first: all that follows goes by the order that the turns are in then.
+    d = turns.withColumn("_calls", F.last(mine(F.size("tools")), True).over(ahead)).withColumns({
         "user_no": F.when(user, F.count_if(user).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1), "n_users": F.count_if(user).over(whole), "_median": F.median(F.when(user, chars)).over(whole),
-        "_bad": F.last(mine(F.col("failed")), True).over(back), "_calls": F.last(mine(F.size("tools")), True).over(ahead),
+        "_bad": F.last(mine(F.col("failed")), True).over(back),
     })
     said = X.strip_ascii(F.coalesce("text", F.lit("")))
     n, of = F.col("user_no"), F.col("n_users")
@@ -126,17 +131,21 @@ def weight(signal: str, of: Column) -> Column:
     return out
 
 
-def distilled(turns: DataFrame, least: float = 0.3, columns: list[str] | None = None) -> DataFrame:
+def distilled(turns: DataFrame, least: float = 0.3, columns: list[str] | None = None, more: dict[str, Column] | None = None) -> DataFrame:
     """turns with kind, importance, kept and the signals: six signals weighed by kind of session (see `sessions.distil`).
 
-    Only `columns` of the turns are carried along, all if not given. Turns are sent by session twice, and nothing is joined.
+    Only `columns` of the turns are carried along, all if not given, and `more`, made of them, user_no and n_users. Turns are sent by
+    session twice, and nothing is joined.
     """
-    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda x: F.length(x) >= 2)
-    columns = [c for c in (columns or turns.columns) if c not in ("session_id", "turn_no", "role")]
+    words = F.filter(F.split(F.lower(F.coalesce("_text", F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda x: F.length(x) >= 2)
+    more = more or {}
+    columns = [c for c in (columns or turns.columns) if c not in ("session_id", "turn_no", "role", *more)]
     names = list(_ratios())
     d = _signalled(turns).withColumns({k: c.over(Window.partitionBy("session_id")) for k, c in _ratios().items()})
-    d = d.select("session_id", "turn_no", "role", *columns, "user_no", "position", "length", "tool", "error", *names, words.alias("_words"))
-    d = sessions.with_semantic_signals(d, "session_id", "turn_no", "user_no", "_words")
+    kept = ["session_id", "turn_no", "role", *columns, *more, "user_no", "position", "length", "tool", "error", *names]
+    # Of an assistant's text nothing is compared.
+    d = d.withColumns({**more, "_text": F.when(F.col("role") == "user", F.col("text"))}).select(*kept, "_text")
+    d = sessions.with_semantic_signals(d, "session_id", "turn_no", "user_no", words, kept)
     shift = F.avg("shift").over(Window.partitionBy("session_id"))
     d = d.withColumn("kind", kind(F.coalesce(shift, F.lit(0.0)))).drop(*names)
     weighed = {n: F.coalesce(n, F.lit(0.0)) * weight(n, F.col("kind")) for n in sessions.WEIGHTS}
@@ -240,29 +249,57 @@ def insight(quality: Column, efficiency_: Column) -> Column:
     )
 
 
+#: Characters of a decision or an action.
+BRIEF = 120
+
+
+def _looks_ahead() -> Column:
+    """Whether the text has a word on what comes next."""
+    ahead = F.lit(False)
+    for k in FORWARD:
+        ahead |= F.lower("text").contains(k)
+    return F.coalesce(ahead, F.lit(False))
+
+
 def export(kept: DataFrame, most: int = 5) -> DataFrame:
     """(session_id, goal, decisions, actions, resume, files, n_turns, n_kept, n_tokens) of `distilled` turns: what a next session must know.
 
     goal: the first user turn; decisions and actions: of the `most` weightiest kept user turns those whose shift is at least the tool
     signal, and the others; resume: the last of the final three user turns with a word on what comes next.
     """
+    v = Window.partitionBy("session_id", "role").orderBy(F.desc("turn_no"))
+    d = kept.withColumns({"_resumes": (F.col("role") == "user") & (F.row_number().over(v) <= 3) & _looks_ahead(), "_chars": F.length("text")})
+    return _gathered(d, most)
+
+
+def exports(lines: DataFrame, most: int = 5) -> DataFrame:
+    """`export` of the distilled turns of logged lines.
+
+    Assistants' texts are not sent, only their lengths; of users' texts only the goal and what may be resumed are carried whole past the signals.
+    """
+    user = F.col("role") == "user"
+    t = _said(lines).withColumns({"text": F.when(user, F.col("text")), "_chars": F.length("text")})
+    resumes = F.coalesce((F.col("user_no") >= F.col("n_users") - 3) & _looks_ahead(), F.lit(False))
+    text = F.when((F.col("user_no") == 0) | resumes, F.col("text")).otherwise(F.substring("text", 1, BRIEF))
+    d = distilled(sessions.numbered(t, "session_id", ["rec_id"]), columns=["paths", "_chars"], more={"_resumes": resumes, "_brief": text})
+    return _gathered(d.withColumnRenamed("_brief", "text"), most)
+
+
+def _gathered(kept: DataFrame, most: int) -> DataFrame:
+    """See `export`; _resumes: whether a turn is one of those to resume from, _chars: the length of its text."""
     user = F.col("role") == "user"
     w = Window.partitionBy("session_id").orderBy(F.desc(F.when(user & F.col("kept"), F.col("importance"))), "turn_no")
-    v = Window.partitionBy("session_id", "role").orderBy(F.desc("turn_no"))
-    ahead = F.lit(False)
-    for k in FORWARD:
-        ahead |= F.lower("text").contains(k)
-    d = kept.withColumns({"_rank": F.row_number().over(w), "_back": F.row_number().over(v), "_ahead": F.coalesce(ahead, F.lit(False))})
+    d = kept.withColumn("_rank", F.row_number().over(w))
     decided = F.coalesce("shift", F.lit(0.0)) >= F.coalesce("tool", F.lit(0.0))
     top = user & F.col("kept") & (F.col("_rank") <= most)
-    texts = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("turn_no", F.substring("text", 1, 120).alias("t"))))), lambda x: x["t"])
+    texts = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("turn_no", F.substring("text", 1, BRIEF).alias("t"))))), lambda x: x["t"])
     return d.groupBy("session_id").agg(
         F.min(F.when(user, F.struct("turn_no", "text")))["text"].alias("goal"),
         texts(top & decided).alias("decisions"),
         texts(top & ~decided).alias("actions"),
-        F.max(F.when(user & (F.col("_back") <= 3) & F.col("_ahead"), F.struct("turn_no", "text")))["text"].alias("resume"),
+        F.max(F.when(F.col("_resumes"), F.struct("turn_no", "text")))["text"].alias("resume"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("paths")))).alias("files"),
         F.count(F.lit(1)).alias("n_turns"),
         F.count_if(F.col("kept")).alias("n_kept"),
-        F.floor(F.sum(F.when(F.col("kept"), F.length("text"))) / 4).cast("bigint").alias("n_tokens"),
+        F.floor(F.sum(F.when(F.col("kept"), F.col("_chars"))) / 4).cast("bigint").alias("n_tokens"),
     )

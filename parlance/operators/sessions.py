@@ -266,16 +266,16 @@ def _semantic(turn: np.ndarray, first: np.ndarray, lists: pa.ListArray) -> tuple
     return np.where(has & (turn > 0), 1 - np.where(follows, before, 0.0), 0.5), 1 - np.minimum(best, 1.0)
 
 
-def with_semantic_signals(df: DataFrame, session: str, order: str, turn: str, words: str) -> DataFrame:
-    """df with shift and unique (see `semantic_signals`) of the rows whose turn is not null, null for others, in place of the column words.
+def with_semantic_signals(df: DataFrame, session: str, order: str, turn: str, words: Column, names: list[str]) -> DataFrame:
+    """The columns `names` of df with shift and unique (see `semantic_signals`) of the rows whose turn is not null, null for others.
 
-    A session of up to BLOCK rows is looked at as a whole where its rows lie, so nothing is joined; longer ones are multiplied by blocks.
+    words is made after the windows, so lists of words are never sorted. A session of up to BLOCK rows is looked at as a whole where
+    its rows lie, so nothing is joined; longer ones are multiplied by blocks.
     """
     whole = Window.partitionBy(session)
     d = df.withColumns({"_i": F.row_number().over(whole.orderBy(order)), "_n": F.count(F.lit(1)).over(whole)})
     most = BLOCK
-    short = d.filter(F.col("_n") <= most).withColumn(words, F.when(F.col(turn).isNotNull(), F.col(words)))
-    names = [c for c in df.columns if c != words]
+    short = d.filter(F.col("_n") <= most).select(*names, "_i", "_n", F.when(F.col(turn).isNotNull(), words).alias("_words"))
     out = T.StructType([*df.select(names).schema.fields, T.StructField("shift", T.DoubleType()), T.StructField("unique", T.DoubleType())])
 
     def run(batches):
@@ -294,8 +294,8 @@ def with_semantic_signals(df: DataFrame, session: str, order: str, turn: str, wo
             of = np.cumsum(i[:cut] == 1)[at]
             scores = [np.full(cut, np.nan), np.full(cut, np.nan)]
             if len(at):
-                mine = t.select([turn, words]).take(pa.array(at)).combine_chunks()
-                lists = pa.concat_arrays(mine.column(words).chunks)
+                mine = t.select([turn, "_words"]).take(pa.array(at)).combine_chunks()
+                lists = pa.concat_arrays(mine.column("_words").chunks)
                 for x, y in zip(scores, _semantic(mine.column(turn).to_numpy().astype(np.int64), np.diff(of, prepend=-1) != 0, lists), strict=True):
                     x[at] = y
             t = t.select(names)
@@ -308,7 +308,7 @@ def with_semantic_signals(df: DataFrame, session: str, order: str, turn: str, wo
     if df.groupBy(session).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most).isEmpty():
         return done
     long = d.filter(F.col("_n") > most).drop("_i", "_n")
-    found = _long_sessions(long.filter(F.col(turn).isNotNull()), session, turn, F.col(words))
+    found = _long_sessions(long.filter(F.col(turn).isNotNull()), session, turn, words)
     return done.unionByName(long.join(found.hint("merge"), [session, turn], "left").select(*names, "shift", "unique"))
 
 
@@ -318,8 +318,7 @@ def semantic_signals(turns: DataFrame, session: str, turn: str, tokens: Column)
     TF-IDF is fitted in each session. shift = 1 - cosine with the turn before (0.5 for the first); unique = 1 - the greatest cosine
     with an earlier turn, 1 without one. Turns without terms have shift 0.5 and unique 1.
     """
-    d = turns.withColumn("_words", tokens).select(session, turn, "_words")
-    return with_semantic_signals(d, session, turn, turn, "_words")
+    return with_semantic_signals(turns, session, turn, turn, tokens, [session, turn])
 
 
 def _long_sessions(turns: DataFrame, session: str, turn: str, tokens: Column) -> DataFrame:
@@ -351,9 +350,9 @@ def distil(turns: DataFrame, session: str, turn: str, signals: dict[str, Column]
     d = turns.withColumn("_u", F.when(user, F.when(F.sum(user.cast("int")).over(whole) == 1, 1.0).otherwise(score)))
     w = whole.orderBy(turn)
     back = F.last("_u", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    ahead = F.last("_u", ignorenulls=True).over(whole.orderBy(F.desc(turn)).rowsBetween(Window.unboundedPreceding, -1))
-    mean = (F.coalesce(back, ahead) + F.coalesce(ahead, back)) / 2
+    d = d.withColumn("_ahead", F.last("_u", ignorenulls=True).over(whole.orderBy(F.desc(turn)).rowsBetween(Window.unboundedPreceding, -1)))
+    mean = (F.coalesce(back, "_ahead") + F.coalesce("_ahead", back)) / 2
     d = d.withColumn("importance", F.coalesce(F.when(user, F.col("_u")).otherwise(mean), F.lit(0.0)))
     chosen = user & (F.col("importance") >= least)
     follows = ~user & F.coalesce(F.lag(chosen).over(w), F.lit(False))
-    return d.withColumn("kept", chosen | follows).drop("_u")
+    return d.withColumn("kept", chosen | follows).drop("_u", "_ahead")

@@ -74,7 +74,7 @@ def distilled_sessions(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def session_exports(spark: SparkSession, d: str) -> DataFrame:
     """What a next session must know of each: goal, decisions, actions, files and what comes next (tested by hand)."""
-    return agents.export(agents.distilled(_turns(spark, d), columns=["text", "paths"]))
+    return agents.exports(read_table(spark, d, "claude_session"))
 
 
 _INSTANT = "epoch_us(TRY_CAST(raw AS TIMESTAMPTZ))"

@@ -279,3 +279,22 @@ def test_exports_join_nothing(spark, logged):
             "resume": ahead[-1] if ahead else None, "files": sorted(files - {None}) + [None] * (None in files), "n_turns": len(rows), "n_kept": len(kept), "n_tokens": sum(len(r["text"]) for r in kept) // 4 if kept else None,
         }
     assert len(got) == len(said) == 60 and any(g["resume"] for g in got.values()) and any(g["actions"] for g in got.values()) and any(g["decisions"] for g in got.values())
+
+
+def test_exports_send_little(spark, logged):
+    """Texts of assistants are not sent, and of long texts of users the rows are those of whole distilled turns."""
+    from parlance.plans import agents as plans
+
+    lines = spark.read.parquet(f"{logged}/claude_session.parquet")
+    noise = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(300)), lambda i: F.sha2(F.concat_ws(" ", "rec_id", i.cast("string")), 256)), " ")
+    said = F.when(F.col("type") == "assistant", F.concat_ws(" ", noise, F.lit("error"))).otherwise(F.concat_ws(" then ", F.repeat(F.col("message.content"), 9), F.when(F.col("rec_id") % 4 > 0, "end")))
+    said = F.when(F.col("rec_id") % 13 > 0, said)
+    d = f"{logged}/long"
+    lines.withColumn("message", F.struct(F.col("message.role").alias("role"), F.when(F.col("rec_id") % 3 == 0, said).otherwise(F.col("message.content")).alias("content"))).write.parquet(f"{d}/claude_session.parquet")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    sent = lambda: sum(store.executorList(False).apply(i).totalShuffleWrite() for i in range(store.executorList(False).size()))
+    before = sent()
+    got = sorted(plans.session_exports(spark, d).collect())
+    assert sent() - before < 500_000 < lines.filter("type = 'assistant' AND rec_id % 3 = 0").count() * 10_000
+    want = sorted(agents.export(agents.distilled(plans._turns(spark, d))).collect())
+    assert got == want and len(got) == 60 and max(len(r["goal"] or "") for r in got) > 120 and max(len(r["resume"] or "") for r in got) > 120
